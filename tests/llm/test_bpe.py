@@ -50,7 +50,7 @@ def test_empty_table_and_clashing_columns(spark):
     assert bpe.decode(bpe.encode(docs.limit(0), queries.WORD_BPE), queries.WORD_BPE).count() == 0
 
 
-def test_cache_is_bounded(codec):
-    small = bpe.RecentCache(lambda w: w * 2, limit=3)
-    for w in "abcdefgab":
-        assert small[w] == w * 2 and len(small) <= 3 and len(small.old) <= 3
+def test_cache_is_bounded():
+    small = bpe.RecentCache(lambda words: [w * 2 for w in words], limit=3)
+    for words in ("ab", "cc", "defg", "ab", "a", "", "gabz"):
+        assert small.many(list(words)) == [w * 2 for w in words] and len(small) <= 3 and len(small.old) <= 3

@@ -57,7 +57,7 @@ class BpeCodec:
         letters = byte_letters()
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
-        self.cache = RecentCache(self.merged)
+        self.cache = RecentCache(lambda words: [*map(self.merged, words)])
 
     def merged(self, word: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -86,8 +86,7 @@ class BpeCodec:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter, so without the final sigma
-        cache = self.cache
-        return list(chain.from_iterable([cache[w] for w in self.words.findall(text)]))
+        return list(chain.from_iterable(self.cache.many(self.words.findall(text))))
 
     def encode(self, text: str) -> list[int]:
         if self.between is None or "<|" not in text:

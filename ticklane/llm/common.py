@@ -64,18 +64,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class RecentCache(dict):
-    """A memo of bounded size: two generations, the older one dropped when the newer one is full."""
+    """A memo of bounded size: two generations, the older one dropped when the newer one is full. make turns a list of keys into the list of their values."""
 
-    def __init__(self, make: Callable, limit: int = 150_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
+    def many(self, keys: list) -> list:
+        """The values of keys, in their order."""
+        found = [*map(self.get, keys)]
+        if None not in found:
+            return found
+        if len(self) + len(keys) > self.limit:
             self.old = dict(self)
             self.clear()
-        if (value := self.old.get(key)) is None:
-            value = self.make(key)
-        if len(key) <= 100:
-            self[key] = value
-        return value
+        old, new = self.old.get, {}
+        for k, v in zip(keys, found):
+            if v is None and k not in new:
+                new[k] = old(k)
+        absent = [k for k, v in new.items() if v is None]
+        new.update(zip(absent, self.make(absent)))
+        if len(new) <= self.limit:
+            self.update((k, v) for k, v in new.items() if len(k) <= 100)
+        return [new[k] if v is None else v for k, v in zip(keys, found)]

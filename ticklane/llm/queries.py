@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets
-from .common import read
+from . import boosted_trees, bpe, quality_rules, secrets
+from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality_rules.measure(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality_rules.judge(measured.drop("text"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", *quality_rules.MEASURES, "script")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, WORD_BPE).drop("text"), WORD_BPE)
@@ -31,8 +37,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(spans, base_only=True), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+#: At this score a document counts as good.
+GOOD = 0.3
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = boosted_trees.score(docs, boosted_trees.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_bpe": op3_bpe,
     "op7_secrets": op7_secrets,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
