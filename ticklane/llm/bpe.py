@@ -57,7 +57,7 @@ class BpeCodec:
         letters = byte_letters()
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
-        self.cache = RecentCache(lambda words: [*map(self.merged, words)])
+        self.cache = RecentCache(lambda words: [*map(self.merged, words)], limit=150_000)
 
     def merged(self, word: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
