@@ -38,15 +38,20 @@ def texts_of(array: pa.Array) -> list[bytes | None]:
     return (array if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else array.cast(pa.binary())).to_pylist()
 
 
-def arrow_column(start: Callable[[], Callable[..., pa.Array]], returns: str) -> Callable[..., Column]:
-    """A column made batch by batch in Python: start() runs once per task and returns the function from input arrays to the output array."""
+def arrow_column(start: Callable[[], Callable[..., pa.Array]], returns: str, inputs: int = 1) -> Callable[..., Column]:
+    """A column made batch by batch in Python: start() runs once per task and returns the function from the input arrays (one or two) to the output array."""
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = start()
         for x in batches:
             yield f(x)
 
-    return F.arrow_udf(one, returns)
+    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        f = start()
+        for x, y in batches:
+            yield f(x, y)
+
+    return F.arrow_udf(one if inputs == 1 else two, returns)
 
 
 def extend(df: DataFrame, **columns: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, bpe, quality_rules, secrets
+from . import boosted_trees, bpe, license_scan, mixing, quality_rules, secrets, url_filter
 from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", *quality_rules.MEASURES, "script")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = url_filter.with_rule(url_filter.with_parts(read(spark, sf_dir, "pages").select("page_id", "url")))
+    segmented = url_filter.with_words(parts)
+    judged = url_filter.judge(segmented, url_filter.fit(segmented))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "log_odds", F.array_join("words", " ").alias("words"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, WORD_BPE).drop("text"), WORD_BPE)
@@ -30,6 +37,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.summarised(scanned.drop("text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -37,6 +49,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(spans, base_only=True), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_compact(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 #: At this score a document counts as good.
 GOOD = 0.3
 
@@ -49,8 +66,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_license_scan": op4_license_scan,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
