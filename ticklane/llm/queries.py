@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, bpe, license_scan, mixing, quality_rules, secrets, url_filter
+from . import boosted_trees, bpe, license_scan, minhash, mixing, quality_rules, secrets, url_filter
 from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: At this score a document counts as good.
 GOOD = 0.3
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_minhash": op9_minhash,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
