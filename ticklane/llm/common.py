@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -92,3 +93,13 @@ class RecentCache(dict):
         if len(new) <= self.limit:
             self.update((k, v) for k, v in new.items() if len(k) <= 100)
         return [new[k] if v is None else v for k, v in zip(keys, found)]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared checkpoint folder and read again: compressed and columnar, so smaller than a checkpoint for wide or many rows. Each call makes a folder of its own, which stays until the checkpoint folder is cleared."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, bpe, license_scan, minhash, mixing, quality_rules, secrets, url_filter, vector_dedup
+from . import bloom_lm, boosted_trees, bpe, license_scan, minhash, mixing, quality_rules, secrets, url_filter, vector_dedup
 from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_bloom_lm": op6_bloom_lm,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
