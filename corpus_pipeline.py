@@ -1,8 +1,69 @@
-"""Corpus pipeline (stages follow as their operators are built)."""
+"""Corpus pipeline: documents in, token ids out, each stage one of the training-data operators.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and gives a table that is written as Parquet and reread as the next one's docs.
+All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticklane.llm import boosted_trees, bpe, minhash, mixing, secrets
+from ticklane.llm.common import read, written
+from ticklane.llm.queries import GOOD, WORD_BPE
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it is fitted on the labelled ones among docs."""
+    trees = boosted_trees.fit(docs, read(spark, sf_dir, "labels"))
+    return boosted_trees.score(docs, trees, name="_score").where(F.col("_score") >= GOOD).select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies. Rows that repeat a kept id count once; rows without an id all stay."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets in their texts masked; n_chars follows where a text changed."""
+    clean = secrets.redact(docs.withColumn("_before", F.col("text")))
+    length = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return clean.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and the ids of each whole text."""
+    return bpe.encode(docs.select("doc_id", "source", "text"), WORD_BPE).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("minhash near-dedup", keep_one_of_each),
+    ("secret scan", redact_secrets),
+    ("source mix", mix_sources),
+    ("bpe encoding", encode_texts),
+]
+#: The stages learn a model, link near copies, parse encodings and merge by rank: SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; each result is written to the shared checkpoint folder (see common.written) and reread."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
