@@ -69,6 +69,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """df, a checkpointed table of narrow rows, to be broadcast if it was counted to have at most `most`; beyond that Spark's own join strategy holds."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class RecentCache(dict):
     """A memo of bounded size: two generations, the older one dropped when the newer one is full. make turns a list of keys into the list of their values."""
 

@@ -3,8 +3,9 @@
 Two collections of band hashes are computed, each band from a few minhashes; every pair of a band of the first and one of
 the second is a table key, so `bands` squared tables need only two times `bands` bands. Documents of equal shingle sets
 form a class with one representative. Representatives that share a key are candidates: first each against the least
-document it shares a key with; then, within the keys whose documents are still in different components, all others, in
-blocks, by their signatures. Candidates are confirmed on full shingle sets.
+document it shares a key with; then, within the keys whose documents are still in different components, each against the
+one whose signature agrees most, as long as that joins components; last all pairs that are left, in blocks, by their
+signatures. Candidates are confirmed on full shingle sets.
 
 A document's set holds its distinct shingles of `width` words, lower-cased (A-Z); with fewer words it is the whole
 sequence as one shingle. Two documents are linked if 100 * intersection >= percent * union.
@@ -28,11 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, checkpointed, texts_of
+from .common import arrow_column, checkpointed, sized, texts_of
 from .components import connected_components
 from .textstats import numbered
 
 
+#: Tables of ids or pairs of at most so many rows, as counted, are broadcast.
+FEW = 500_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """width: words of a shingle; percent: least similarity; bands: in each collection; rows: minhashes of a band; agree: least share of equal signature parts for a pair to be confirmed (a pair at the threshold has 80 % on average); block: documents of a key compared at once."""
@@ -108,7 +113,7 @@ def signature(docs: DataFrame, s: Settings, text: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings, text: str) -> DataFrame:
-    """(node, shingles) of the documents that represent the classes in nodes (node, set_hash)."""
+    """(node, shingles) of the documents that represent the classes in nodes (node, set_hash); a repeated row gives a repeated set."""
 
     def start():
         def row(data: bytes) -> tuple:
@@ -123,22 +128,23 @@ def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings, text: str) -> Data
         return batch
 
     found = arrow_column(start, "struct<digest:binary,shingles:array<long>>")
-    wanted = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("_text")).join(nodes, "node")
+    wanted = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("_text")).join(sized(nodes, FEW), "node")
     made = wanted.select("node", "set_hash", found(F.col("_text")).alias("_s")).where(F.col("_s.digest") == F.col("set_hash"))
-    return made.select("node", F.col("_s.shingles").alias("shingles")).dropDuplicates(["node"])
+    return made.select("node", F.col("_s.shingles").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    """The pairs (a, b), a checkpointed table, whose full sets are similar enough. Only sets of documents in pairs are shuffled, by pair, so no document's many pairs meet in one task."""
+    narrow = sized(pairs, FEW)
+    one = lambda side: sets.withColumnRenamed("node", side).join(narrow, side).select("a", "b", F.col("shingles").alias(f"of_{side}"))
+    both = one("a").join(one("b"), ["a", "b"])
     common = F.size(F.array_intersect("of_a", "of_b"))
     sizes = F.size("of_a") + F.size("of_b")
-    return both.select("a", "b", (100 * common.cast("long") >= s.percent * (sizes - common).cast("long")).alias("linked")).where("linked").select("a", "b")
+    return both.select("a", "b", (100 * common.cast("long") >= s.percent * (sizes - common).cast("long")).alias("linked")).where("linked").select("a", "b").distinct()
 
 
-def left_over(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of documents of different components that share a key, have similar sizes and agreeing signatures.
+def left_over(members: DataFrame, of: DataFrame, s: Settings, best: bool) -> DataFrame:
+    """Pairs of documents of different components that share a key, have similar sizes and agreeing signatures: all, or with best for each document the one that agrees most.
 
     members: (key, node); of: (node, component, n_shingles, parts). Keys with many documents are dealt in blocks: each pair of blocks is a group of at most about two blocks' rows.
     """
@@ -158,12 +164,26 @@ def left_over(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
         x, y = g["x"].iloc[0], g["y"].iloc[0]
         left, right = (np.flatnonzero(own == k) for k in (x, y))
         out = []
+        top = np.zeros(len(g), np.int64)
+        partner = np.full(len(g), -1)
         for i in left:
             j = right[right > i] if x == y else right
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))]
-            j = j[(parts[j] == parts[i]).sum(1) >= least] if len(j) else j
-            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            agree = (parts[j] == parts[i]).sum(1)
+            j, agree = j[agree >= least], agree[agree >= least]
+            if not len(j):
+                continue
+            if not best:
+                out += [(node[i], node[k], 0) for k in j]
+                continue
+            k = agree.argmax()
+            if agree[k] > top[i]:
+                top[i], partner[i] = agree[k], j[k]
+            better = agree > top[j]
+            top[j[better]], partner[j[better]] = agree[better], i
+        if best:
+            out = [(node[i], node[partner[i]], top[i]) for i in np.flatnonzero(partner >= 0)]
+        return pd.DataFrame(out, columns=["node", "other", "agree"], dtype="int64")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -180,7 +200,10 @@ def left_over(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
         if rest is not None and len(rest) > 1:
             yield pairs_of(rest)
 
-    return dealt.mapInPandas(scan, "a long, b long").distinct()
+    found = dealt.mapInPandas(scan, "node long, other long, agree long")
+    if best:
+        found = found.groupBy("node").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -193,16 +216,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     keys = classes.select("node", F.explode(table).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low")
     members = checkpointed(keys.join(shared, "key").select("key", "node", "low"))
-    nodes = members.select("node").distinct().join(classes.select("node", "set_hash"), "node")
+    nodes = checkpointed(members.select("node").distinct().join(classes.select("node", "set_hash"), "node"))
     sets = checkpointed(full_sets(docs, nodes, s, text))
     facts = classes.select("node", "n_shingles", "parts")
-    first = members.where("node != low").groupBy("node").agg(F.min("low").alias("a")).withColumnRenamed("node", "b")
-    links = checkpointed(confirmed(first, sets, s))
+    pairs = members.where("node != low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
+    links = checkpointed(confirmed(checkpointed(pairs), sets, s))
     found = connected_components(links)
-    of = facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    second = checkpointed(left_over(members.select("key", "node"), of, s))
-    if second.limit(1).count():
-        found = connected_components(links.union(confirmed(second, sets, s)))
+    best = True  # as long as that joins components, then once all pairs that are left
+    while True:
+        of = facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = checkpointed(left_over(members.select("key", "node"), of, s, best))
+        more = checkpointed(confirmed(pairs, sets, s))
+        any_more = more.limit(1).count() > 0
+        if any_more:
+            links = checkpointed(links.union(more))
+            found = connected_components(links)
+        if not best:
+            break
+        best = any_more
     named = classes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

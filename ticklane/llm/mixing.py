@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, extend
+from .common import WORD, checkpointed, extend, sized
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times a source's size
@@ -63,14 +63,14 @@ def thresholds(compact: DataFrame) -> DataFrame:
     totals = targets(compact.groupBy("source").agg(F.sum("size").alias("source_size")))
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("long")
     plan = checkpointed(totals.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")))
-    small = bounded(plan)
+    small = sized(plan, FEW)
     same = lambda a, b, *keys: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]]
     first, second = F.shiftright("hash", HASH_BITS - BITS), F.shiftright("hash", HASH_BITS - 2 * BITS)
     coarse = compact.groupBy("source", first.alias("first")).agg(F.sum("size").alias("n")).alias("h").join(small.alias("p"), same("h", "p")).select("h.*", "budget", F.lit(0).cast("long").alias("before"))
-    edge = bounded(checkpointed(_boundary(coarse, ["first"]).select("source", "first", "budget", "before")))
+    edge = sized(checkpointed(_boundary(coarse, ["first"]).select("source", "first", "budget", "before")), FEW)
     inner = compact.withColumn("first", first).alias("d").join(edge.alias("e"), same("d", "e", "first")).select("d.*", "budget", "before")
     fine = inner.groupBy("source", "budget", "before", second.alias("second")).agg(F.sum("size").alias("n"))
-    edge = bounded(checkpointed(_boundary(fine, ["second"]).select("source", "second", "budget", "before")))
+    edge = sized(checkpointed(_boundary(fine, ["second"]).select("source", "second", "budget", "before")), FEW)
     inner = compact.withColumn("second", second).alias("d").join(edge.alias("e"), same("d", "e", "second")).select("d.*", "budget", "before")
     last = _boundary(inner.groupBy("source", "budget", "before", "hash").agg(F.sum("size").alias("n")), ["hash"])
     nearer = (F.col("after") - F.col("budget")) < (F.col("budget") - F.col("before"))
@@ -79,16 +79,11 @@ def thresholds(compact: DataFrame) -> DataFrame:
     return joined.select("p.source", "source_size", "target", "passes", F.coalesce("cut", F.lit(-1)).alias("cut"))
 
 
-def bounded(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if it was counted to have few rows; else Spark's own join strategy holds."""
-    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
-
-
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix takes the document) and taken = copies * size."""
     compact = checkpointed(docs.select("source", size_of(F.col(text)).alias("size"), hash_of(F.col("doc_id"), F.col("source"), F.col(text)).alias("hash")))
-    sized = extend(docs, size=size_of(F.col(text)), _hash=hash_of(F.col("doc_id"), F.col("source"), F.col(text)))
-    return taken(sized, compact)
+    measured = extend(docs, size=size_of(F.col(text)), _hash=hash_of(F.col("doc_id"), F.col("source"), F.col(text)))
+    return taken(measured, compact)
 
 
 def mix_compact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,10 +92,10 @@ def mix_compact(docs: DataFrame, text: str = "text") -> DataFrame:
     return taken(compact, compact.select("source", "size", F.col("_hash").alias("hash")))
 
 
-def taken(sized: DataFrame, compact: DataFrame) -> DataFrame:
+def taken(measured: DataFrame, compact: DataFrame) -> DataFrame:
     names = ("source_size", "target", "passes", "cut")
-    sized = sized.drop(*[c for c in sized.columns if c.lower() in (*names, "copies", "taken")])
-    plan = bounded(checkpointed(thresholds(compact)))
-    joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left").select("d.*", *[F.col(f"p.{x}") for x in names])
+    measured = measured.drop(*[c for c in measured.columns if c.lower() in (*names, "copies", "taken")])
+    plan = sized(checkpointed(thresholds(compact)), FEW)
+    joined = measured.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left").select("d.*", *[F.col(f"p.{x}") for x in names])
     copies = F.col("passes") + (F.col("_hash") <= F.col("cut")).cast("long")
     return extend(extend(joined, copies=copies), taken=F.col("copies") * F.col("size")).drop("_hash", "passes", "cut")
