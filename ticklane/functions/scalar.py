@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: Added to denominators by the book features.
@@ -34,13 +34,21 @@ def at_least_zero_root(x: Column) -> Column:
 
 def unbiased_skew(n: Column, skew: Column) -> Column:
     """Bias-corrected skewness from the population one; null under three values."""
-    return F.when(n >= 3, F.sqrt(n * (n - 1)) / (n - 2) * skew)
+    return F.when(n >= 3, divide(F.sqrt(n * (n - 1)), (n - 2).cast("double")) * skew)
 
 
 def unbiased_kurtosis(n: Column, excess: Column) -> Column:
     """Bias-corrected excess kurtosis from the population one; null under four values."""
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6))
+    return F.when(n >= 4, divide((n - 1).cast("double"), ((n - 2) * (n - 3)).cast("double")) * ((n + 1) * excess + 6))
 
 
 def log_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.ln(a / b))
+
+
+def correlation(x: Column | str, y: Column | str, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the rows that have both, as an aggregate or over a frame; null without variation (corr itself fails there)."""
+    x, y = col(x), col(y)
+    over = (lambda c: c.over(frame)) if frame is not None else (lambda c: c)
+    both = lambda c: F.when(x.isNotNull() & y.isNotNull(), c)
+    return divide(over(F.covar_pop(x, y)), over(F.stddev_pop(both(x))) * over(F.stddev_pop(both(y))))

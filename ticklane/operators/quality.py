@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import divide, seconds_between, unbiased_kurtosis, unbiased_skew
+from ..functions.scalar import correlation, divide, seconds_between, unbiased_kurtosis, unbiased_skew
 from .keys import KEYS, Keys
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -83,7 +83,7 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
             w = Window.orderBy(c)
             df = df.withColumn(c, F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("correlation")) for a, b in pairs]).alias("r"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("correlation")) for a, b in pairs]).alias("r"))
     return one.select(F.explode("r").alias("r")).select("r.*")
 
 

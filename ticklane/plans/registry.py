@@ -22,10 +22,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def near(c: Column | str, digits: int = 6) -> Column:
+    """c rounded, off the ties: quotients often end in a 5 at the next digit, where two engines' last bits decide."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.31 * 10 ** -(digits + 1)), digits)
+
+
+def near_sql(c: str, digits: int = 6) -> str:
+    return f"round(({c}) + {0.31 * 10 ** -(digits + 1)!r}::DOUBLE, {digits})"
+
+
 def rounded(columns: dict[str, Column], digits: int = 6) -> list[Column]:
-    """The columns under their names, rounded; sums of floating numbers depend on their order in the last digits. Adding 0.0 turns -0.0 into 0.0."""
-    return [(F.round(c, digits) + F.lit(0.0)).alias(n) for n, c in columns.items()]
+    return [near(c, digits).alias(n) for n, c in columns.items()]
 
 
 def rounded_sql(columns: dict[str, str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {n}" for n, c in columns.items())
+    return ", ".join(f"{near_sql(c, digits)} AS {n}" for n, c in columns.items())
