@@ -153,8 +153,8 @@ def with_bar_dynamics(bars: DataFrame, price: str = "close", volume: str = "volu
         "ewma_fast": fast,
         "ewma_slow": slow,
         **{f"{n}_{x}": F.coalesce(f(c, k, keys), F.lit(0.0)) for n, c in (("ret", "ret"), ("vol", "_vol")) for x, f in (("skew", rolling_skew), ("kurt", rolling_kurtosis))},
-        **{f"ret_acf_{n}": F.coalesce(full(F.nanvl(F.corr("ret", f"_r{n}").over(frame(-(k - 1 - n))), F.lit(None).cast("double")), "ret", k, keys), F.lit(0.0)) for n in lags},
-        **{f"vol_acf_{n}": F.coalesce(full(F.nanvl(F.corr("_vol", f"_v{n}").over(frame(-(k - 1 - n))), F.lit(None).cast("double")), "_vol", k, keys), F.lit(0.0)) for n in lags},
+        **{f"ret_acf_{n}": F.coalesce(full(correlation("ret", f"_r{n}", frame(-(k - 1 - n))), "ret", k, keys), F.lit(0.0)) for n in lags},
+        **{f"vol_acf_{n}": F.coalesce(full(correlation("_vol", f"_v{n}", frame(-(k - 1 - n))), "_vol", k, keys), F.lit(0.0)) for n in lags},
     }
     out = out.withColumns(columns).withColumn("vol_regime", F.coalesce(divide(F.col("ewma_fast"), F.col("ewma_slow")), F.lit(1.0)))
     return out.drop("_prev", "_sum5", "_vol", *[f"_{x}{n}" for x in "rv" for n in lags])
@@ -196,5 +196,3 @@ def centred_mean(x: str, k: int = 10, keys: Keys = KEYS) -> Column:
     """Mean of k rows around the current one; null where fewer are there."""
     frame = keys.ordered().rowsBetween(-(k // 2), k - k // 2 - 1)
     return F.when(F.count(x).over(frame) >= k, F.avg(x).over(frame))
-
-
