@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Depth updates as sent, and their names here: U and u would be one name to Spark.
 DEPTH = "symbol string, U long, u long, pu long, b array<array<string>>, a array<array<string>>, E long"
+UPDATE = "struct<symbol:string,first_id:long,last_id:long,previous_id:long,bids:array<array<string>>,asks:array<array<string>>,event_ms:long>"
 
 
-def parsed(messages: DataFrame, schema: str = DEPTH, value: str = "value") -> DataFrame:
-    """JSON messages as rows; those without U or u are dropped where the schema has them."""
-    rows = messages.select(F.from_json(F.col(value).cast("string"), schema).alias("m")).select("m.*")
-    return rows.where("U is not null and u is not null") if {"U", "u"} <= set(rows.columns) else rows
+def parsed(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """JSON messages as rows of the schema."""
+    return messages.select(F.from_json(F.col(value).cast("string"), schema).alias("m")).select("m.*")
+
+
+def depth_updates(messages: DataFrame, value: str = "value") -> DataFrame:
+    """JSON depth messages (DEPTH) as rows of UPDATE; those without the first or last id are dropped."""
+    return messages.select(F.from_json(F.col(value).cast("string"), DEPTH).cast(UPDATE).alias("m")).select("m.*").where("first_id is not null and last_id is not null")
 
 
 def bars(trades: DataFrame, every: str = "1 minute", late: str = "10 seconds") -> DataFrame:
@@ -46,32 +52,32 @@ def appended(rows: DataFrame, path: str, checkpoint: str, every: str | None = "3
 
 
 def book_snapshots(updates: DataFrame, levels: int = 10) -> DataFrame:
-    """(symbol, second, gap, bids, asks): the book after the last update of each second, best levels first, from depth updates.
+    """(symbol, second, gap, bids, asks): the book after the last update of each second, best levels first, from depth_updates.
 
-    Updates (see DEPTH) are applied per symbol in order of u. An update that is older than the book is dropped; one that does not follow on it
-    (pu, or without it U, must meet the last u) empties the book and gives a row with gap true. The state is one book.
+    Updates are applied per symbol in order of last_id. An update that is older than the book is dropped; one that does not follow on it
+    (previous_id, or without it first_id, must meet the last id) empties the book and gives a row with gap true. The state is one book.
     """
     state = "book string, last long"
     out = "symbol string, second long, gap boolean, bids array<array<double>>, asks array<array<double>>"
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        book, last = (json.loads(st.get[0]), st.get[1]) if st.exists else ({"b": {}, "a": {}}, None)
+        book, last = (json.loads(st.get[0]), st.get[1]) if st.exists else ({"bids": {}, "asks": {}}, None)
         rows: dict[int, list] = {}
-        for m in pd.concat(batches).sort_values(["u", "U"]).itertuples(index=False):
-            if last is not None and m.u <= last:
+        for m in pd.concat(batches).sort_values(["last_id", "first_id"]).itertuples(index=False):
+            if last is not None and m.last_id <= last:
                 continue
-            follows = last is None or (m.pu == last if pd.notna(m.pu) else m.U <= last + 1 <= m.u)
+            follows = last is None or (m.previous_id == last if pd.notna(m.previous_id) else m.first_id <= last + 1 <= m.last_id)
             if not follows:
-                book = {"b": {}, "a": {}}
-            for side in "ba":
+                book = {"bids": {}, "asks": {}}
+            for side in ("bids", "asks"):
                 for price, size in getattr(m, side):
                     if float(size):
                         book[side][price] = float(size)
                     else:
                         book[side].pop(price, None)
-            last, second = int(m.u), int(m.E) // 1000
-            best = {s: sorted(([float(p), q] for p, q in book[s].items()), reverse=s == "b")[:levels] for s in "ba"}
-            rows[second] = [key[0], second, not follows or rows.get(second, [0, 0, False])[2], best["b"], best["a"]]
+            last, second = int(m.last_id), int(m.event_ms) // 1000
+            best = {s: sorted(([float(p), q] for p, q in book[s].items()), reverse=s == "bids")[:levels] for s in ("bids", "asks")}
+            rows[second] = [key[0], second, not follows or rows.get(second, [0, 0, False])[2], best["bids"], best["asks"]]
         st.update((json.dumps(book), last))
         yield pd.DataFrame(list(rows.values()), columns=["symbol", "second", "gap", "bids", "asks"])
 
@@ -87,6 +93,6 @@ def book_at(changes: DataFrame, levels: int = 10) -> DataFrame:
 
 def sequence_gaps(updates: DataFrame) -> DataFrame:
     """Batch: updates that do not follow on the one before."""
-    before = F.lag("u").over(Window.partitionBy("symbol").orderBy("u"))
+    before = F.lag("last_id").over(Window.partitionBy("symbol").orderBy("last_id"))
     rows = updates.withColumn("_before", before).where("_before is not null")
-    return rows.where(F.when(F.col("pu").isNotNull(), F.col("pu") != F.col("_before")).otherwise(F.col("U") > F.col("_before") + 1)).drop("_before")
+    return rows.where(F.when(F.col("previous_id").isNotNull(), F.col("previous_id") != F.col("_before")).otherwise(F.col("first_id") > F.col("_before") + 1)).drop("_before")
