@@ -159,7 +159,7 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def left_over(members: DataFrame, of: DataFrame, s: Settings, best: bool) -> DataFrame:
     """Pairs of documents of different components that share a key, have similar sizes and agreeing signatures: all, or with best for each document the one that agrees most.
 
-    members: (key, node); of: (node, component, n_shingles, parts). Keys with many documents are dealt in blocks: each pair of blocks is a group of at most about two blocks' rows.
+    members: (key, table, node); of: (node, component, n_shingles, parts). Keys with many documents are dealt in blocks: each pair of blocks is a group of at most about two blocks' rows. A pair that shares several keys counts in the first of their tables only.
     """
     open_keys = members.join(of.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
     blocks = F.ceil(F.col("n") / s.block).cast("int")
@@ -167,31 +167,32 @@ def left_over(members: DataFrame, of: DataFrame, s: Settings, best: bool) -> Dat
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block once.
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts")
+    dealt = dealt.select("key", "table", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts")
     # Few bytes but much work a row: a fixed number of tasks, or small partitions would be joined into a few.
     dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y").sortWithinPartitions("key", "x", "y")
     least = int(np.ceil(s.agree * s.hashes))
 
-    def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
-        node, comp, n, own = (g[c].to_numpy() for c in ("node", "component", "n_shingles", "own"))
-        parts = packed(g["parts"])
-        x, y = g["x"].iloc[0], g["y"].iloc[0]
+    def pairs_of(at: int, x: int, y: int, node, comp, n, own, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = (np.flatnonzero(own == k) for k in (x, y))
         a, b = n[left][:, None], n[right][None]
         close = (comp[left][:, None] != comp[right][None]) & (100 * np.minimum(a, b) >= s.percent * np.maximum(a, b))
         i, j = np.nonzero(np.triu(close, 1) if x == y else close)
         i, j = left[i], right[j]
         agree = np.concatenate([np.zeros(0, np.int64), *[agreement(parts[i[k : k + 8192]], parts[j[k : k + 8192]]) for k in range(0, len(i), 8192)]]) - (8 * parts.shape[1] - s.hashes)
-        i, j, agree = i[agree >= least], j[agree >= least], agree[agree >= least]
-        if best:  # the last of equal indices counts
-            order = np.argsort(np.concatenate([agree, agree]), kind="stable")
-            of, partner = np.concatenate([i, j])[order], np.full(len(g), -1)
-            partner[of] = np.concatenate([j, i])[order]
-            top = np.zeros(len(g), np.int64)
-            top[of] = np.concatenate([agree, agree])[order]
-            i = np.flatnonzero(partner >= 0)
-            j, agree = partner[i], top[i]
-        return pd.DataFrame({"node": node[i], "other": node[j], "agree": agree}, dtype="int64")
+        some = agree >= least
+        i, j, agree = i[some], j[some], agree[some]
+        if len(i):
+            same = (parts[i].view(np.uint8)[:, : s.hashes] == parts[j].view(np.uint8)[:, : s.hashes]).reshape(len(i), 2, s.bands, s.rows).all(3)
+            first = ~same[:, 0, : at // s.bands].any(1) & ~same[:, 1, : at % s.bands].any(1)
+            i, j, agree = i[first], j[first], agree[first]
+        if best and len(i):  # the last of equal indices counts
+            of, to, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+            order = np.argsort(agree, kind="stable")
+            chosen = np.full(len(node), -1)
+            chosen[of[order]] = order
+            order = chosen[chosen >= 0]
+            i, j, agree = of[order], to[order], agree[order]
+        return node[i], node[j], agree
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -201,12 +202,19 @@ def left_over(members: DataFrame, of: DataFrame, s: Settings, best: bool) -> Dat
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             ids = batch[["key", "x", "y"]].to_numpy()
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts):
-                if b - a > 1 and len(found := pairs_of(batch.iloc[a:b])):
-                    yield found
+            yield from compared(batch, [0, *cuts])
             rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
-        if rest is not None and len(rest) > 1:
-            yield pairs_of(rest)
+        if rest is not None:
+            yield from compared(rest, [0, len(rest)])
+
+    def compared(rows: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
+        """The pairs of each group between two cuts, as one frame."""
+        at, x, y, *columns = (rows[c].to_numpy() for c in ("table", "x", "y", "node", "component", "n_shingles", "own"))
+        columns.append(packed(rows["parts"]))
+        made = [pairs_of(at[a], x[a], y[a], *[c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        if made:
+            node, other, agree = map(np.concatenate, zip(*made))
+            yield pd.DataFrame({"node": node, "other": other, "agree": agree}, dtype="int64")
 
     found = dealt.mapInPandas(scan, "node long, other long, agree long")
     if best:
@@ -221,9 +229,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     least = F.min(F.struct("doc_id", "n_shingles", "u", "v", "parts")).alias("c")
     classes = checkpointed(able.groupBy("set_hash").agg(least).select("set_hash", F.col("c.doc_id").alias("node"), "c.n_shingles", "c.u", "c.v", "c.parts"))
     table = F.transform(F.sequence(F.lit(0), F.lit(s.bands**2 - 1)), lambda k: F.xxhash64(k, F.get("u", F.floor(k / s.bands).cast("int")), F.get("v", k % s.bands)))
-    keys = classes.select("node", F.explode(table).alias("key"))
+    keys = classes.select("node", F.posexplode(table).alias("table", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low")
-    members = checkpointed(keys.join(shared, "key").select("key", "node", "low"))
+    members = checkpointed(keys.join(shared, "key").select("key", "table", "node", "low"))
     nodes = checkpointed(members.select("node").distinct().join(classes.select("node", "set_hash"), "node"))
     sets = checkpointed(full_sets(docs, nodes, s, text))
     facts = classes.select("node", "n_shingles", "parts")
@@ -232,7 +240,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     found = connected_components(links)
     for best in [True] * s.rounds + [False]:
         of = facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = checkpointed(left_over(members.select("key", "node"), of, s, best))
+        pairs = checkpointed(left_over(members.select("key", "table", "node"), of, s, best))
         more = checkpointed(confirmed(pairs, sets, s))
         if more.limit(1).count():
             links = checkpointed(links.union(more))
