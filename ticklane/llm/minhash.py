@@ -4,7 +4,8 @@ Two collections of band hashes are computed, each band from a few minhashes; eve
 the second is a table key, so `bands` squared tables need only two times `bands` bands. Documents of equal shingle sets
 form a class with one representative. Representatives that share a key are candidates: first each against the least
 document it shares a key with; then, within the keys whose documents are still in different components, each against the
-one whose signature agrees most, a few times; last all pairs that are left, in blocks, by their signatures. Candidates are confirmed on full shingle sets.
+one whose signature agrees most, a few times; last all pairs that are left, in blocks. Candidates are confirmed on full
+shingle sets; the last pass does so inside the blocks and gives only the links that connect components.
 
 A document's set holds its distinct shingles of `width` words, lower-cased (A-Z); with fewer words it is the whole
 sequence as one shingle. Two documents are linked if 100 * intersection >= percent * union.
@@ -39,7 +40,7 @@ FEW = 500_000
 
 @dataclass(frozen=True)
 class Settings:
-    """width: words of a shingle; percent: least similarity; bands: in each collection; rows: minhashes of a band; agree: least share of equal signature parts for a pair to be confirmed (a pair at the threshold has 80 % on average, 3.7 deviations more); block: documents of a key compared at once; rounds: passes in which each document is compared with its best partner only, before all pairs that are left."""
+    """width: words of a shingle; percent: least similarity; bands: in each collection; rows: minhashes of a band; agree: least share of equal signature parts for a pair to be confirmed (a pair at the threshold has 80 % on average, 3.7 deviations more); block, block_shingles: documents of a key compared at once, and about how many shingles they have; rounds: passes in which each document is compared with its best partner only, before all pairs that are left."""
 
     width: int = 4
     percent: int = 80
@@ -47,6 +48,7 @@ class Settings:
     rows: int = 3
     agree: float = 0.6
     block: int = 256
+    block_shingles: int = 2_000_000
     rounds: int = 2
 
     @property
@@ -156,72 +158,130 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 8 * z.shape[1] - np.bitwise_count((((z & low) + low) | z) & ~low).sum(1, dtype=np.int64)
 
 
-def left_over(members: DataFrame, of: DataFrame, s: Settings, best: bool) -> DataFrame:
-    """Pairs of documents of different components that share a key, have similar sizes and agreeing signatures: all, or with best for each document the one that agrees most.
+def in_blocks(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
+    """The rows of the keys whose documents are in different components, dealt in blocks.
 
-    members: (key, table, node); of: (node, component, n_shingles, parts). Keys with many documents are dealt in blocks: each pair of blocks is a group of at most about two blocks' rows. A pair that shares several keys counts in the first of their tables only.
+    members: (key, table, node); of: (node, component, n_shingles, parts). Each pair of a key's blocks, x and y, is a group of at most about two blocks' rows and shingles.
     """
-    open_keys = members.join(of.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
-    rows = members.join(open_keys.select("key", blocks.alias("blocks")), "key").join(of, "node")
+    sizes = members.join(of.select("node", "component", "n_shingles"), "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("size") / s.block_shingles)).cast("int")
+    rows = members.join(sizes.where("low != high").select("key", blocks.alias("blocks")), "key").join(of, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block once.
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "table", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts")
-    # Few bytes but much work a row: a fixed number of tasks, or small partitions would be joined into a few.
-    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    least = int(np.ceil(s.agree * s.hashes))
-
-    def pairs_of(at: int, x: int, y: int, node, comp, n, own, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, right = (np.flatnonzero(own == k) for k in (x, y))
-        a, b = n[left][:, None], n[right][None]
-        close = (comp[left][:, None] != comp[right][None]) & (100 * np.minimum(a, b) >= s.percent * np.maximum(a, b))
-        i, j = np.nonzero(np.triu(close, 1) if x == y else close)
+    return by_group(dealt.select("key", "table", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts"))
+
+
+def by_group(rows: DataFrame) -> DataFrame:
+    """rows dealt by (key, x, y), groups in one piece. Few bytes but much work a row: a fixed number of tasks, or small partitions would be joined into a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole groups, and the places where the groups begin and end."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        ids = batch[["key", "x", "y"]].to_numpy()
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+        if len(cuts):
+            yield batch.iloc[: cuts[-1]], np.concatenate([[0], cuts])
+        rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
+def candidates(rows: pd.DataFrame, cuts: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each group with any, the pairs of rows, as places in rows, and their number of equal signature parts: of different components, similar sizes and agreeing signatures. A pair that shares several keys counts in the first of their tables only."""
+    at, x, y, own, comp, n = (rows[c].to_numpy() for c in ("table", "x", "y", "own", "component", "n_shingles"))
+    parts = packed(rows["parts"])
+    least, filled = int(np.ceil(s.agree * s.hashes)), 8 * parts.shape[1] - s.hashes
+    for a, b in zip(cuts, cuts[1:]):
+        left, right = (a + np.flatnonzero(own[a:b] == k) for k in (x[a], y[a]))
+        m, k = n[left][:, None], n[right][None]
+        close = (comp[left][:, None] != comp[right][None]) & (100 * np.minimum(m, k) >= s.percent * np.maximum(m, k))
+        i, j = np.nonzero(np.triu(close, 1) if x[a] == y[a] else close)
+        if not len(i):
+            continue
         i, j = left[i], right[j]
-        agree = np.concatenate([np.zeros(0, np.int64), *[agreement(parts[i[k : k + 8192]], parts[j[k : k + 8192]]) for k in range(0, len(i), 8192)]]) - (8 * parts.shape[1] - s.hashes)
+        agree = np.concatenate([agreement(parts[i[k : k + 8192]], parts[j[k : k + 8192]]) for k in range(0, len(i), 8192)]) - filled
         some = agree >= least
         i, j, agree = i[some], j[some], agree[some]
-        if len(i):
-            same = (parts[i].view(np.uint8)[:, : s.hashes] == parts[j].view(np.uint8)[:, : s.hashes]).reshape(len(i), 2, s.bands, s.rows).all(3)
-            first = ~same[:, 0, : at // s.bands].any(1) & ~same[:, 1, : at % s.bands].any(1)
-            i, j, agree = i[first], j[first], agree[first]
-        if best and len(i):  # the last of equal indices counts
-            of, to, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-            order = np.argsort(agree, kind="stable")
-            chosen = np.full(len(node), -1)
-            chosen[of[order]] = order
-            order = chosen[chosen >= 0]
-            i, j, agree = of[order], to[order], agree[order]
-        return node[i], node[j], agree
+        same = (parts[i].view(np.uint8)[:, : s.hashes] == parts[j].view(np.uint8)[:, : s.hashes]).reshape(len(i), 2, s.bands, s.rows).all(3)
+        first = ~same[:, 0, : at[a] // s.bands].any(1) & ~same[:, 1, : at[a] % s.bands].any(1)
+        if first.any():
+            yield i[first], j[first], agree[first]
+
+
+def best_partners(blocks: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): each document with the candidate whose signature agrees most."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            ids = batch[["key", "x", "y"]].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            yield from compared(batch, [0, *cuts])
-            rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
-        if rest is not None:
-            yield from compared(rest, [0, len(rest)])
-
-    def compared(rows: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
-        """The pairs of each group between two cuts, as one frame."""
-        at, x, y, *columns = (rows[c].to_numpy() for c in ("table", "x", "y", "node", "component", "n_shingles", "own"))
-        columns.append(packed(rows["parts"]))
-        made = [pairs_of(at[a], x[a], y[a], *[c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
-        if made:
-            node, other, agree = map(np.concatenate, zip(*made))
-            yield pd.DataFrame({"node": node, "other": other, "agree": agree}, dtype="int64")
-
-    found = dealt.mapInPandas(scan, "node long, other long, agree long")
-    if best:
-        found = found.groupBy("node").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
+        for rows, cuts in groups(batches):
+            node, best = rows["node"].to_numpy(), {}
+            for i, j, agree in candidates(rows, cuts, s):
+                of, to, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+                order = np.argsort(agree, kind="stable")
+                chosen = np.full(len(node), -1)
+                chosen[of[order]] = order  # the last of equal indices counts
+                order = chosen[chosen >= 0]
+                for k, v, n in zip(node[of[order]].tolist(), node[to[order]].tolist(), agree[order].tolist()):
+                    best[k] = max(best.get(k, (0, 0)), (n, v))
+            if best:
+                yield pd.DataFrame([(k, v, n) for k, (n, v) in best.items()], columns=["node", "other", "agree"])
+
+    found = blocks.mapInPandas(scan, "node long, other long, agree long").groupBy("node").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def links_left(blocks: DataFrame, of: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that connect whatever confirmed pairs of candidates connect: full sets meet in the blocks that have candidates, all their pairs are compared there, and a block gives no more links than it has documents."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cuts in groups(batches):
+            found = [np.concatenate([i, j]) for i, j, _ in candidates(rows, cuts, s)]
+            if found:
+                yield rows.iloc[np.unique(np.concatenate(found))][["key", "table", "x", "y", "own", "node"]]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cuts in groups(batches):
+            node, comp, full = rows["node"].to_numpy(), rows["component"].tolist(), rows["shingles"].to_numpy()
+            links = []
+            for i, j, _ in candidates(rows, cuts, s):
+                root = {comp[k]: comp[k] for k in np.unique(np.concatenate([i, j])).tolist()}
+
+                def find(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                ends = np.flatnonzero(np.diff(i)) + 1
+                for one, others in zip(i[[0, *ends]].tolist(), np.split(j, ends)):
+                    open_ = [k for k in others.tolist() if find(comp[k]) != find(comp[one])]
+                    for k in (k for at in range(0, len(open_), 64) for k in np.array(open_[at : at + 64])[similar(full[one], full[open_[at : at + 64]], s.percent)].tolist()):
+                        if find(comp[k]) != find(comp[one]):
+                            root[find(comp[k])] = find(comp[one])
+                            links.append((node[one], node[k]))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    wanted = blocks.mapInPandas(asked, "key long, table int, x int, y int, own int, node long")
+    return by_group(wanted.join(of, "node").join(sets, "node")).mapInPandas(linked, "a long, b long")
+
+
+def similar(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others, like one the distinct shingles in order as unsigned numbers, are similar enough to it."""
+    n = np.array([len(x) for x in others])
+    one, every = one.view(np.uint64), np.concatenate(others).view(np.uint64)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+    return 100 * common >= percent * (len(one) + n - common)
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of all docs (doc_id, text)."""
     every = checkpointed(signature(docs, s, text))
@@ -238,10 +298,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     pairs = members.where("node != low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
     links = checkpointed(confirmed(checkpointed(pairs), sets, s))
     found = connected_components(links)
-    for best in [True] * s.rounds + [False]:
+    for round_ in range(s.rounds + 1):
         of = facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = checkpointed(left_over(members.select("key", "table", "node"), of, s, best))
-        more = checkpointed(confirmed(pairs, sets, s))
+        blocks = in_blocks(members.select("key", "table", "node"), of, s)
+        if round_ < s.rounds:
+            more = checkpointed(confirmed(checkpointed(best_partners(blocks, s)), sets, s))
+        else:
+            more = checkpointed(links_left(blocks, of, sets, s).distinct())
         if more.limit(1).count():
             links = checkpointed(links.union(more))
             found = connected_components(links)
