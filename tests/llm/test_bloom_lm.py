@@ -94,3 +94,37 @@ def test_without_training_documents(spark):
     row = bloom_lm.score(docs).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
     assert bloom_lm.score(docs.limit(0)).count() == 0
+
+
+def rare_pairs(n=700):
+    """Documents of words of their own."""
+    r = random.Random(4)
+    return [" ".join(f"x{k}y{r.randrange(10**6)}" for _ in range(12)) for k in range(n)]
+
+
+@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 12])
+def test_pairs_of_rare_words_are_learned(spark, max_bits):
+    texts = rare_pairs()
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10 == 0]
+    taught = max(i for i in range(len(texts)) if i not in held)  # the last words of their frequency
+    words = texts[taught].split()
+    # Two held-out documents of one training document's words: as they stood there, and turned round.
+    texts[held[0]], texts[held[1]] = " ".join(words), " ".join(words[::-1])
+    rows = {r.doc_id: r for r in bloom_lm.score(documents(spark, texts), bloom_lm.Settings(max_bits=max_bits, unit=50, bucket_tokens=1000)).collect()}
+    assert rows[held[0]].base_score == pytest.approx(rows[held[1]].base_score)
+    assert rows[held[0]].score > rows[held[1]].score + 11 * 2
+
+
+def test_buckets_score_as_the_broadcast_filter(spark):
+    texts = [*corpus(300), *rare_pairs(100), *HARD, *HARD]
+    one, other = ({r.doc_id: r for r in bloom_lm.score(documents(spark, texts), bloom_lm.Settings(max_bits=m, unit=40, bucket_tokens=500, probes=12, bits_per_key=30)).collect()} for m in (1 << 28, 1))
+    assert len(one) == len(other) == len(texts)
+    for i in one:
+        assert one[i][:5] == other[i][:5] and one[i].base_score == pytest.approx(other[i].base_score) and one[i].score == pytest.approx(other[i].score)
+
+
+def test_filter_leaves_no_level_out(spark):
+    s = bloom_lm.Settings(max_bits=1 << 18, segment_bits=16)
+    singles = spark.createDataFrame([(f"t{i}".encode(), 1) for i in range(40_000)], "token binary, n long")
+    f = bloom_lm.build_filter(singles, spark.createDataFrame([], "gram long, n long"), s)
+    assert (f.levels(np.array([bloom_lm.xxhash.xxh3_64_intdigest(f"t{i}".encode()) for i in range(40_000)], np.uint64)) > 0).all()

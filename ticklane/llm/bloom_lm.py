@@ -1,10 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Token counts and counts of pairs of frequent words are quantised to powers of two; an n-gram of level q puts the keys
-(n-gram, 1) to (n-gram, q) into a Bloom filter. A scorer probes level after level until one is absent, so the filter
-alone, broadcast to the workers, yields smoothed probabilities. The filter is built in segments by Spark, sized from the
-number of keys, and of at most `max_bits`: beyond that, the lowest levels are left to the back-off. Base scores use exact
-counts: those of the `hot` most frequent tokens (a bounded table) where the texts are read, all others by a join.
+Counts of all tokens and of all pairs of tokens that follow each other are quantised to powers of two; an n-gram of level
+q puts the keys (n-gram, 1) to (n-gram, q) into a Bloom filter. A scorer probes level after level until one is absent, so
+the filter alone yields smoothed probabilities. It is sized from the number of its keys, and no level or n-gram is left
+out. A filter of at most `max_bits` is built in segments by Spark and broadcast. A larger one stays in buckets of n-grams:
+each unit of texts sends its distinct n-grams to their buckets, where the bucket's part of the filter is built from their
+counts and probed, and gets their levels back. Base scores use exact counts: those of the `hot` most frequent tokens (a
+bounded table) where the texts are read, all others by a join.
 
 Tokens are the lower-cased (A-Z) words of a text, then one end token, the empty string. Null text is empty text: the end
 token alone. Rows: one output row per input row; repeated rows get equal results. Ties among tokens as frequent as the
@@ -26,18 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, bucket_of, texts_of, written
+from .common import bucket_of, texts_of, written
+from .textstats import numbered
 
 ADD = 0.1  # to every count of the base score
 
 
 @dataclass(frozen=True)
 class Settings:
-    """frequent: most words whose pairs are counted; hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter; segment_bits: of the parts it is built in."""
+    """hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter; segment_bits: of the parts it is built in; max_bits: of a filter that is broadcast; unit, unit_bytes: texts taken together and about how many bytes they have; bucket_tokens: training tokens to a bucket of n-grams."""
 
     folds: int = 10
     held_out: int = 0
-    frequent: int = 4096
     hot: int = 131_072
     hot_bytes: int = 64
     weight: float = 0.7
@@ -45,6 +47,9 @@ class Settings:
     probes: int = 5
     segment_bits: int = 18
     max_bits: int = 1 << 28
+    unit: int = 1024
+    unit_bytes: int = 2_000_000
+    bucket_tokens: int = 300_000
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -98,9 +103,56 @@ class LogFrequencyFilter:
         return out
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the level's range."""
-        level = self.levels(grams)
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
+        return estimated(self.levels(grams))
+
+
+def estimated(level: np.ndarray) -> np.ndarray:
+    """Counts: the middle of the level's range."""
+    return np.where(level > 1, 1.5 * 2.0 ** (level.astype(np.int64) - 1), level)
+
+
+class Unit:
+    """Texts taken together: their distinct tokens and pairs; before a text stands the end token."""
+
+    def __init__(self, texts: list[bytes | None]):
+        each = [tokens(data) for data in texts]
+        self.lengths = np.array([len(words) for words in each], np.int64)
+        ends = np.cumsum(self.lengths)
+        self.starts = ends - self.lengths
+        self.distinct, self.ids = numbered([w for words in each for w in words])
+        self.words = np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct], np.uint64)
+        self.before = np.roll(self.ids, 1)
+        self.before[self.starts] = self.ids[ends - 1]  # the end token is the last
+        codes, self.pair = np.unique((self.before << 32) | self.ids, return_inverse=True)
+        self.pairs = paired(self.words[codes >> 32], self.words[codes & 0xFFFFFFFF])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, of values per token place."""
+        return np.add.reduceat(values, self.starts)
+
+    def in_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all n-grams, their buckets by the low bits, and their order by bucket."""
+        grams = mixed(np.concatenate([self.words, self.pairs]) * np.uint64(0x9E3779B97F4A7C15))
+        of = (grams & np.uint64(buckets - 1)).astype(np.int64)
+        return grams, of, np.argsort(of, kind="stable")
+
+    def scores(self, single: np.ndarray, both: np.ndarray, total: int, distinct: int, s: Settings) -> np.ndarray:
+        """log10 probability of each text from the estimated counts of the distinct tokens and of the pairs; total and distinct as in the base score."""
+        p = ((single + ADD) / (total + ADD * (distinct + 1)))[self.ids]
+        known = np.flatnonzero(single[self.before] > 0)
+        p[known] = (1 - s.weight) * p[known] + s.weight * np.minimum(1, both[self.pair[known]] / single[self.before[known]])
+        return self.sums(np.log10(p))
+
+
+def units(texts: pa.Array, s: Settings) -> Iterator[tuple[int, int]]:
+    """Start and length of each unit of an array of texts."""
+    ends = np.cumsum([len(x or b"") for x in texts_of(texts)])
+    at = 0
+    while at < len(ends):
+        room = (ends[at - 1] if at else 0) + s.unit_bytes
+        n = min(s.unit, max(1, int(np.searchsorted(ends, room, "right")) - at))
+        yield at, min(n, len(ends) - at)
+        at += n
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -123,32 +175,14 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(scan, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(training: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """(gram, n): hashes of the pairs of frequent tokens that follow each other; before a text stands the end token."""
+def pair_counts(training: DataFrame, s: Settings) -> DataFrame:
+    """(gram, n): hashes of all pairs of tokens that follow each other."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(frequent)}
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in frequent], np.uint64)
-        kept: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(kept or [np.zeros(0, np.int64)]), return_counts=True)
-            grams = paired(hashes[codes >> 32], hashes[codes & 0xFFFFFFFF])
-            return pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-        size = 0
         for batch in batches:
-            for data in texts_of(batch.column(0)):
-                words = tokens(data)
-                ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                before = np.concatenate([ids[-1:], ids[:-1]])  # the end token is the last
-                both = (ids >= 0) & (before >= 0)
-                kept.append((before[both] << 32) | ids[both])
-                size += len(kept[-1])
-                if size > 4_000_000:
-                    yield out()
-                    kept, size = [], 0
-        yield out()
+            for at, n in units(batch.column(0), s):
+                u = Unit(texts_of(batch.column(0).slice(at, n)))
+                yield pa.record_batch([pa.array(u.pairs.view(np.int64)), pa.array(np.bincount(u.pair))], ["gram", "n"])
 
     return training.mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -158,24 +192,37 @@ def level_of(n: str) -> F.Column:
     return F.length(F.bin(F.col(n))).cast("int")
 
 
+def bits_for(keys: int, s: Settings) -> int:
+    """Bits of a filter of so many keys: a power of two, one segment at least."""
+    return 1 << max(s.segment_bits, (max(1, keys) * s.bits_per_key - 1).bit_length())
+
+
+def all_keys(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The keys of n-grams at all levels up to their own."""
+    rank = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
+    return keyed(np.repeat(grams, level), rank)
+
+
+def local_filter(grams: np.ndarray, level: np.ndarray, s: Settings) -> LogFrequencyFilter:
+    """The filter of a bucket's n-grams."""
+    keys = all_keys(grams, level)
+    flat = np.zeros((bits_for(len(keys), s) >> s.segment_bits, 1 << s.segment_bits), bool)
+    flat[(keys & np.uint64(len(flat) - 1)).astype(np.int64)[:, None], positions(keys, s)] = True
+    return LogFrequencyFilter(s, np.packbits(flat, axis=1, bitorder="little"))
+
+
 def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings) -> LogFrequencyFilter:
-    """singles (token, n), pairs (gram, n). The driver gets at most 64 sums per kind, then the segments, max_bits in all."""
+    """singles (token, n), pairs (gram, n). The driver gets the number of keys, then the segments, max_bits in all; a filter that would need more has all keys too, but answers wrongly more often."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64)
             yield pa.record_batch([pa.array(grams.view(np.int64)), b.column(1)], ["gram", "level"])
 
-    graded = [singles.select("token", level_of("n").alias("level")).mapInArrow(hashed, "gram long, level int").withColumn("kind", F.lit(0)), pairs.select("gram", level_of("n").alias("level")).withColumn("kind", F.lit(1))]
-    sums = {(r.kind, r.level): r.n for r in singles.select(F.lit(0).alias("kind"), level_of("n").alias("level")).union(pairs.select(F.lit(1), level_of("n"))).groupBy("kind", "level").agg(F.count("*").alias("n")).collect()}
-    room, least, wanted = s.max_bits // s.bits_per_key, [1, 1], 0
-    for kind, share in ((0, 0.5), (1, 1.0)):  # half the room for single words, what is left for pairs
-        used = lambda low: sum(n * q for (k, q), n in sums.items() if k == kind and q >= low)  # noqa: B023, E731
-        while used(least[kind]) > share * (room - wanted):
-            least[kind] += 1
-        wanted += used(least[kind])
-    bits = 1 << max(s.segment_bits, (max(1, wanted) * s.bits_per_key - 1).bit_length())
-    segments = min(bits, s.max_bits) >> s.segment_bits
+    graded = singles.select("token", level_of("n").alias("level")).mapInArrow(hashed, "gram long, level int").union(pairs.select("gram", level_of("n")))
+    levels = singles.select(level_of("n").alias("level")).union(pairs.select(level_of("n")))
+    wanted = levels.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+    segments = min(bits_for(wanted, s), s.max_bits) >> s.segment_bits
 
     def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         flat = np.zeros(1 << s.segment_bits, bool)
@@ -187,50 +234,57 @@ def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings) -> LogFreque
             grams, level = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64)
             if not len(grams):
                 continue
-            each = np.repeat(grams, level)
-            rank = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-            out = keyed(each, rank)
+            out = all_keys(grams, level)
             yield pa.record_batch([pa.array(out.view(np.int64)), pa.array((out & np.uint64(segments - 1)).astype(np.int32))], ["key", "segment"])
 
-    rows = graded[0].union(graded[1]).where(F.col("level") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])).select("gram", "level")
     table = np.zeros((segments, 1 << (s.segment_bits - 3)), np.uint8)
-    for r in rows.mapInArrow(keys, "key long, segment int").groupBy("segment").applyInPandas(part, "segment int, bits binary").toLocalIterator():
+    for r in graded.mapInArrow(keys, "key long, segment int").groupBy("segment").applyInPandas(part, "segment int, bits binary").toLocalIterator():
         table[r.segment] = np.frombuffer(r.bits, np.uint8)
     return LogFrequencyFilter(s, table)
 
 
-@dataclass
-class Scorer:
-    """Scores texts with a filter; total and distinct as in the base score, frequent: the tokens whose pairs were counted."""
-
-    filter: LogFrequencyFilter
-    frequent: frozenset[bytes]
-    total: int
-    distinct: int
-
-    def __post_init__(self):
-        self.cache = RecentCache(self.facts, limit=150_000)
-
-    def facts(self, words: list[bytes]) -> list[tuple[int, float, bool]]:
-        """(hash, estimated count, frequent) of each word."""
-        hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
-        return list(zip(hashes, self.filter.counts(np.array(hashes, np.uint64)).tolist(), [w in self.frequent for w in words]))
-
-    def score(self, distinct: list[bytes], ids: np.ndarray) -> float:
-        """log10 probability of a text given as its distinct tokens and their order; the end token is the last."""
-        hashes, counts, frequent = zip(*self.cache.many(distinct))
-        hashes, counts, frequent = np.array(hashes, np.uint64), np.array(counts), np.array(frequent)
-        single = (counts + ADD) / (self.total + ADD * (self.distinct + 1))
-        before = np.concatenate([ids[-1:], ids[:-1]])
-        p = single[ids]
-        known = frequent[before] & (counts[before] > 0)
-        p[known] *= 1 - self.filter.settings.weight
-        both = np.flatnonzero(known & frequent[ids])
-        if len(both):
-            codes, at = np.unique((before[both] << 32) | ids[both], return_inverse=True)
-            n = self.filter.counts(paired(hashes[codes >> 32], hashes[codes & 0xFFFFFFFF]))
-            p[both] += self.filter.settings.weight * np.minimum(1, n / counts[codes >> 32])[at]
-        return float(np.log10(p).sum())
+def packed(docs: DataFrame, s: Settings) -> DataFrame:
+    """(unit, docs): the rows of docs, the column text among them, in units of one row each, written."""
+    kind = docs.schema.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n in units(b.column("text"), s):
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.slice(at, n).to_struct_array())], ["docs"])
+
+    return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"))
+
+
+def bucket_levels(packs: DataFrame, buckets: int, s: Settings) -> DataFrame:
+    """(unit, found): the levels of a unit's n-grams, an array of (bucket, levels) by bucket. One row of n-grams (the high 48 bits of their hashes; a bucket has too few to confuse) and their training counts goes from each unit to each bucket, and one of levels back."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for unit, docs in zip(b.column("unit").to_pylist(), b.column("docs")):
+                u = Unit(texts_of(docs.values.field("text")))
+                learned = np.repeat(~np.array(docs.values.field("held_out").to_pylist(), bool), u.lengths)
+                n = np.concatenate([np.bincount(of[learned], minlength=k) for of, k in ((u.ids, len(u.words)), (u.pair, len(u.pairs)))])
+                grams, of, order = u.in_buckets(buckets)
+                found, cuts = np.unique(of[order], return_index=True)
+                high = np.split(grams[order].view(np.uint8).reshape(-1, 8)[:, 2:], cuts[1:])
+                counts = [x.astype(np.min_scalar_type(x.max())) for x in np.split(n[order], cuts[1:])]
+                parts = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (high, counts)]
+                yield pa.record_batch([pa.array(np.full(len(found), unit)), pa.array(found), *parts], ["unit", "bucket", "grams", "n"])
+
+    def probed(g: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(x) // 6 for x in g["grams"]]
+        hashes = np.zeros((sum(sizes), 8), np.uint8)
+        hashes[:, 2:] = np.frombuffer(b"".join(g["grams"]), np.uint8).reshape(-1, 6)
+        grams, at = np.unique(hashes.view(np.uint64).ravel(), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.frombuffer(x, f"u{len(x) // k}") for x, k in zip(g["n"], sizes)]))
+        learned = n > 0
+        model = local_filter(grams[learned], np.frexp(n[learned])[1].astype(np.int64), s)
+        level = np.split(model.levels(grams).astype(np.uint8)[at], np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"unit": g["unit"], "bucket": g["bucket"], "levels": [x.tobytes() for x in level]})
+
+    probes = packs.mapInArrow(asked, "unit long, bucket long, grams binary, n binary")
+    levels = written(probes.groupBy("bucket").applyInPandas(probed, "unit long, bucket long, levels binary"))
+    return levels.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("found"))
 
 
 def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -241,32 +295,46 @@ def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Data
     singles = written(token_counts(training))
     total, distinct = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = singles.where(F.length("token") <= s.hot_bytes).orderBy(F.desc("n"), "token").limit(s.hot).collect()
-    exact = {bytes(r.token): r.n for r in top}
-    frequent = list(exact)[: s.frequent]
-    pairs = written(pair_counts(training, frequent))
-    model = build_filter(singles, pairs, s)
-    shared = spark.sparkContext.broadcast((model, exact))
+    exact = spark.sparkContext.broadcast({bytes(r.token): r.n for r in top})
+    numbered_docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), F.col(text).cast("binary").alias("text"))
+
+    def rows(part: pa.StructArray, u: Unit, single: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+        n = np.fromiter((exact.value.get(w, 0) for w in u.distinct), np.int64, len(u.distinct))
+        hot = n > 0
+        cold = np.flatnonzero(~hot[u.ids])
+        codes, often = np.unique((np.repeat(np.arange(len(u.lengths)), u.lengths)[cold] << 32) | u.ids[cold], return_counts=True)
+        ends = pa.array(np.searchsorted(codes >> 32, np.arange(len(u.lengths) + 1)), pa.int32())
+        words = pa.array([u.distinct[k] for k in (codes & 0xFFFFFFFF).tolist()], pa.binary())
+        made = [u.lengths, u.scores(single, both, total, distinct, s), u.sums(np.where(hot, np.log10(n + ADD), 0.0)[u.ids]), u.sums(hot[u.ids].astype(np.int64))]
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (words, pa.array(often.astype(np.int64)))]
+        return pa.record_batch([*(part.field(x) for x in ("row", "doc_id", "held_out")), *map(pa.array, made), *lists], ["row", "doc_id", "held_out", "n_tokens", "score", "hot_score", "hot_known", "cold", "cold_n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, exact = shared.value
-        scorer = Scorer(model, frozenset(frequent), total, distinct)
         for b in batches:
-            rows = []
-            for data in texts_of(b.column("text")):
-                words = tokens(data)
-                seen = dict(zip(own := list(dict.fromkeys(words)), range(len(words))))
-                ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-                often = np.bincount(ids, minlength=len(own))
-                n = np.fromiter((exact.get(w, 0) for w in own), np.int64, len(own))
-                hot, cold = n > 0, np.flatnonzero(n == 0)
-                rows.append((len(words), scorer.score(own, ids), float((often[hot] * np.log10(n[hot] + ADD)).sum()), int(often[hot].sum()), [own[k] for k in cold], often[cold].tolist()))
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            made = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("held_out"), *made], ["row", "doc_id", "held_out", "n_tokens", "score", "hot_score", "hot_known", "cold", "cold_n"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), F.col(text).cast("binary").alias("text"))
+            for at, n in units(b.column("text"), s):
+                part = b.slice(at, n).to_struct_array()
+                u = Unit(texts_of(part.field("text")))
+                yield rows(part, u, model.value.counts(u.words), model.value.counts(u.pairs))
+
+    def scan_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, found in zip(b.column("docs"), b.column("found")):
+                u = Unit(texts_of(part.values.field("text")))
+                counts = np.zeros(len(u.words) + len(u.pairs))
+                counts[u.in_buckets(buckets)[2]] = estimated(np.frombuffer(b"".join(found.values.field("levels").to_pylist()), np.uint8))
+                yield rows(part.values, u, counts[: len(u.words)], counts[len(u.words) :])
+
     kinds = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, score double, hot_score double, hot_known long, cold array<binary>, cold_n array<long>"
-    scored = written(numbered.mapInArrow(scan, kinds))
+    # A token has at most one key for itself and one for its pair.
+    if 2 * total * s.bits_per_key <= s.max_bits:
+        model = spark.sparkContext.broadcast(build_filter(singles, written(pair_counts(training, s)), s))
+        scored = written(numbered_docs.mapInArrow(scan, kinds))
+    else:
+        buckets = 1 << (total // s.bucket_tokens).bit_length()
+        packs = packed(numbered_docs, s)
+        found = bucket_levels(packs, buckets, s)
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what is done
+        scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
     cold = scored.select("row", F.explode(F.arrays_zip(F.col("cold").alias("token"), F.col("cold_n").alias("often"))).alias("c")).select("row", "c.token", "c.often")
     counted = cold.join(singles, "token", "left").select("row", "often", F.coalesce("n", F.lit(0)).alias("n"))
     sums = counted.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.col("n") + ADD)).alias("cold_score"), F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("cold_known"))
