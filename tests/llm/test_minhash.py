@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ticklane.llm import components, minhash, queries
@@ -103,3 +104,13 @@ def test_minhash_estimates_similarity():
     factors = np.random.default_rng(1).integers(0, 1 << 63, 2000, np.uint64) * np.uint64(2) + np.uint64(1)
     same = (minhash.minhashes(minhash.mixed(a), factors) == minhash.minhashes(minhash.mixed(b), factors)).mean()
     assert same == pytest.approx(800 / 1200, abs=0.06)
+
+
+def test_a_pair_of_equal_bytes_in_an_earlier_band_is_still_a_candidate():
+    """The bytes of all minhashes are equal, but the first bands of both collections differ: the pair first meets in table (1, 2)."""
+    s = minhash.Settings()
+    one, other = np.arange(2 * s.bands), np.arange(2 * s.bands)
+    other[[0, s.bands, s.bands + 1]] += 1000
+    rows = pd.DataFrame({"x": 0, "y": 0, "own": 0, "component": [1, 2], "n_shingles": 100, "parts": [bytes(s.hashes)] * 2, "bands": [one, other]})
+    found = {at: [(i.tolist(), j.tolist()) for i, j, _ in minhash.candidates(rows.assign(table=at), np.array([0, 2]), s)] for at in (s.bands + 2, s.bands + 3, 2 * s.bands + 2)}
+    assert found == {s.bands + 2: [([0], [1])], s.bands + 3: [], 2 * s.bands + 2: []}

@@ -161,7 +161,7 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def in_blocks(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
     """The rows of the keys whose documents are in different components, dealt in blocks.
 
-    members: (key, table, node); of: (node, component, n_shingles, parts). Each pair of a key's blocks, x and y, is a group of at most about two blocks' rows and shingles.
+    members: (key, table, node); of: (node, component, n_shingles, parts, bands). Each pair of a key's blocks, x and y, is a group of at most about two blocks' rows and shingles.
     """
     sizes = members.join(of.select("node", "component", "n_shingles"), "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("size") / s.block_shingles)).cast("int")
@@ -169,7 +169,7 @@ def in_blocks(members: DataFrame, of: DataFrame, s: Settings) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block once.
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return by_group(dealt.select("key", "table", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts"))
+    return by_group(dealt.select("key", "table", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n_shingles", "parts", "bands"))
 
 
 def by_group(rows: DataFrame) -> DataFrame:
@@ -194,9 +194,10 @@ def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
 
 
 def candidates(rows: pd.DataFrame, cuts: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each group with any, the pairs of rows, as places in rows, and their number of equal signature parts: of different components, similar sizes and agreeing signatures. A pair that shares several keys counts in the first of their tables only."""
+    """Of each group with any, the pairs of rows, as places in rows, and their number of equal signature parts: of different components, similar sizes and agreeing signatures. A pair that shares several keys counts in the first of their tables only, by the bands that make the keys."""
     at, x, y, own, comp, n = (rows[c].to_numpy() for c in ("table", "x", "y", "own", "component", "n_shingles"))
     parts = packed(rows["parts"])
+    bands = np.concatenate(rows["bands"].to_list()).reshape(len(rows), 2, s.bands)
     least, filled = int(np.ceil(s.agree * s.hashes)), 8 * parts.shape[1] - s.hashes
     for a, b in zip(cuts, cuts[1:]):
         left, right = (a + np.flatnonzero(own[a:b] == k) for k in (x[a], y[a]))
@@ -209,7 +210,7 @@ def candidates(rows: pd.DataFrame, cuts: np.ndarray, s: Settings) -> Iterator[tu
         agree = np.concatenate([agreement(parts[i[k : k + 8192]], parts[j[k : k + 8192]]) for k in range(0, len(i), 8192)]) - filled
         some = agree >= least
         i, j, agree = i[some], j[some], agree[some]
-        same = (parts[i].view(np.uint8)[:, : s.hashes] == parts[j].view(np.uint8)[:, : s.hashes]).reshape(len(i), 2, s.bands, s.rows).all(3)
+        same = bands[i] == bands[j]
         first = ~same[:, 0, : at[a] // s.bands].any(1) & ~same[:, 1, : at[a] % s.bands].any(1)
         if first.any():
             yield i[first], j[first], agree[first]
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     members = checkpointed(keys.join(shared, "key").select("key", "table", "node", "low"))
     nodes = checkpointed(members.select("node").distinct().join(classes.select("node", "set_hash"), "node"))
     sets = checkpointed(full_sets(docs, nodes, s, text))
-    facts = classes.select("node", "n_shingles", "parts")
+    facts = classes.select("node", "n_shingles", "parts", F.concat("u", "v").alias("bands"))
     pairs = members.where("node != low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
     links = checkpointed(confirmed(checkpointed(pairs), sets, s))
     found = connected_components(links)
