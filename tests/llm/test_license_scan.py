@@ -60,3 +60,22 @@ def test_empty_table_and_clash(spark):
 def test_no_python_in_the_plan(spark):
     plan = license_scan.summarised(license_scan.scan(documents(spark, ["mit license"])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_template_loses_its_proposers_to_rarer_words(spark):
+    """Each notice stands in one text with all the others; the words of the GPL and Apache notices are frequent elsewhere."""
+    notices = {t.label: t.text for t in license_scan.TEMPLATES}
+    some = [notices[x] for x in ("mit-notice", "bsd", "apache-2.0", "gpl-3.0")]
+    often = ["licensed under the license, general version"] * 30
+    texts = [" / ".join(some), " / ".join(notices.values()), *often]
+    rows = {r["doc_id"]: r for r in license_scan.summarised(license_scan.scan(documents(spark, texts))).collect()}
+    assert {"mit-notice", "bsd", "apache-2.0", "gpl-3.0"} <= set(rows[0]["labels"].split(","))
+    assert set(rows[1]["labels"].split(",")) == set(notices)
+
+
+def test_words_looked_up_follow_the_frequency():
+    ranked = sorted(license_scan.postings(license_scan.TEMPLATES))
+    for order in (ranked, ranked[::-1]):
+        few = license_scan.rarest(license_scan.TEMPLATES, order)
+        for t in license_scan.TEMPLATES:
+            assert sum(w in few for w in t.words) >= min(t.need, sum(w in ranked for w in t.words))

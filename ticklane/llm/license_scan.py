@@ -1,9 +1,10 @@
 """License scan with a positional index of rare words, in DataFrame functions only.
 
-Templates (licence phrases and notices) are indexed by word and position. In each text the licence words of highest
-inverse document frequency are looked up; each place of such a word and each posting of it propose a template start.
-Starts proposed by enough words are candidates; a candidate counts if the template's mandatory key phrase stands there,
-word for word. Everything happens within a row, so no shuffle carries text, and row size alone bounds a task.
+Templates (licence phrases and notices) are indexed by word and position. Of each template's mandatory key phrase, the
+words of highest inverse document frequency are looked up in each text, as many as must propose a start, so a key phrase
+that stands in a text is always proposed; each place of such a word and each posting of it propose a template start.
+Starts proposed by enough words are candidates; a candidate counts if the key phrase stands there, word for word.
+Everything happens within a row, so no shuffle carries text, and row size alone bounds a task.
 
 Rows: one output row per input row; null text counts as empty. Repeated rows give repeated results, an empty table an
 empty one; ties in document frequency are broken by the word. Input columns named like an output are replaced.
@@ -70,8 +71,6 @@ TEMPLATES = (
 )
 #: Words too frequent in running text to be looked up.
 COMMON = frozenset("a and any are as by can following for form forms free in is it modify of or person program public published purpose released source subject terms that the this to under use used v with without work you 0 2 3 4".split())
-#: Looked up in every text: a phrase that starts with it may have no rarer word.
-ALWAYS = frozenset(t.words[0] for t in TEMPLATES if t.base)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -99,34 +98,39 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def places(words: Column, templates: tuple[Template, ...]) -> Column:
-    """The places of licence words among words."""
-    known = sorted(postings(templates))
+def places(words: Column, known: list[str]) -> Column:
+    """The places of known licence words among words."""
     found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(*known))
     return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def rarity(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> list[str]:
     """The licence words from the highest inverse document frequency over all docs to the lowest; the driver gets one row per licence word at most."""
-    present = once(words_of(F.col(text)), lambda words: F.array_distinct(F.transform(places(words, templates), lambda i: F.get(words, i))))
+    present = once(words_of(F.col(text)), lambda words: F.array_distinct(F.transform(places(words, sorted(postings(templates))), lambda i: F.get(words, i))))
     counts = docs.select(F.explode_outer(present).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     found = {r.word: r.n for r in counts}
     return sorted(postings(templates), key=lambda w: (found.get(w, 0), w))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", rarest: int = 16) -> DataFrame:
+def rarest(templates: tuple[Template, ...], ranked: list[str]) -> list[str]:
+    """The words to look up: of each template the rarest words of its key phrase, until `need` of its places are known; all its words, if the key phrase has fewer."""
+    rank = {w: i for i, w in enumerate(ranked)}
+    out = set()
+    for t in templates:
+        own = sorted((rank[w], w) for w in t.key.split() if w in rank)
+        out.update(w for _, w in own[: t.need])
+        if len(own) < t.need:
+            out.update(w for w in t.words if w in rank)
+    return sorted(out)
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> DataFrame:
     """docs with n_words and the matches: array of (template number, start word, share of the template's words that stand in place)."""
     index = postings(templates)
-    rank = {w: i for i, w in enumerate(rarity(docs, templates, text))}
-    ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(-1 if w in ALWAYS else i))])
-    posted = F.create_map(*[x for w, found in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in found]))])
+    few = rarest(templates, rarity(docs, templates, text))
+    posted = F.create_map(*[x for w in few for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
     table = F.array(*[F.struct(_texts(t.words).alias("words"), F.lit(t.key_at).alias("key_at"), _texts(t.key.split()).alias("key"), F.lit(t.need).alias("need")) for t in templates])
 
-    def looked_up(words: Column, at: Column) -> Column:
-        """The places of the rarest licence words of the file: up to the rank of the last one looked up."""
-        ranked = F.slice(F.array_sort(F.array_distinct(F.transform(at, lambda i: ranks[F.get(words, i)]))), 1, rarest)
-        return once(F.array_max(ranked), lambda last: F.filter(at, lambda i: ranks[F.get(words, i)] <= last))
-
     def proposed(words: Column, at: Column) -> Column:
         """Template starts, equal ones side by side."""
         starts = F.transform(at, lambda i: F.transform(posted[F.get(words, i)], lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("start"))))
@@ -155,7 +159,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
         return F.transform(F.filter(starts, has_key), in_place)
 
     def found(words: Column) -> Column:
-        starts = once(places(words, templates), lambda at: once(looked_up(words, at), lambda few: once(proposed(words, few), enough)))
+        starts = once(places(words, few), lambda at: once(proposed(words, at), enough))
         return F.struct(F.size(words).cast("long").alias("n_words"), once(starts, lambda s: matched(words, s)).alias("matches"))
 
     scanned = extend(docs, _found=once(words_of(F.col(text)), found))
