@@ -32,6 +32,22 @@ def test_intensity_counts_strictly_earlier_events(spark):
     assert found == pytest.approx([0.1, 0.1 + 2 * np.exp(-1), 0.1 + 2 * np.exp(-1)])
 
 
+@pytest.mark.parametrize("beta", [0.01, 1.0, 200.0, 0.0])
+def test_intensity_counts_all_earlier_events(spark, beta):
+    """Dense events with equal times, whose memory holds many more than 200 of them, and gaps over several buckets."""
+    r = np.random.default_rng(5)
+    times = {"a": np.sort(r.integers(0, 800, 1200)) / 100, "b": np.sort(np.concatenate([r.integers(0, 10**5, 300), r.integers(2 * 10**6, 3 * 10**6, 200)])) / 100, None: np.array([5.0, 6.0])}
+    events = [(s, float(x), i) for s, at in times.items() for i, x in enumerate(at)]
+    rows = spark.createDataFrame([*events, ("a", None, 5000)], "symbol string, t double, seq long").selectExpr("symbol", "timestamp_micros(cast(round(t * 1e6) as long)) as ts", "seq")
+    made = hawkes.intensity(rows, 0.1, 2.0, beta)
+    assert made.columns == ["symbol", "ts", "seq", "intensity"]
+    found = {(x.symbol, x.seq): x.intensity for x in made.collect()}
+    assert found.pop(("a", 5000)) == pytest.approx(0.1) and len(found) == len(events)
+    for s, x, i in events:
+        past = times[s][times[s] < x]
+        assert found[s, i] == pytest.approx(0.1 + 2.0 * np.exp(-beta * (x - past)).sum(), rel=1e-8)
+
+
 def test_hidden_states_are_found(spark):
     r = np.random.default_rng(3)
     truth = np.repeat([0, 1, 2, 1, 0, 2], 80)
