@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ticklane.llm import components, minhash, queries
@@ -14,16 +14,16 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute_sets(texts):
+def brute_sets(texts, width=4):
     out = []
     for t in texts:
         w = words(t)
-        out.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        out.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     return out
 
 
-def brute(texts):
-    sets = brute_sets(texts)
+def brute(texts, width=4):
+    sets = brute_sets(texts, width)
     root = list(range(len(texts)))
 
     def find(x):
@@ -75,17 +75,28 @@ def test_components_equal_brute_force(spark, tmp_path):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows.values())
 
 
-def test_left_over_pairs_in_small_blocks(spark):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_pairs_left_for_small_blocks(spark, rounds):
+    """One minhash to a band makes many candidates, and blocks of 16 documents many groups."""
     texts = corpus()
     sizes, component = brute(texts)
-    few = minhash.Settings(bands=6, rows=1, block=16, agree=0.4)
+    few = minhash.Settings(width=4, bands=6, rows=1, block=16, agree=0.4, rounds=rounds)
     rows = {r.doc_id: r for r in minhash.near_duplicates(documents(spark, texts).select("doc_id", "text"), few).collect()}
     assert sum(rows[i].component_id == component[i] for i in range(len(texts))) >= 0.97 * len(texts)
 
 
+def test_common_sizes_equal_set_intersections():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    i, j = np.arange(12), np.arange(5, 30)
+    expected = [[len(np.intersect1d(sets[a], sets[b])) for b in j] for a in i]
+    assert minhash.common_sizes(sets, i, j, columns=64).tolist() == expected
+    assert minhash.common_sizes(sets[:1], np.array([0]), np.array([0])).tolist() == [[0]]  # no shingle of several sets
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B c d  e"), (3, None)], "doc_id long, text string")
-    rows = [tuple(r) for r in minhash.near_duplicates(docs).collect()]
+    rows = [tuple(r) for r in minhash.near_duplicates(docs, minhash.Settings(width=4)).collect()]
     assert sorted(map(str, rows)) == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (2, 2, 1, False), (3, 0, 3, True)]))
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -107,10 +118,19 @@ def test_minhash_estimates_similarity():
 
 
 def test_a_pair_of_equal_bytes_in_an_earlier_band_is_still_a_candidate():
-    """The bytes of all minhashes are equal, but the first bands of both collections differ: the pair first meets in table (1, 2)."""
+    """The bytes of all minhashes are equal, but the first bands of both collections differ: the pair first meets by band 1 of the first."""
     s = minhash.Settings()
-    one, other = np.arange(2 * s.bands), np.arange(2 * s.bands)
-    other[[0, s.bands, s.bands + 1]] += 1000
-    rows = pd.DataFrame({"x": 0, "y": 0, "own": 0, "component": [1, 2], "n_shingles": 100, "parts": [bytes(s.hashes)] * 2, "bands": [one, other]})
-    found = {at: [(i.tolist(), j.tolist()) for i, j, _ in minhash.candidates(rows.assign(table=at), np.array([0, 2]), s)] for at in (s.bands + 2, s.bands + 3, 2 * s.bands + 2)}
-    assert found == {s.bands + 2: [([0], [1])], s.bands + 3: [], 2 * s.bands + 2: []}
+    one, other = np.arange(s.bands), np.arange(s.bands)
+    other[0] += 1000
+    group = {"own": [0, 0], "x": [0, 0], "y": [0, 0], "component": [1, 2], "n_shingles": [100, 100], "parts": [bytes(s.hashes)] * 2, "u": [one, other], "v": [one, other]}
+    found = {at: minhash.candidates(pa.RecordBatch.from_pydict({**group, "band": [at, at]}), s)[2].tolist() for at in (1, 2)}
+    assert found == {1: [[False, True], [False, False]], 2: [[False, False], [False, False]]}
+    unmet = pa.RecordBatch.from_pydict({**group, "band": [1, 1], "v": [one, one + 1000]})
+    assert not minhash.candidates(unmet, s)[2].any()  # no table key without a band of the second collection
+
+
+def test_two_texts_under_one_id_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", "x", 7), (1, "h i j k l m n", "x", 7), (2, "A B c d  e f g", None, 7), (3, "h i j k l m n", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, component long")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]

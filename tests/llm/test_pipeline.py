@@ -36,7 +36,7 @@ def test_every_stage_takes_effect(spark, tmp_path):
     first = ids("quality classifier")
     assert all((i in first) == bool(labels[t]) for i, t in enumerate(texts) if t in labels)
     by_id = sorted(first)
-    component = test_minhash.brute([texts[i] for i in by_id])[1]
+    component = test_minhash.brute([texts[i] for i in by_id], 5)[1]
     assert ids("minhash near-dedup") == {i for k, i in enumerate(by_id) if component[k] == k}
     assert ids("secret scan") == ids("minhash near-dedup")
     assert not any(secrets.find_spans(r.text) for r in kept["secret scan"])

@@ -6,7 +6,9 @@ import importlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +41,42 @@ def texts_of(array: pa.Array) -> list[bytes | None]:
     return (array if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else array.cast(pa.binary())).to_pylist()
 
 
+#: Python code takes so many rows of a batch at a time, and about so many bytes of them, one row at least.
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
+
+
+def slices(*arrays: pa.Array) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of the slices of a batch, given as the arrays that hold its bytes."""
+    n = len(arrays[0])
+    if n and sum(x.nbytes for x in arrays) <= SLICE_BYTES and n <= SLICE_ROWS:
+        yield 0, n
+        return
+    lengths = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False) if pa.types.is_string(x.type) or pa.types.is_binary(x.type) else np.full(n, x.nbytes // max(n, 1)) for x in arrays]
+    ends = np.cumsum(sum(x.astype(np.int64) for x in lengths))
+    at = 0
+    while at < n:
+        room = (ends[at - 1] if at else 0) + SLICE_BYTES
+        size = min(SLICE_ROWS, max(1, int(np.searchsorted(ends, room, "right")) - at), n - at)
+        yield at, size
+        at += size
+
+
 def arrow_column(start: Callable[[], Callable[..., pa.Array]], returns: str, inputs: int = 1) -> Callable[..., Column]:
-    """A column made batch by batch in Python: start() runs once per task and returns the function from the input arrays (one or two) to the output array."""
+    """A column made in Python, slice by slice of a batch, so that the Python values of a few texts exist at a time: start() runs once per task and returns the function from the input arrays (one or two) to the output array."""
+
+    def sliced(f: Callable[..., pa.Array], *arrays: pa.Array) -> pa.Array:
+        made = [f(*(x.slice(at, n) for x in arrays)) for at, n in slices(*arrays)]
+        return pa.concat_arrays(made) if made else f(*arrays)
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = start()
         for x in batches:
-            yield f(x)
+            yield sliced(f, x)
 
     def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         f = start()
         for x, y in batches:
-            yield f(x, y)
+            yield sliced(f, x, y)
 
     return F.arrow_udf(one if inputs == 1 else two, returns)
 
@@ -60,12 +86,20 @@ def extend(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed and written to the reliable checkpoint folder, its lineage cut. The folder is the cluster's spark.checkpoint.dir; only where none is set (tests, local runs) one under the warehouse folder is used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only a local session may lack it (tests, small runs) and gets a folder beside its warehouse."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed and written to the reliable checkpoint folder (see shared_folder), its lineage cut."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -100,11 +134,20 @@ class RecentCache(dict):
         return [new[k] if v is None else v for k, v in zip(keys, found)]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared checkpoint folder and read again: compressed and columnar, so smaller than a checkpoint for wide or many rows. Each call makes a folder of its own, which stays until the checkpoint folder is cleared."""
+def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """df as a table written to the shared folder and read again: compressed and columnar, so smaller than a checkpoint for wide or many rows. Each call makes a folder of its own, which is added to paths; remove() drops it once no result needs it any more."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that written() made."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()

@@ -63,7 +63,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), minhash.Settings(width=4))
 
 
 #: At this score a document counts as good.
