@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.llm import boosted_trees, bpe, minhash, mixing, secrets
-from ticklane.llm.common import read, written
+from ticklane.llm.common import checkpointed, read, remove, sized, written
 from ticklane.llm.queries import GOOD, WORD_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,11 +25,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies. Rows that repeat a kept id count once; rows without an id all stay."""
+    """The document of the smallest id of each group of near copies, by shingles of five words. Rows without an id all stay. Rows that repeat a kept id and text count once, with the least of their other columns; different texts under one id all stay."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    marks = checkpointed(found.groupBy("doc_id").agg(F.first("kept").alias("_kept"), F.count("*").alias("_n")).where("doc_id is not null and (_n > 1 or not _kept)"))
+    kept = docs.join(sized(marks, minhash.FEW), "doc_id", "left").where(F.coalesce("_kept", F.lit(True)))
+    if not marks.where("_n > 1").limit(1).count():
+        return kept.select(*COLUMNS)
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = kept.where("_n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_c")).select("doc_id", "text", "_c.*")
+    return kept.where("_n is null or _n = 1").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written to the shared checkpoint folder (see common.written) and reread."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages applied to documents; each result is written to the shared checkpoint folder (see common.written) and reread, and removed when the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        paths: list[str] = []
+        docs = written(stage(spark, docs, sf_dir), paths)
+        remove(spark, before)
+        before = paths
     return STAGES[-1][1](spark, docs, sf_dir)
