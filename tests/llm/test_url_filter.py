@@ -1,4 +1,9 @@
+import math
+import random
 import re
+from collections import Counter
+
+import pytest
 
 from ticklane.llm import queries, url_filter
 
@@ -39,7 +44,7 @@ def brute(url):
 
 
 def test_parts_rules_and_verdicts(spark, tmp_path):
-    many = URLS + ["https://www.casino-win.example.org/en/1", "https://garden.example.org/en/5"] * 30
+    many = URLS + ["https://www.casino-win.example.org/en/1"] + [f"https://{w}.example.org/en/{i}" for i, w in enumerate(["garden", "city-library", "cooking", "history"] * 10)]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(many)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in queries.op2_url_filter(spark, stored(tmp_path, pages=pages)).collect()}
     assert len(rows) == len(many)
@@ -64,3 +69,41 @@ def test_empty_table_and_clash(spark):
     run = lambda p: url_filter.judge((w := url_filter.with_words(url_filter.with_rule(url_filter.with_parts(p)))), url_filter.fit(w))
     row = run(pages).first()
     assert (row["host"], row["verdict"]) == ("x.net", "block") and run(pages.limit(0)).count() == 0
+
+
+def test_log_odds_equal_brute_force(spark):
+    r = random.Random(4)
+    names = ["casino", "win", "garden", "library", "cheap", "pills", "history", "market"]
+    urls = [f"https://www.{r.choice(names)}{r.choice(['-', ''])}{r.choice(names)}.example.org/en/{r.choice(names)}" for _ in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    w = url_filter.with_words(url_filter.with_rule(url_filter.with_parts(pages)))
+    rows = url_filter.judge(w, url_filter.fit(w)).collect()
+    n, block = Counter(dict.fromkeys(url_filter.SEEDS, 2)), Counter(dict.fromkeys(url_filter.SEEDS, 2))
+    for row in rows:
+        n.update(row["words"])
+        block.update(row["words"] if set(row["words"]) & set(url_filter.SEEDS) else [])
+    total, blocked = sum(n.values()), sum(block.values())
+    dealt = 100 + (total / len(urls) - 1) * 2 * len(url_filter.SEEDS)
+    p = lambda word, k, of, more: (k + more * n[word] / total) / (of + more)
+    for row in rows:
+        expected = math.log(1 / 9) + sum(math.log(p(x, block[x], blocked, dealt) / p(x, n[x] - block[x], total - blocked, 100)) for x in row["words"])
+        assert row["log_odds"] == pytest.approx(expected)
+    assert {r["verdict"] for r in rows} == {"block", "allow"}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_stored_urls_without_a_rule(spark, sf):
+    """Those that name a seed word are blocked, all others allowed."""
+    rows = queries.op2_url_filter(spark, f"/root/testdata/{sf}").where("rule is null").collect()
+    bad = re.compile("casino|bets|pills|spam|adult|ads-")
+    assert {r.verdict for r in rows if bad.search(r.host)} == {"block"}
+    assert sum(r.verdict == "block" for r in rows if not bad.search(r.host)) <= 0.01 * len(rows)
+
+
+def test_names_run_together_are_blocked_on_stored_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    planted = ["https://cheappills.example.org/en/1", "https://www.casinowin.example.org/es/2", "https://m.freebets.example.org/en/3", "https://publiclibrary.example.org/en/4", "https://www.gardenhistory.example.org/en/5", "https://sussexnews.example.org/en/6"]
+    both = pages.union(spark.createDataFrame([(-i, u) for i, u in enumerate(planted, 1)], pages.schema))
+    w = url_filter.with_words(url_filter.with_rule(url_filter.with_parts(both)))
+    found = {r.page_id: r.verdict for r in url_filter.judge(w, url_filter.fit(w)).where("page_id < 0").collect()}
+    assert [found[-i] for i in range(1, 7)] == ["block"] * 3 + ["allow"] * 3

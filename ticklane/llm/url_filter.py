@@ -1,14 +1,18 @@
 """URL filter: host and path rules, else naive Bayes over segmented names.
 
 Names in host and path are split into words by a unigram Viterbi search; the unigrams are the words of a public vocabulary
-file with probabilities by rank (Zipf). Multinomial naive Bayes scores the words. It learns from all given urls: one that
-names a seed word as a whole token (between non-letters) is an example to block, any other to allow, so names that run
-seed words or their companions together are found by their segments. Counts are kept for a fixed number of hash buckets,
-which bounds what comes to the driver and goes to the tasks.
+file with probabilities by rank (Zipf), and the seed words. Multinomial naive Bayes scores the words. It learns from all
+given urls: one that has a seed word among its words is an example to block, any other to allow; so the words that stand
+with seed words count against a url too, and words of ordinary urls for it. Each class's word probabilities are its counts
+with `background` further words dealt as in all urls, so a word as frequent in either class tells nothing, whatever the
+classes' sizes. Each seed word also stands in `seed_urls` invented urls to block, whose other words are dealt likewise. The prior is a parameter, not the
+classes' sizes. A word that no example to block has gets one ratio, the same for all such words; the ratios of the others
+are a table that is joined, and broadcast only if it is counted to be small.
 
 Rows: one output row per input row. Null urls, and those without '://', have an empty host and path, no words, and are
-allowed. Very long names are segmented whole. Repeated rows get equal results; an empty table gives an empty one. Input
-columns named like an output are replaced.
+allowed; log odds are null without words. Very long names are segmented whole. Of rules as long as each other the later
+listed one holds, of equally probable splits the one with the longest last word. Repeated rows get equal results; an
+empty table gives an empty one. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -16,20 +20,19 @@ from __future__ import annotations
 import base64
 import math
 import re
-import zlib
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, arrow_column, extend, lower_ascii, texts_of, vocabulary_path
+from .common import RecentCache, arrow_column, extend, lower_ascii, sized, texts_of, vocabulary_path, written
 
-BUCKETS = 1 << 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words that mark an example to block when they stand alone in a host or path.
-SEEDS = ("adult", "bet", "bets", "betting", "casino", "cialis", "escort", "gambling", "jackpot", "loans", "lottery", "nude", "pills", "poker", "porn", "replica", "sex", "slots", "viagra", "xxx")
+#: Words that mark an example to block: gambling, adult content, sham medicine and goods, advertising, unwanted software.
+SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "cialis", "escort", "gambling", "jackpot", "lottery", "malware", "nude", "phishing", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx")
+#: Tables of ratios of at most so many words, as counted, are broadcast.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -65,11 +68,13 @@ def with_rule(parts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 class Segmenter:
     """Splits names into the most probable words; letters that fit no word stay together at a cost that grows with their number."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, longest: int = 24):
+    def __init__(self, vocabulary: str = VOCABULARY, longest: int = 24, seeds: tuple[str, ...] = SEEDS):
         with open(vocabulary_path(vocabulary), "rb") as f:
             ranked = [base64.b64decode(line.split()[0]) for line in f]
         words = dict.fromkeys(w[1:].decode("ascii").lower() for w in ranked if re.fullmatch(rb" [A-Za-z]{2,}", w))
         self.cost = {w: math.log((i + 1) * math.log(len(words))) for i, w in enumerate(words) if len(w) <= longest}
+        rarest = max(self.cost.values())
+        self.cost |= {w: rarest for w in seeds if w not in self.cost}
         self.longest, self.unknown = longest, 2 * math.log(len(words))
         self.cache = RecentCache(lambda names: [tuple(self.split(x)) for x in names], limit=100_000)
 
@@ -109,37 +114,33 @@ def with_words(parts: DataFrame, vocabulary: str = VOCABULARY, name: str = "word
 
 @dataclass
 class Bayes:
-    """log P(block)/P(allow) of a url and of each bucket; 0 for buckets that no example has."""
+    """prior: log odds to block before any word; unseen: log ratio P(word|block)/P(word|allow) of words that no example to block has; ratios: (word, ratio) of all others."""
 
     prior: float
-    ratio: np.ndarray
-
-    def log_odds(self, words: list[str]) -> float:
-        return self.prior + float(sum(self.ratio[zlib.crc32(w.encode()) % BUCKETS] for w in words))
-
-
-def is_seeded(host: Column, path: Column) -> Column:
-    tokens = F.split(F.lower(F.concat(host, F.lit("/"), path)), "[^a-z]+")
-    return F.arrays_overlap(tokens, F.array(*map(F.lit, SEEDS)))
-
-
-def fit(segmented: DataFrame, smoothing: float = 0.5) -> Bayes:
-    """Learns from all rows; at most BUCKETS rows of counts and one of totals come to the driver."""
-    marked = segmented.select("words", is_seeded(F.col("host"), F.col("path")).cast("long").alias("block"))
-    urls, block = marked.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0))).first()
-    counts = np.zeros((2, BUCKETS))
-    tokens = marked.select("block", F.explode("words").alias("word")).groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket"))
-    for r in tokens.agg(F.count("*").alias("n"), F.sum("block").alias("block")).collect():
-        counts[:, r.bucket] = r.block, r.n - r.block
-    p = (counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * BUCKETS)
-    return Bayes(math.log((block + 1) / (urls - block + 1)), np.where(counts.sum(0) > 0, np.log(p[0] / p[1]), 0.0))
+    unseen: float
+    ratios: DataFrame
+
+
+def fit(segmented: DataFrame, seeds: tuple[str, ...] = SEEDS, background: float = 100.0, seed_urls: int = 2, prior: float = math.log(1 / 9)) -> Bayes:
+    """Learns from all rows. The prior's default takes one url in ten to be one to block."""
+    spark = segmented.sparkSession
+    block = F.arrays_overlap("words", F.array(*map(F.lit, seeds))).cast("long")
+    words = segmented.select(block.alias("block"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("block").alias("block"))
+    taught = spark.createDataFrame([(w, seed_urls, seed_urls) for w in seeds], "word string, n long, block long")
+    counts = written(words.union(taught).groupBy("word").agg(F.sum("n").alias("n"), F.sum("block").alias("block")))
+    every, blocked = counts.agg(F.sum("n"), F.sum("block")).first()
+    urls = segmented.where(F.size("words") > 0).count()
+    dealt = background + max(0, every / max(urls, 1) - 1) * seed_urls * len(seeds)
+    p = lambda n, of, more: (n + more * F.col("n") / every) / (of + more)
+    ratios = counts.where("block > 0").select("word", F.log(p(F.col("block"), blocked, dealt) / p(F.col("n") - F.col("block"), every - blocked, background)).alias("ratio"))
+    unseen = math.log(dealt / (blocked + dealt)) - math.log((every + background) / (every - blocked + background))
+    return Bayes(prior, unseen, ratios)
 
 
 def judge(segmented: DataFrame, model: Bayes, block_at: float = 0.0) -> DataFrame:
-    """segmented with log_odds and verdict: the rule's if a rule fits, else block where log_odds exceed block_at and there are words."""
-
-    def start():
-        return lambda words: pa.array([model.log_odds(w) if w else None for w in words.to_pylist()], pa.float64())
-
-    scored = extend(segmented, log_odds=arrow_column(start, "double")(F.col("words")))
+    """segmented with log_odds and verdict: the rule's if a rule fits, else block where log_odds exceed block_at and there are words. Rows are numbered in a written table, their words joined to the ratios, and each row's sum joined back."""
+    rows = written(segmented.withColumn("_row", F.monotonically_increasing_id()))
+    words = rows.select("_row", F.explode("words").alias("word")).join(sized(model.ratios, FEW), "word", "left")
+    odds = words.groupBy("_row").agg((F.sum(F.coalesce("ratio", F.lit(model.unseen))) + model.prior).alias("_odds"))
+    scored = extend(rows.join(odds, "_row", "left"), log_odds=F.col("_odds")).drop("_row", "_odds")
     return extend(scored, verdict=F.coalesce("rule_verdict", F.when(F.col("log_odds") > block_at, "block").otherwise("allow")))
