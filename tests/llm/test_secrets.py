@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from ticklane.llm import queries, secrets
 
@@ -19,7 +20,7 @@ PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, b"
 part = lambda x: base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
 TOKEN = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.{part(b's' * 32)}"
 field = lambda b: len(b).to_bytes(4, "big") + b
-OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51)
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 90)
 PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + re.sub("(.{64})", r"\1\n", base64.b64encode(RSA).decode()) + "\n-----END RSA PRIVATE KEY-----"
 TEXTS = [
     'password = "abcdef123456"',
@@ -63,6 +64,27 @@ def test_structures_are_confirmed():
     assert not kinds("M" * 500) and not kinds("30" * 200)
 
 
+def test_a_key_is_found_wherever_it_begins_in_a_run():
+    spans = lambda t: [t[a:b] for kind, a, b in secrets.find_spans(t) if kind in ("der", "openssh", "signed")]
+    for body in (RSA, PKCS8, OPENSSH, RSA + b"", PKCS8[:-1] + b"x"):
+        plain, safe = base64.b64encode(body).decode(), base64.urlsafe_b64encode(body).decode()
+        for before in ("", "/tmp/Mail/", "M", "MM", "abc", "key-"):
+            assert spans(before + plain + " end") == [plain] and spans(before + safe) == [safe], before
+    for before in ("", "30", "3", "0f0", "30820"):
+        assert spans(before + RSA.hex()) == [RSA.hex()]
+    assert spans(f"x.eyJx{TOKEN}") == [TOKEN] and spans(f"a.b.{TOKEN}.c") == [TOKEN]
+    wrapped = "\n    ".join(re.findall(".{1,64}", base64.b64encode(RSA).decode()))
+    assert spans(f"key: |\n    {wrapped}\nnext") == [wrapped]
+    assert {x[0] for x in secrets.find_spans(PEM)} == {"pem"}
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("eyJ" * 100_000, "eyJ" * 100_000 + ".a.b", "eyJ" * 100_000 + ".eyJhIjoxfQ." + "b" * 20, "M" * 400_000, "MIIB" * 100_000, "30" * 200_000, "x" * 400_000, "3082020102010030" * 20_000, "-" * 300_000, "a.b" * 100_000):
+        began = time.perf_counter()
+        secrets.find_spans(text)
+        assert time.perf_counter() - began < 5, text[:20]
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = documents(spark, ["clean text", None, f"a password=abcdefabcdefabcdef, {TOKEN} z"])
     out = [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()]

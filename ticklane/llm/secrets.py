@@ -1,12 +1,15 @@
 """Secret scan: pattern candidates, and encoded candidates confirmed by their structure.
 
-Candidates in base64 or hex are reported only if they decode and parse: DER private keys by their nested lengths, PEM
-blocks by their decoded body, OpenSSH private keys by their length-prefixed fields, and signed tokens by a JSON header
-that names an algorithm. Plain assignments, access ids and long hex runs are reported by pattern.
+Candidates in base64, base64url or hex are reported only if they decode and parse: DER private keys by their nested
+lengths, PEM blocks by their decoded body, OpenSSH private keys by their length-prefixed fields, and signed tokens by a
+JSON header that names an algorithm. A run of letters of an encoding is decoded once for each place that its groups can
+begin at, so a key is found wherever it begins in the run, and its lengths tell where it ends; runs of base64 in
+successive lines are joined. Plain assignments, access ids and long hex runs are reported by pattern.
 
 Rows: one output row per input row; null text gives no spans, like the empty text. Positions count code points, ends are
-exclusive. Spans are sorted by start, then kind in the order of KINDS. Repeated rows give repeated results. Columns of
-the input named like the output are replaced.
+exclusive. Spans are sorted by start, then kind in the order of KINDS, then end. Keys inside a PEM block count as the
+block. Very long texts are scanned whole, in time that grows with their length. Repeated rows give repeated results; an
+empty table gives an empty one. Columns of the input named like the output are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +35,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are greedy, so shorter ones hold no other match
 PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([^-]+)-----END \1-----")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
-DER64 = re.compile(r"M[A-Za-z0-9+/]{39,}={0,2}")
-DER16 = re.compile(r"30[0-9A-Fa-f]{78,}")
-OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{20,}={0,2}")
-SPACE = re.compile(r"\s+")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]{20,}")
+HEADER, JSON = re.compile(r'\{\s*"[^"\\]*"\s*:'), json.JSONDecoder(strict=False)
+RUN64, MORE64, GAP = re.compile(r"[A-Za-z0-9+/_-]{40,}"), re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[ \t]{0,16}\r?\n[ \t]{0,16}")
+RUN16 = re.compile(r"[0-9A-Fa-f]{80,}")
+#: A sequence of any length whose first element is a version number.
+DER_HEAD = re.compile(rb"\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...)\x02\x01[\x00-\x03]", re.S)
+MAGIC = b"openssh-key-v1\0"
+SPACE, PADDING = re.compile(r"\s+"), re.compile("={0,2}")
+URLSAFE = str.maketrans("-_", "+/")
 
 
 def decode64(text: str) -> bytes | None:
@@ -64,48 +73,125 @@ def der_items(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int,
     return out
 
 
-def is_private_der(data: bytes | None) -> bool:
-    """A SEQUENCE that fills the data and holds a small version number, then key numbers (PKCS 1), an algorithm and key (PKCS 8) or an EC key."""
-    if not data or data[0] != 0x30 or not (top := der_items(data, 0, len(data))) or len(top) != 1:
-        return False
-    inner = der_items(data, top[0][1], top[0][2]) or []
-    if len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 3:
-        return False
+def der_end(data: bytes, at: int) -> int | None:
+    """The end of a private key that begins at a place: a sequence of a small version number, then key numbers (PKCS 1), an algorithm and key (PKCS 8) or an EC key."""
+    size, body = data[at + 1], at + 2
+    if size >= 0x80:
+        size, body = int.from_bytes(data[body : body + (size & 0x7F)], "big"), body + (size & 0x7F)
+    inner = der_items(data, body, body + size) if body + size <= len(data) else None
+    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
+        return None
     tags = [x[0] for x in inner[1:]]
-    return len(tags) >= 8 and set(tags[:8]) == {0x02} or tags[:2] == [0x30, 0x04] or tags[0] == 0x04
+    return body + size if len(tags) >= 8 and set(tags[:8]) == {0x02} or tags[:2] == [0x30, 0x04] or tags[0] == 0x04 else None
 
 
-def is_private_openssh(data: bytes | None) -> bool:
-    """The magic string, then cipher, kdf and its options, key count, public key: fields with lengths that stay inside the data."""
-    magic = b"openssh-key-v1\0"
-    if not data or not data.startswith(magic):
-        return False
-    at = len(magic)
-    for field in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data) or field < 2 and not data[at + 4 : at + 4 + size].isascii():
-            return False
-        at += 4 + size
-    return 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
-
-
-def is_signed(token: str) -> bool:
-    """Three base64url parts; the first is a JSON object that names its algorithm, the second a JSON object."""
-    head, body, _ = token.split(".")[:3]
+def openssh_end(data: bytes, at: int) -> int | None:
+    """The end of a private key that begins at a place: the magic string, then cipher, kdf and its options, key count, that many public keys and the private part, fields with lengths that stay inside the data."""
+
+    def field(at: int, plain: bool = False) -> int | None:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return end if at + 4 <= len(data) and end <= len(data) and (not plain or data[at + 4 : end].isascii()) else None
+
+    at += len(MAGIC)
+    for k in range(3):
+        if (at := field(at, k < 2)) is None:
+            return None
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return None
+    for _ in range(keys + 1):
+        if (at := field(at)) is None:
+            return None
+    return at
+
+
+def keys_in(data: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the private keys in decoded bytes; none inside another."""
+    found, end = [], 0
+    starts = sorted([(m.start(), "der", der_end) for m in DER_HEAD.finditer(data)] + [(m.start(), "openssh", openssh_end) for m in re.finditer(MAGIC, data)], key=lambda x: x[0])
+    for at, kind, ends in starts:
+        if at >= end and (to := ends(data, at)) is not None and to - at >= 30:
+            found.append((kind, at, to))
+            end = to
+    return found
+
+
+def lines64(text: str) -> list[list[tuple[int, int]]]:
+    """The places of base64 runs; those that go on in the next line are joined."""
+    out: list[list[tuple[int, int]]] = []
+    for m in RUN64.finditer(text):
+        if out and m.start() < out[-1][-1][1]:
+            continue  # the last, short line of a run before
+        parts = [m.span()]
+        while (gap := GAP.match(text, parts[-1][1])) and (more := MORE64.match(text, gap.end())):
+            parts.append(more.span())
+            if more.end() - more.start() < 40:
+                break
+        out.append(parts)
+    return out
+
+
+def encoded_keys(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of private keys in base64 and hex runs."""
+    found = set()
+    for parts in lines64(text):
+        run = "".join(text[a:b] for a, b in parts).translate(URLSAFE)
+        ends = list(accumulate(b - a for a, b in parts))
+        place = lambda k: parts[i := bisect_right(ends, k)][1] - (ends[i] - k)
+        for phase in range(min(4, len(run))):
+            data = decode64(run[phase : len(run) - ((len(run) - phase) % 4 == 1)]) or b""  # a single last letter holds no byte
+            for kind, at, to in keys_in(data):
+                if at % 3 == 0:  # others begin inside a letter, and are found in another phase
+                    last = place(phase + (to * 4 + 2) // 3 - 1) + 1
+                    found.add((kind, place(phase + at // 3 * 4), last + len(PADDING.match(text, last)[0])))
+    for m in RUN16.finditer(text):
+        for phase in range(2):
+            run = m[0][phase:]
+            found |= {(kind, m.start() + phase + 2 * a, m.start() + phase + 2 * b) for kind, a, b in keys_in(bytes.fromhex(run[: len(run) // 2 * 2]))}
+    return sorted(found)
+
+
+def signed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """Three base64url parts joined by dots: the first ends in a JSON object that names its algorithm, the second is a JSON object."""
+    found, end = [], 0
+    for m in DOTTED.finditer(text) if "eyJ" in text else ():
+        parts, at = m[0].split("."), m.start()
+        for head, body, sign in zip(parts, parts[1:], parts[2:]):
+            if at >= end and len(body) >= 4 and (signature := re.match("[A-Za-z0-9_-]{16,}", sign)) and "eyJ" in head and is_object(decode64(body)):
+                if (start := header_start(head)) is not None:
+                    end = at + len(head) + len(body) + 2 + signature.end()
+                    found.append(("signed", at + start, end))
+            at += len(head) + 1
+    return found
+
+
+def is_object(data: bytes | None) -> bool:
     try:
-        header, claims = (json.loads(decode64(x) or b"") for x in (head, body))
+        return isinstance(json.loads(data or b""), dict)
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
-def is_key_body(text: str) -> bool:
-    data = decode64(SPACE.sub("", text))
-    return is_private_der(data) or is_private_openssh(data)
+def header_start(head: str) -> int | None:
+    """Where in a token's first part its header begins: JSON from there to the end, with an algorithm's name."""
+    starts = []
+    for phase in range(min(4, len(head))):
+        data = (decode64(head[phase:]) or b"").decode("latin-1")
+        for m in HEADER.finditer(data):
+            if m.start() % 3 == 0:
+                try:
+                    header, end = JSON.raw_decode(data, m.start())
+                except (ValueError, RecursionError):
+                    continue
+                if not data[end:].strip() and isinstance(header.get("alg"), str):
+                    starts.append(phase + m.start() // 3 * 4)
+                    break
+    return min(starts, default=None)
 
 
-def unhex(text: str) -> bytes | None:
-    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+def is_key_body(text: str) -> bool:
+    data = decode64(SPACE.sub("", text)) or b""
+    return bool(DER_HEAD.match(data)) and der_end(data, 0) == len(data) or data.startswith(MAGIC) and openssh_end(data, 0) is not None
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
@@ -113,12 +199,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text) if is_key_body(m[2])]
-    found += [("der", *m.span()) for m in DER64.finditer(text) if is_private_der(decode64(m[0]))]
-    found += [("der", *m.span()) for m in DER16.finditer(text) if is_private_der(unhex(m[0]))]
-    found += [("openssh", *m.span()) for m in OPENSSH.finditer(text) if is_private_openssh(decode64(m[0]))]
-    found += [("signed", *m.span()) for m in SIGNED.finditer(text) if is_signed(m[0])]
+    blocks = [m.span() for m in PEM.finditer(text) if is_key_body(m[2])] if "-----BEGIN " in text else []
+    found += [("pem", *x) for x in blocks]
+    found += [x for x in encoded_keys(text) if not any(a <= x[1] < b for a, b in blocks)]
+    found += signed_tokens(text)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
