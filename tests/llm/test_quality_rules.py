@@ -45,7 +45,7 @@ def test_fertility_matches_the_libraries():
     distinct, ids = textstats.numbered(words)
     out = f.measures(distinct, __import__("numpy").bincount(ids), 18)
     pieces = [i for w in words for i in f.pieces.encode(w.decode())]
-    ranks = [i for w in words for i in f.bytes.encode_ordinary(w.decode())]
+    ranks = [i for w in words for i in f.bytes.encode_ordinary(" " + w.decode())]
     assert out[0] == 18 / len(pieces) and out[3] == 18 / len(ranks)
     assert abs(out[1] - sum(map(f.pieces.is_byte, pieces)) / len(pieces)) < 1e-12 and 0 < out[4] < 1 and 0 < out[2] <= 1
     assert f.measures([], textstats.np.zeros(0, int), 0) == [None] * 6
@@ -67,3 +67,18 @@ def test_many_distinct_words_take_the_wide_codes():
 
     ids = np.concatenate([np.arange(2**21 + 5), np.arange(4)])
     assert textstats.repeated_words(ids) == 8
+
+
+def test_bands_keep_documents_labelled_good_and_reject_most_others(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op1_quality_rules(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == k] for k in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.6 * len(bad)
+
+
+def test_texts_without_letters_and_either_vocabulary_can_reject(spark):
+    rows = quality_rules.measure(documents(spark, ["12 34 56", "a 12"])).orderBy("doc_id").collect()
+    assert [r["script"] for r in rows] == ["other", "latin"]
+    measured = quality_rules.measure(documents(spark, [PROSE])).drop("text")
+    for name, value in (("pieces_fallback_share", 0.5), ("bytes_fallback_share", 0.5), ("pieces_entropy", 0.1), ("bytes_entropy", 0.1), ("bytes_chars_per_token", 1.0), ("pieces_chars_per_token", 1.0)):
+        assert not quality_rules.judge(measured.selectExpr(*[c for c in measured.columns if c != name], f"{value}D as {name}")).first()["kept"], name
