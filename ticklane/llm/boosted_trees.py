@@ -5,8 +5,9 @@ bound; chosen by hash, so the same rows each time), on histograms of binned stat
 features, thresholds and leaf values that numpy walks for a batch of documents at once.
 
 Rows: one output row per input row. Null texts count as empty ones and are scored like any other text. Repeated rows get
-equal scores. Null or repeated label rows: null labels are left out; a document labelled twice counts once, as the lower
-label. With no labels or labels of one kind only, the score is constant. Input columns named like an output are replaced.
+equal scores. Very long texts are measured whole. Null or repeated label rows: null labels are left out; a document labelled twice
+counts once, as the lower label, and one id of several texts as the text with the least statistics. Ties between equally
+good splits go to the first statistic and the lowest threshold. An empty table gives an empty result. With no labels or labels of one kind only, the score is constant. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, folds: int = 5
     """Trees from the documents whose label may be learned: those with crc32(doc_id) mod folds other than held_out. At most `sample` of them, chosen by hash, are used; that bound also bounds what is broadcast and what comes to the driver."""
     may = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held_out))
     chosen = may.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "statistics").limit(2 * sample).toPandas()
-    rows = rows.assign(order=[tuple(x) for x in rows["statistics"]]).sort_values(["doc_id", "order"]).drop_duplicates("doc_id")
+    found = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("statistics").alias("statistics"))
+    rows = found.toPandas().sort_values("doc_id")
     x = np.stack(rows["statistics"].to_numpy()) if len(rows) else np.zeros((0, len(STATISTICS)))
     return fit_trees(x, rows["quality"].to_numpy(float))
 
