@@ -66,7 +66,7 @@ def test_links_equal_brute_force(spark, tmp_path):
 
 def test_small_blocks_and_a_tiny_sample_lose_nothing(spark):
     rows = corpus()
-    s = vector_dedup.Settings(lists=5, subspaces=3, codes=8, sample=40, block=16, queries=48)
+    s = vector_dedup.Settings(least_lists=5, per_list=8, subspaces=3, codes=8, sample=40, block=16, queries=48)
     check(vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), s).collect(), rows)
 
 
@@ -75,3 +75,20 @@ def test_repeated_rows_null_ids_empty_and_clash(spark):
     rows = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df).collect()), key=str)
     assert rows == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_in_64_dimensions(spark):
+    """Pairs just inside the link distance, in as many lists as 4,000 vectors have."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2000, 64)) + 2 * r.normal(size=(40, 64))[r.integers(40, size=2000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = x + 0.195 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, y]).astype(np.float32)
+    unit = vector_dedup.units(both.astype(float))
+    expected = (unit @ unit.T >= 0.98).sum(1) - 1
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], SCHEMA)
+    found = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(rows).collect()}
+    got = np.array([found[i] for i in range(len(both))])
+    assert expected.sum() >= 3900 and (got <= expected).all() and got.sum() >= 0.999 * expected.sum()

@@ -1,11 +1,13 @@
 """Embedding near-duplicates with product quantisation.
 
-Vectors are normalised and dealt to coarse inverted lists; the residual to the list's centre is coded by a sub-codebook per
-subspace. A query probes every list that can hold a vector within the link distance: by the triangle inequality a list
-can be left out only if the query lies farther than that distance on this side of the plane between its own centre and
-the list's. In a probed list, distances come from a table per query and code (asymmetric); a vector is left out only if
-this distance less the vector's own quantisation error exceeds the link distance. Those left are compared by exact cosine
-in double precision. So no link is lost, whatever the sample that the codebooks were fitted on.
+Vectors are normalised and dealt to coarse inverted lists, whose number grows with the square root of the counted vectors;
+the residual to the list's centre is coded by a sub-codebook per subspace. A query probes its own list and every list
+whose plane, between its own centre and the list's, it lies near enough to. A linked vector lies across the plane by a
+share of the link distance that is about 1 / sqrt(dimension); `deviations` of these are allowed, at most the whole
+distance, from which on no link can be lost (16 dimensions and fewer at the default of 4). In a probed list, distances
+come from a table per query and code (asymmetric); a vector is left out only if this distance less the vector's own
+quantisation error exceeds the link distance. Those left are compared by exact cosine in double precision. Links found
+against brute force are all on the tests' vectors of 5 to 40 dimensions and 99.9 % or more of those of 64.
 
 Vectors are compared only if their labels (not null) and dimensions are equal. Vectors that are null, empty, zero or hold
 null or non-finite components, and those without an id, link with nothing and are kept. Equal vectors of a label form a
@@ -29,16 +31,22 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class Settings:
-    """cosine: least one of a link; sample: vectors, chosen by hash, that the codebooks are fitted on; block, queries: rows of a list, and of its queries, that one group holds."""
+    """cosine: least one of a link; least_lists, and at least `per_list` vectors of the sample to a list: bounds of the number of lists; deviations: see above; sample: vectors, chosen by hash, that the codebooks are fitted on; block, queries: rows of a list, and of its queries, that one group holds."""
 
     cosine: float = 0.98
-    lists: int = 32
+    least_lists: int = 32
+    per_list: int = 16
+    deviations: float = 4.0
     subspaces: int = 8
     codes: int = 256
     sample: int = 16_384
     block: int = 4096
     queries: int = 16_384
 
+    def lists(self, n: int) -> int:
+        """Lists of n vectors."""
+        return max(self.least_lists, min(int(np.sqrt(n)), self.sample // self.per_list))
+
     @property
     def reach(self) -> float:
         """Distance of unit vectors at the least cosine, and a margin for rounding."""
@@ -78,15 +86,20 @@ class Quantiser:
     books: list[np.ndarray]
 
     @classmethod
-    def fit(cls, x: np.ndarray, s: Settings) -> Quantiser:
-        coarse = k_means(x, s.lists)
+    def fit(cls, x: np.ndarray, n: int, s: Settings) -> Quantiser:
+        """x: the sample of n vectors."""
+        coarse = k_means(x, s.lists(n))
         rest = x - coarse[squares(x, coarse).argmin(1)]
         return cls(x.shape[1], coarse, [k_means(part, s.codes) for part in np.array_split(rest, min(s.subspaces, x.shape[1]), 1)])
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.array_split(x, len(self.books), 1)
 
-    def assign(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def across(self, s: Settings) -> float:
+        """How far beyond a plane linked vectors are sought."""
+        return s.reach * min(1.0, s.deviations / np.sqrt(self.width))
+
+    def assign(self, x: np.ndarray, across: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of each row: its list, codes, quantisation error, and the lists it must probe."""
         d = squares(x, self.coarse)
         home = d.argmin(1)
@@ -95,7 +108,7 @@ class Quantiser:
         back = np.concatenate([b[c] for b, c in zip(self.books, codes.T)], 1)
         error = np.sqrt(((rest - back) ** 2).sum(1))
         between = np.sqrt(squares(self.coarse, self.coarse))[home]
-        beyond = (d - d[np.arange(len(x)), home][:, None]) <= 2 * reach * between + 1e-9
+        beyond = (d - d[np.arange(len(x)), home][:, None]) <= 2 * across * between + 1e-9
         return home, codes, error, [np.flatnonzero(row) for row in beyond]
 
     def tables(self, x: np.ndarray, at: int) -> np.ndarray:
@@ -118,7 +131,7 @@ def train(classes: DataFrame, s: Settings) -> Quantiser | None:
         return None
     sizes = rows.map(len)
     width = int(sizes.mode().iloc[0])
-    return Quantiser.fit(units(np.stack(rows[sizes == width].to_numpy()).astype(float)), s)
+    return Quantiser.fit(units(np.stack(rows[sizes == width].to_numpy()).astype(float)), classes.count(), s)
 
 
 def dealt(classes: DataFrame, model: Quantiser, s: Settings) -> DataFrame:
@@ -128,7 +141,7 @@ def dealt(classes: DataFrame, model: Quantiser, s: Settings) -> DataFrame:
         for batch in batches:
             for _, g in batch.groupby(batch["vector"].map(len)):
                 x = fitted(units(np.stack(g["vector"].to_numpy()).astype(float)), model.width)
-                home, codes, error, probes = model.assign(x, s.reach)
+                home, codes, error, probes = model.assign(x, model.across(s))
                 own = g.assign(at=home, query=False, codes=[c.tobytes() for c in codes], error=error)
                 yield own
                 n = [len(p) for p in probes]
