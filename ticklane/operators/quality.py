@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation, divide, seconds_between, unbiased_kurtosis, unbiased_skew
+from . import order_stats
 from .keys import KEYS, Keys
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -19,13 +20,15 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """One row per column: counts, moments (bias-corrected), exact percentiles, range, IQR, variation, outliers beyond 1.5 IQR and distinct values, from two aggregations over all columns."""
+    """One row per column: counts, moments (bias-corrected), exact percentiles, range, IQR, variation, outliers beyond 1.5 IQR and distinct values. Percentiles and distinct values come from counted values in ranges (see order_stats)."""
     rows = long_form(df, columns)
     n, x = F.count("x"), F.col("x")
     base = rows.groupBy("feature").agg(
         F.count("*").alias("rows"), n.alias("count"), F.sum(x.isNull().cast("long")).alias("missing"), F.sum((x == 0).cast("long")).alias("n_zeros"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        *[F.percentile("x", F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles], unbiased_skew(n, F.skewness("x")).alias("skew"), unbiased_kurtosis(n, F.kurtosis("x")).alias("kurtosis"), F.countDistinct("x").alias("n_unique"),
+        unbiased_skew(n, F.skewness("x")).alias("skew"), unbiased_kurtosis(n, F.kurtosis("x")).alias("kurtosis"),
     )
+    placed = order_stats.percentiles(rows, "x", {f"p{round(100 * p)}": p for p in percentiles}, ["feature"]).drop("n")
+    base = base.join(F.broadcast(placed), "feature", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
     base = base.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "cv": divide(F.col("std"), F.col("mean")), "missing_pct": divide(F.col("missing") * 100.0, F.col("rows").cast("double"))})
     low, high = F.col("p25") - 1.5 * F.col("iqr"), F.col("p75") + 1.5 * F.col("iqr")
     # One bounds row per column: small by construction.
@@ -44,7 +47,7 @@ def without_outliers(df: DataFrame, columns: list[str], method: str = "iqr", thr
     for c in columns:
         x = F.col(c)
         if method == "iqr":
-            a, b = df.agg(F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))).first()
+            a, b = order_stats.percentiles(df, c, {"a": 0.25, "b": 0.75}, []).agg(F.first("a"), F.first("b")).first()
             low, high = (None, None) if a is None else (a - threshold * (b - a), b + threshold * (b - a))
         elif method == "zscore":
             mean, std = df.agg(F.avg(c), F.stddev_samp(c)).first()
@@ -80,8 +83,7 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     """(a, b, correlation) for each pair of columns, from one aggregation; spearman ranks each column first."""
     if method == "spearman":
         for c in columns:
-            w = Window.orderBy(c)
-            df = df.withColumn(c, F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+            df = order_stats.mean_ranks(df, c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("correlation")) for a, b in pairs]).alias("r"))
     return one.select(F.explode("r").alias("r")).select("r.*")

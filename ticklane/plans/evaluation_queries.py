@@ -59,7 +59,7 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.bootstrap_difference(T.predictions(spark, sf), "prediction", "other", rounds=100)
+    return evaluate.bootstrap_difference(T.predictions(spark, sf), "prediction", "other", ["symbol", "ts", "seq"])
 
 
 @query(f"WITH {CURVE} SELECT symbol, seq, size, {rounded_sql({'net_return': 'net_return'})}, {rounded_sql({'capital': 'capital', 'pnl': 'capital - coalesce(lag(capital) OVER (PARTITION BY symbol ORDER BY ts, seq), 100000)'}, 3)} FROM k")
