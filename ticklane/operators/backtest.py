@@ -64,3 +64,12 @@ def drawdown_episodes(curve: DataFrame, value: str = "capital", least_percent: f
 
 def by_regime(trades: DataFrame) -> DataFrame:
     return trades.groupBy("regime").agg(F.count("*").alias("n"), F.avg("pnl").alias("pnl_mean"), F.sum("pnl").alias("pnl_sum"), F.stddev_samp("pnl").alias("pnl_std"), F.avg(F.col("correct").cast("double")).alias("hit_rate"), F.avg("confidence").alias("confidence"), F.avg("size").alias("size"))
+
+
+def compared_strategies(strategies: dict[str, DataFrame], by: str = "sharpe", capital: float = 100_000.0, keys: Keys = KEYS) -> DataFrame:
+    """performance of each strategy's trades, with its name, best first by a measure."""
+    out = None
+    for name, trades in strategies.items():
+        one = performance(trades, capital, keys).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc(by), "strategy", keys.symbol)

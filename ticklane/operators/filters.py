@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,23 @@ def normalised_missing(df: DataFrame) -> DataFrame:
     """df with NaN and infinities of floating columns as null."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: finite(F.col(c)) for c in floats}) if floats else df
+
+
+def important(df: DataFrame, importance: DataFrame, columns: list[str], least: float = 0.01, name: str = "feature", value: str = "importance") -> DataFrame:
+    """df without those of the columns whose importance is less or unknown; the table of importances, a row per feature, is taken to the driver."""
+    kept = {r[0] for r in importance.where(F.col(value) >= least).select(name).collect()}
+    return df.drop(*[c for c in columns if c not in kept])
+
+
+def cleaned(df: DataFrame, columns: list[str], threshold: float = 3.0) -> DataFrame:
+    """Complete rows inside threshold times the interquartile range of each column."""
+    from .quality import without_outliers
+
+    return without_outliers(df.dropna(), columns, "iqr", threshold)
+
+
+def filled(df: DataFrame, columns: list[str], keys: Keys = KEYS) -> DataFrame:
+    """df with missing, NaN and infinite values of columns filled from the last known, else the next known one, else 0."""
+    ahead = keys.ordered().rowsBetween(0, Window.unboundedFollowing)
+    whole = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
+    return whole.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(keys.so_far()), F.first(c, ignorenulls=True).over(ahead), F.lit(0.0)) for c in columns})

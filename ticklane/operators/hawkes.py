@@ -7,6 +7,7 @@ symbols run in parallel.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,22 @@ from ..functions.scalar import seconds
 from .keys import KEYS, Keys
 
 
+@dataclass(frozen=True)
+class Parameters:
+    """A fitted process: base rate, jump and decay."""
+
+    mu: float
+    alpha: float
+    beta: float
+
+    @property
+    def branching_ratio(self) -> float:
+        return self.alpha / self.beta if self.beta else 0.0
+
+    def features(self) -> dict[str, float]:
+        return {"mu": self.mu, "alpha": self.alpha, "beta": self.beta, "branching_ratio": self.branching_ratio, "half_life": math.log(2) / self.beta if self.beta else math.inf}
+
+
 def excitation(gaps: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
     """Per event the sums over earlier events of exp(-beta * age) and age * exp(-beta * age), in one pass."""
     a, b, s, w = np.zeros(len(gaps)), np.zeros(len(gaps)), 0.0, 0.0

@@ -45,3 +45,8 @@ def next_move(mid: str = "mid_price", keys: Keys = KEYS) -> Column:
     """1 if the next mid price is higher, else 0; null on the last row."""
     following = F.lead(mid).over(keys.ordered())
     return F.when(following.isNotNull() & F.col(mid).isNotNull(), (following > F.col(mid)).cast("int"))
+
+
+def side_of_maker(buyer_is_maker: str = "is_buyer_maker") -> Column:
+    """The aggressor's side from the maker flag: a buyer who made the market was sold to."""
+    return F.when(F.col(buyer_is_maker), "sell").when(~F.col(buyer_is_maker), "buy")

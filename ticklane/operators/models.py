@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import metrics
+from .trees import trees_of
 
 KINDS = {
     "tree": lambda **p: DecisionTreeClassifier(**{"impurity": "entropy", "maxDepth": 7, "minInstancesPerNode": 10, "seed": 42} | p),
@@ -162,6 +163,42 @@ def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, points
     return predict(model, every).groupBy(F.col(feature).alias("value")).agg(F.avg("probability").alias("mean"), F.var_pop("probability").alias("spread"))
 
 
+def partial_dependence_2d(model: PipelineModel, df: DataFrame, a: str, b: str, points: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(a, b, mean): mean probability with two columns set to each pair of a grid between two percentiles."""
+    ends = df.approxQuantile([a, b], [low, high], 0.001)
+    grid = lambda e: F.array(*[F.lit(float(v)) for v in np.linspace(*e, points)])
+    every = df.drop(a, b).withColumn(a, F.explode(grid(ends[0]))).withColumn(b, F.explode(grid(ends[1])))
+    return predict(model, every).groupBy(a, b).agg(F.avg("probability").alias("mean"))
+
+
+def heterogeneity(model: PipelineModel, df: DataFrame, features: list[str], points: int = 20) -> list[tuple[str, float, float]]:
+    """(feature, mean spread of the rows' curves over the grid, range of the mean curve), largest spread first."""
+    out = []
+    for f in features:
+        r = partial_dependence(model, df, f, points).agg(F.avg("spread"), F.max("mean") - F.min("mean")).first()
+        out.append((f, float(r[0]), float(r[1])))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def staged_accuracy(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
+    """(stage, accuracy) after each tree of a boosted model, from one pass: each row's leaf values are summed tree by tree."""
+    trees, weights = trees_of(model)
+    rows = df.dropna(subset=list(model.stages[0].getInputCols()))
+    value = lambda t, w: F.get(F.array(*[F.lit(w * v.value) for v in t.leaves]), t.leaf())
+    margins = rows.select(F.col(label).alias("_y"), F.array(*[value(t, w) for t, w in zip(trees, weights)]).alias("_v"))
+    right = lambda k: F.avg(((F.aggregate(F.slice("_v", 1, k), F.lit(0.0), lambda a, x: a + x) > 0).cast("int") == F.col("_y")).cast("double"))
+    one = margins.agg(F.array(*[F.struct(F.lit(k).alias("stage"), right(k).alias("accuracy")) for k in range(1, len(trees) + 1)]).alias("r"))
+    return one.select(F.explode("r").alias("r")).select("r.*")
+
+
+def model_for(regime: str, mapping: dict[str, str], models: dict[str, PipelineModel], default: str | None = None) -> PipelineModel:
+    """The model that a regime is mapped to, else the default one."""
+    name = mapping.get(regime, default)
+    if name not in models:
+        raise KeyError(f"no model for regime {regime!r}")
+    return models[name]
+
+
 def throughput(model: PipelineModel, df: DataFrame) -> dict:
     """Rows scored per second, from one pass over df."""
     began = time.monotonic()

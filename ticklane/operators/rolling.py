@@ -7,10 +7,12 @@ null unless stated otherwise.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import book
 from ..functions.scalar import EPSILON, col, correlation, divide, log_ratio, seconds_between, unbiased_kurtosis, unbiased_skew
 from .keys import KEYS, Keys
 
@@ -196,3 +198,26 @@ def centred_mean(x: str, k: int = 10, keys: Keys = KEYS) -> Column:
     """Mean of k rows around the current one; null where fewer are there."""
     frame = keys.ordered().rowsBetween(-(k // 2), k - k // 2 - 1)
     return F.when(F.count(x).over(frame) >= k, F.avg(x).over(frame))
+
+
+def full_window(aggregate: Callable[[Column], Column], x: Column, rows: int, keys: Keys = KEYS) -> Column:
+    """An aggregate of x over the last rows, null until there are so many with a value."""
+    last = keys.last(rows)
+    return F.when(F.count(x).over(last) >= rows, aggregate(x).over(last))
+
+
+def book_dynamics(levels: int, window: int = 20, lag: int = 1, top: int = 1, windows: tuple[int, ...] = (10, 30, 60), keys: Keys = KEYS) -> dict[str, Column]:
+    """Rolling and lagged columns of an order book: volatility of the first level's imbalance, means and acceleration of the volume difference, volatility and change of thickness, change of concentration."""
+    before = lambda x, k: x - F.lag(x, k).over(keys.ordered())
+    difference, thick, top_share = book.volume_difference(levels), book.thickness(levels), book.concentration(top, levels)
+    return {
+        "queue_imbalance_volatility": full_window(F.stddev_samp, book.level_imbalance(1), window, keys), "volume_difference_mean": full_window(F.avg, difference, window, keys),
+        **{f"volume_difference_mean_{k}": full_window(F.avg, difference, k, keys) for k in windows}, "volume_difference_acceleration": before(difference, window),
+        "thickness_volatility": full_window(F.stddev_samp, thick, window, keys), "thickness_change": before(thick, lag), "concentration_change": before(top_share, window),
+    }
+
+
+def relative_volume(volume: str = "volume", rows: int = 5, keys: Keys = KEYS) -> dict[str, Column]:
+    """volume_relative: by the symbol's mean over all rows (it looks ahead); volume_concentration: by the mean of the last rows, null until there are so many."""
+    v = F.col(volume).cast("double")
+    return {"volume_relative": divide(v, F.avg(v).over(keys.whole())), "volume_concentration": divide(v, full_window(F.avg, v, rows, keys))}

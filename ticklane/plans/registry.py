@@ -23,12 +23,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def near(c: Column | str, digits: int = 6) -> Column:
-    """c rounded, off the ties: quotients often end in a 5 at the next digit, where two engines' last bits decide."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.31 * 10 ** -(digits + 1)), digits)
+    """c rounded, off the ties: quotients often end in a 5 at the next digit, where two engines' last bits decide; no negative zero."""
+    r = F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.31 * 10 ** -(digits + 1)), digits)
+    return F.when(r == 0, 0.0).otherwise(r)
 
 
 def near_sql(c: str, digits: int = 6) -> str:
-    return f"round(({c}) + {0.31 * 10 ** -(digits + 1)!r}::DOUBLE, {digits})"
+    r = f"round(({c}) + {0.31 * 10 ** -(digits + 1)!r}::DOUBLE, {digits})"
+    return f"(CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END)"
 
 
 def rounded(columns: dict[str, Column], digits: int = 6) -> list[Column]:

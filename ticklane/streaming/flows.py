@@ -70,7 +70,7 @@ def book_snapshots(updates: DataFrame, levels: int = 10) -> DataFrame:
             if not follows:
                 book = {"bids": {}, "asks": {}}
             for side in ("bids", "asks"):
-                for price, size in getattr(m, side):
+                for price, size in () if getattr(m, side) is None else getattr(m, side):
                     if float(size):
                         book[side][price] = float(size)
                     else:
@@ -84,6 +84,21 @@ def book_snapshots(updates: DataFrame, levels: int = 10) -> DataFrame:
     return updates.groupBy("symbol").applyInPandasWithState(follow, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def aligned_with_snapshot(updates: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Batch: buffered depth updates that go on from a fetched book (snapshots: symbol, last_id, bids, asks), the book itself as their first row.
+
+    Updates that end before the snapshot are dropped. The first one kept must hold the id after the snapshot's; a symbol whose buffer begins later gives
+    its snapshot alone, with gap true, and a new one has to be fetched.
+    """
+    base = snapshots.select("symbol", F.col("last_id").alias("_base"))  # one row per symbol
+    newer = updates.join(base, "symbol").where(F.col("last_id") > F.col("_base"))
+    first = newer.groupBy("symbol").agg(F.min(F.struct("last_id", "first_id", "_base")).alias("f"))
+    gapped = first.select("symbol", (F.col("f.first_id") > F.col("f._base") + 1).alias("gap"))
+    kept = newer.join(gapped.where("not gap"), "symbol").select(*updates.columns, "gap")
+    book = snapshots.join(gapped, "symbol", "left").select("symbol", F.lit(0).cast("long").alias("first_id"), "last_id", F.lit(None).cast("long").alias("previous_id"), "bids", "asks", F.lit(0).cast("long").alias("event_ms"), F.coalesce("gap", F.lit(False)).alias("gap"))
+    return book.unionByName(kept)
+
+
 def book_at(changes: DataFrame, levels: int = 10) -> DataFrame:
     """Batch: (symbol, side, level, price, size) after all changes (symbol, side, price, size, seq): the last size of each price, zeros removed, best first."""
     last = changes.groupBy("symbol", "side", "price").agg(F.max_by("size", "seq").alias("size")).where("size > 0")
