@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, texts_of, written
+from .common import arrow_batches, bucket_of, texts_of, written
 from .textstats import numbered
 
 ADD = 0.1  # to every count of the base score
@@ -36,7 +36,7 @@ ADD = 0.1  # to every count of the base score
 
 @dataclass(frozen=True)
 class Settings:
-    """hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter; segment_bits: of the parts it is built in; max_bits: of a filter that is broadcast; unit, unit_bytes: texts taken together and about how many bytes they have; bucket_tokens: training tokens to a bucket of n-grams."""
+    """hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter; segment_bits: of the parts it is built in; max_bits: of a filter that is broadcast; unit, unit_bytes: texts taken together and about how many bytes they have; units_at_once: sent to Python in a batch; bucket_tokens: training tokens to a bucket of n-grams."""
 
     folds: int = 10
     held_out: int = 0
@@ -49,6 +49,7 @@ class Settings:
     max_bits: int = 1 << 28
     unit: int = 1024
     unit_bytes: int = 2_000_000
+    units_at_once: int = 4
     bucket_tokens: int = 300_000
 
 
@@ -252,7 +253,8 @@ def packed(docs: DataFrame, s: Settings) -> DataFrame:
             for at, n in units(b.column("text"), s):
                 yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.slice(at, n).to_struct_array())], ["docs"])
 
-    return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"))
+    with arrow_batches(docs.sparkSession, s.unit):
+        return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"))
 
 
 def bucket_levels(packs: DataFrame, buckets: int, s: Settings) -> DataFrame:
@@ -283,7 +285,8 @@ def bucket_levels(packs: DataFrame, buckets: int, s: Settings) -> DataFrame:
         return pd.DataFrame({"unit": g["unit"], "bucket": g["bucket"], "levels": [x.tobytes() for x in level]})
 
     probes = packs.mapInArrow(asked, "unit long, bucket long, grams binary, n binary")
-    levels = written(probes.groupBy("bucket").applyInPandas(probed, "unit long, bucket long, levels binary"))
+    with arrow_batches(packs.sparkSession, s.units_at_once):
+        levels = written(probes.groupBy("bucket").applyInPandas(probed, "unit long, bucket long, levels binary"))
     return levels.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("found"))
 
 
@@ -334,7 +337,8 @@ def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Data
         packs = packed(numbered_docs, s)
         found = bucket_levels(packs, buckets, s)
         spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what is done
-        scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
+        with arrow_batches(spark, s.units_at_once):
+            scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
     cold = scored.select("row", F.explode(F.arrays_zip(F.col("cold").alias("token"), F.col("cold_n").alias("often"))).alias("c")).select("row", "c.token", "c.often")
     counted = cold.join(singles, "token", "left").select("row", "often", F.coalesce("n", F.lit(0)).alias("n"))
     sums = counted.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.col("n") + ADD)).alias("cold_score"), F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("cold_known"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,18 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, tables that are computed send at most so many rows at once to Python: for rows of megabytes, whose batches the JVM and Python each hold whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class RecentCache(dict):
     """A memo of bounded size: two generations, the older one dropped when the newer one is full. make turns a list of keys into the list of their values."""
 
