@@ -132,3 +132,16 @@ def test_moments_gaps_and_rankings(spark):
     both = {r.feature: r["mean"] for r in ranking.merged_importances({"a": a, "b": b}).collect()}
     assert both == {"u": 0.375, "v": 0.375, "w": 0.25}
     assert [r.percent for r in ranking.concentration(a).collect()] == [10, 20, 50]
+
+
+@pytest.mark.parametrize("length", [1, 7, 50, 10_000])
+def test_decoding_does_not_depend_on_segments(spark, length):
+    r = np.random.default_rng(9)
+    m = hmm.Model(["x"], np.zeros(1), np.ones(1), np.array([0.6, 0.3, 0.1]), np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.25, 0.7]]), np.array([[-1.0], [0.0], [1.0]]), np.full((3, 1, 1), 0.8), ["Calm", "Trending", "Volatile"])
+    series = {"a": r.normal(size=120), "b": r.normal(size=30)}
+    df = spark.createDataFrame([(s, i, i, float(v)) for s, x in series.items() for i, v in enumerate(x)], "symbol string, t long, seq long, x double").selectExpr("symbol", "timestamp_seconds(t) as ts", "seq", "x")
+    got = {(row.symbol, row.seq): row.state for row in hmm.decode(df, m, length).collect()}
+    for s, x in series.items():
+        expected = hmm.viterbi(m, x[:, None], np.log(m.start + 1e-300))[0]
+        assert [got[s, i] for i in range(len(x))] == expected.tolist()
+    assert hmm.decode(df.limit(0), m, length).count() == 0

@@ -1,7 +1,7 @@
 """Self-exciting point processes with intensity mu + sum of alpha * exp(-beta * age), branching ratio alpha / beta.
 
-Each window of events is one group of `size` rows, fitted by expectation-maximisation in a grouped function; windows of all
-symbols run in parallel.
+Windows of events are fitted by expectation-maximisation in a grouped function, a few hundred successive ones at once, each step
+for all of them; groups of all symbols run in parallel.
 """
 
 from __future__ import annotations
@@ -34,51 +34,69 @@ class Parameters:
         return {"mu": self.mu, "alpha": self.alpha, "beta": self.beta, "branching_ratio": self.branching_ratio, "half_life": math.log(2) / self.beta if self.beta else math.inf}
 
 
-def excitation(gaps: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per event the sums over earlier events of exp(-beta * age) and age * exp(-beta * age), in one pass."""
-    a, b, s, w = np.zeros(len(gaps)), np.zeros(len(gaps)), 0.0, 0.0
+def excitation(gaps: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """gaps: (events, windows), beta: (windows). Per event the sums over earlier events of exp(-beta * age) and age * exp(-beta * age), all windows at once."""
+    a, b = np.zeros_like(gaps), np.zeros_like(gaps)
+    fade = np.exp(-beta * gaps)
     for i in range(1, len(gaps)):
-        d = gaps[i]
-        k = math.exp(-beta * d)
-        s, w = k * (1 + s), k * (w + d * (1 + s))
-        a[i], b[i] = s, w
+        more = 1 + a[i - 1]
+        a[i] = fade[i] * more
+        b[i] = fade[i] * (b[i - 1] + gaps[i] * more)
     return a, b
 
 
-def fit(times: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tuple[float, float, float]:
-    """(mu, alpha, beta) of sorted times; edge effects at the end of the window are left out."""
-    gaps = np.diff(times, prepend=times[0])
-    span = max(times[-1] - times[0], 1e-9)
-    mu, ratio, beta = 0.5 * len(times) / span, 0.5, len(times) / span
+def fit_all(times: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """mu, alpha, beta and whether the fit came to rest, for each row of sorted times; edge effects at the end of a window are left out."""
+    gaps = np.diff(times, prepend=times[:, :1], axis=1).T.copy()
+    n = len(gaps)
+    span = np.maximum(times[:, -1] - times[:, 0], 1e-9)
+    mu, ratio, beta = 0.5 * n / span, np.full(len(times), 0.5), n / span
+    done = np.zeros(len(times), bool)
     for _ in range(rounds):
-        a, b = excitation(gaps, beta)
-        rate = mu + ratio * beta * a
-        caused = ratio * beta * a / rate
-        age = (ratio * beta * b / rate).sum()
-        new = ((mu / rate).sum() / span, caused.sum() / len(times), caused.sum() / age if age > 0 else beta)
-        moved = max(abs(x - y) / max(abs(y), 1e-12) for x, y in zip(new, (mu, ratio, beta)))
-        mu, ratio, beta = new
-        if moved < tolerance:
+        at = np.flatnonzero(~done)
+        if not len(at):
             break
-    return float(mu), float(ratio * beta), float(beta)
+        a, b = excitation(gaps[:, at], beta[at])
+        rate = mu[at] + ratio[at] * beta[at] * a
+        caused = (ratio[at] * beta[at] * a / rate).sum(0)
+        age = (ratio[at] * beta[at] * b / rate).sum(0)
+        new = ((mu[at] / rate).sum(0) / span[at], caused / n, np.where(age > 0, caused / np.where(age > 0, age, 1), beta[at]))
+        moved = np.max([np.abs(x - y[at]) / np.maximum(np.abs(y[at]), 1e-12) for x, y in zip(new, (mu, ratio, beta))], axis=0)
+        mu[at], ratio[at], beta[at] = new
+        done[at] = moved < tolerance
+    return mu, ratio * beta, beta, done
+
+
+def fit(times: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tuple[float, float, float]:
+    """(mu, alpha, beta) of sorted times."""
+    mu, alpha, beta, _ = fit_all(np.asarray(times, float)[None], rounds, tolerance)
+    return float(mu[0]), float(alpha[0]), float(beta[0])
+
+
+#: Windows of a symbol that are fitted together; their events go to one group once.
+TOGETHER = 256
 
 
 def rolling_fit(events: DataFrame, size: int = 200, stride: int = 20, least: int = 50, rounds: int = 50, keys: Keys = KEYS) -> DataFrame:
-    """(symbol, window, start, end, n_events, mu, alpha, beta, branching_ratio) for every window of `size` events, `stride` apart; symbols with fewer than `size` events give one window if they have `least`."""
+    """(symbol, window, start, end, n_events, mu, alpha, beta, converged, branching_ratio) for every whole window of `size` events, `stride` apart; symbols with fewer than `size` events give one window if they have `least`."""
     numbered = events.select(keys.symbol, keys.ts, seconds(keys.ts).alias("_t"), F.row_number().over(keys.ordered()).alias("_i"), F.count("*").over(keys.whole()).alias("_n")).where(F.col("_n") >= least)
     last = F.greatest(F.lit(0), F.floor((F.col("_n") - size) / stride))
-    windows = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("_i") - size) / stride)).cast("long"), F.least(F.floor((F.col("_i") - 1) / stride), last).cast("long"))
-    inside = F.col("_i") - size <= last * stride  # events after the last whole window are in none
-    dealt = numbered.where(inside).withColumn("window", F.explode(windows))
+    first_in, last_in = F.greatest(F.lit(0), F.ceil((F.col("_i") - size) / stride)), F.least(F.floor((F.col("_i") - 1) / stride), last)
+    dealt = numbered.where(first_in <= last_in).withColumn("_block", F.explode(F.sequence(F.floor(first_in / TOGETHER).cast("long"), F.floor(last_in / TOGETHER).cast("long"))))
     kind = dealt.schema[keys.symbol].dataType.simpleString(), dealt.schema[keys.ts].dataType.simpleString()
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
+    def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_i")
-        t = g["_t"].to_numpy()
-        mu, alpha, beta = fit(t - t[0], rounds)
-        return pd.DataFrame({keys.symbol: [g[keys.symbol].iloc[0]], "window": [g["window"].iloc[0]], "start": [g[keys.ts].iloc[0]], "end": [g[keys.ts].iloc[-1]], "n_events": [len(g)], "mu": [mu], "alpha": [alpha], "beta": [beta]})
-
-    made = dealt.groupBy(keys.symbol, "window").applyInPandas(one, f"{keys.symbol} {kind[0]}, window long, start {kind[1]}, end {kind[1]}, n_events long, mu double, alpha double, beta double")
+        n, t, at = int(g["_n"].iloc[0]), g["_t"].to_numpy(), g["_i"].to_numpy()
+        wide, final = min(size, n), max(0, (n - size) // stride)
+        window = np.arange(g["_block"].iloc[0] * TOGETHER, min(final, (g["_block"].iloc[0] + 1) * TOGETHER - 1) + 1)
+        begin = window * stride + 1 - at[0]
+        times = t[begin[:, None] + np.arange(wide)]
+        mu, alpha, beta, done = fit_all(times - times[:, :1], rounds)
+        stamps = g[keys.ts].to_numpy()
+        return pd.DataFrame({keys.symbol: g[keys.symbol].iloc[0], "window": window, "start": stamps[begin], "end": stamps[begin + wide - 1], "n_events": wide, "mu": mu, "alpha": alpha, "beta": beta, "converged": done})
+
+    made = dealt.groupBy(keys.symbol, "_block").applyInPandas(block, f"{keys.symbol} {kind[0]}, window long, start {kind[1]}, end {kind[1]}, n_events long, mu double, alpha double, beta double, converged boolean")
     return made.withColumn("branching_ratio", branching_ratio())
 
 

@@ -1,7 +1,7 @@
 """Gaussian hidden Markov models fitted by distributed expectation-maximisation.
 
 Series are cut into segments of bounded length. Every round scans the segments in parallel and returns only sums (a few
-numbers per state); the driver updates the parameters from them. Decoding runs per segment.
+numbers per state); the driver updates the parameters from them. Decoding gives the path of the whole series.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Model:
 
 def segmented(df: DataFrame, columns: list[str], length: int = 10_000, keys: Keys = KEYS) -> DataFrame:
     """Complete rows with the number of their segment within the symbol."""
-    return df.dropna(subset=columns).withColumn("_at", F.row_number().over(keys.ordered())).withColumn("_segment", F.floor((F.col("_at") - 1) / length))
+    return df.dropna(subset=columns).withColumn("_at", F.row_number().over(keys.ordered())).withColumn("_segment", F.floor((F.col("_at") - 1) / length).cast("long"))
 
 
 def forward_backward(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -109,28 +109,59 @@ def _expected(m: Model):
     return sums
 
 
-def viterbi(m: Model, x: np.ndarray) -> np.ndarray:
+def viterbi(m: Model, x: np.ndarray, first: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The most likely states of x, the last one given or free, and the score of each last state. first: scores of the states at the first row, without its density."""
     dens, move = m.log_density(x), np.log(m.move + 1e-300)
-    best, back = np.log(m.start + 1e-300) + dens[0], np.zeros(dens.shape, int)
+    best, back = first + dens[0], np.zeros(dens.shape, int)
     for t in range(1, len(x)):
         every = best[:, None] + move
         back[t] = every.argmax(0)
         best = every.max(0) + dens[t]
     out = np.zeros(len(x), int)
-    out[-1] = best.argmax()
+    out[-1] = best.argmax() if last is None else last
     for t in range(len(x) - 1, 0, -1):
         out[t - 1] = back[t, out[t]]
-    return out
+    return out, best
 
 
 def decode(df: DataFrame, m: Model, length: int = 10_000, keys: Keys = KEYS) -> DataFrame:
-    """(symbol, ts, seq, state, regime) of the complete rows, the most likely path of each segment."""
+    """(symbol, ts, seq, state, regime) of the complete rows: the most likely path of each symbol's whole series, whatever the length of the segments that it is worked out in.
+
+    Each segment gives the best score between every state before it and every state at its end; along a symbol's segments, a few numbers each, these give
+    the state before and at the end of each segment; then each segment's own path is found between them.
+    """
+    k = len(m.centres)
     rows = segmented(df, m.columns, length, keys).select(keys.symbol, keys.ts, keys.seq, "_segment", "_at", *m.columns)
-    kept = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (keys.symbol, keys.ts, keys.seq)]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (keys.symbol, keys.ts, keys.seq)}
+    scaled = lambda g: (g.sort_values("_at")[m.columns].to_numpy(float) - m.mean) / m.scale
+    enter = np.vstack([np.log(m.move + 1e-300), np.log(m.start + 1e-300)])  # by the state before; the last row stands for none
+
+    def between(g: pd.DataFrame) -> pd.DataFrame:
+        x, number = scaled(g), g["_segment"].iloc[0]
+        scores = [viterbi(m, x, enter[i])[1] for i in ([k] if number == 0 else range(k))]
+        return pd.DataFrame({keys.symbol: [g[keys.symbol].iloc[0]], "_segment": [number], "scores": [np.concatenate(scores)]})
+
+    def along(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_segment")
+        best, back = np.array(g["scores"].iloc[0]), []
+        for scores in g["scores"].iloc[1:]:
+            every = best[:, None] + np.reshape(scores, (k, k))
+            back.append(every.argmax(0))
+            best = every.max(0)
+        ends = [int(best.argmax())]
+        for b in back[::-1]:
+            ends.append(int(b[ends[-1]]))
+        ends = ends[::-1]
+        return pd.DataFrame({keys.symbol: g[keys.symbol].iloc[0], "_segment": g["_segment"], "_before": [k, *ends[:-1]], "_end": ends})
+
+    symbol = f"{keys.symbol} {kinds[keys.symbol]}, _segment long"
+    links = rows.groupBy(keys.symbol, "_segment").applyInPandas(between, f"{symbol}, scores array<double>").groupBy(keys.symbol).applyInPandas(along, f"{symbol}, _before int, _end int")
+    same = [rows[keys.symbol].eqNullSafe(F.col("_symbol")), rows["_segment"] == F.col("_number")]
+    bound = rows.join(links.select(F.col(keys.symbol).alias("_symbol"), F.col("_segment").alias("_number"), "_before", "_end"), same).drop("_symbol", "_number")
 
     def path(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_at")
-        state = viterbi(m, (g[m.columns].to_numpy(float) - m.mean) / m.scale)
-        return g[[keys.symbol, keys.ts, keys.seq]].assign(state=state.astype("int32"), regime=[m.labels[k] for k in state])
+        state = viterbi(m, scaled(g), enter[g["_before"].iloc[0]], g["_end"].iloc[0])[0]
+        return g[[keys.symbol, keys.ts, keys.seq]].assign(state=state.astype("int32"), regime=[m.labels[i] for i in state])
 
-    return rows.groupBy(keys.symbol, "_segment").applyInPandas(path, ", ".join([*kept, "state int", "regime string"]))
+    return bound.groupBy(keys.symbol, "_segment").applyInPandas(path, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "state int", "regime string"]))

@@ -6,11 +6,13 @@ range are carried on in a table of a few rows per group, and each range is finis
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of a group.
-RANGES = 64
+RANGES = 32
 
 
 def running(rows: DataFrame, value: str, sums: dict[str, Column], by: list[str], ranges: int = RANGES) -> DataFrame:
@@ -20,7 +22,8 @@ def running(rows: DataFrame, value: str, sums: dict[str, Column], by: list[str],
     counts = counts if by else counts.withColumn("_all", F.lit(0))
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
-    ranged = counts.join(F.broadcast(cuts), keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    passed = [F.coalesce((F.get("_cuts", F.lit(k)) < F.col(value)).cast("int"), F.lit(0)) for k in range(ranges - 1)]  # a sum of plain terms is compiled
+    ranged = counts.join(F.broadcast(cuts), keys).withColumn("_range", reduce(lambda a, b: a + b, passed)).drop("_cuts")
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])

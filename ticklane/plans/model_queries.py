@@ -16,14 +16,14 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query()
 def hawkes_windows(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"))
-    made = hawkes.rolling_fit(rows, 200, 100, rounds=20)
+    made = hawkes.rolling_fit(rows)
     return made.withColumns({"regime": hawkes.regime_label(), "is_burst": hawkes.bursts()})
 
 
 @query()
 def hidden_regimes(spark: SparkSession, sf: str) -> DataFrame:
     bars = T.ordered_bars(spark, sf).withColumns({"range": F.ln(F.col("high") / F.col("low")), "ret": F.abs(rolling.log_return("close"))})
-    return hmm.decode(bars, hmm.fit(bars, ["range", "ret"], rounds=8))
+    return hmm.decode(bars, hmm.fit(bars, ["range", "ret"]))
 
 
 @query()
@@ -37,7 +37,7 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.bars(spark, sf).withColumns({"range": F.col("high") - F.col("low"), "move": F.col("close") - F.col("open")})
     rows = rows.withColumn("label", (F.lead("close").over(rolling.Window.partitionBy("symbol").orderBy("ts")) > F.col("close")).cast("int")).dropna()
     early, late = models.temporal_split(rows)
-    model = models.train(early, ["range", "move", "volume", "vwap"], "forest", numTrees=20, maxDepth=5)
+    model = models.train(early, ["range", "move", "volume", "vwap"], "forest")
     return models.predict(model, late).select("symbol", "ts", "label", "prediction", "probability")
 
 
