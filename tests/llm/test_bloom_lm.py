@@ -128,3 +128,10 @@ def test_filter_leaves_no_level_out(spark):
     singles = spark.createDataFrame([(f"t{i}".encode(), 1) for i in range(40_000)], "token binary, n long")
     f = bloom_lm.build_filter(singles, spark.createDataFrame([], "gram long, n long"), s)
     assert (f.levels(np.array([bloom_lm.xxhash.xxh3_64_intdigest(f"t{i}".encode()) for i in range(40_000)], np.uint64)) > 0).all()
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = documents(spark, ["a b c", "a b c", "d e", None]).selectExpr("doc_id", "text", "'x' as SCORE", "1 as held_out", "2 as row", "3 as token")
+    both = docs.union(docs)
+    rows = sorted((r.doc_id, r.held_out, r.n_tokens, r.score) for r in bloom_lm.score(both).collect())
+    assert len(rows) == 8 and rows[::2] == rows[1::2] and [r[2] for r in rows[::2]] == [4, 4, 3, 1]

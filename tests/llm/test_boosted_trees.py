@@ -62,3 +62,14 @@ def test_flattened_walk_equals_a_walk_node_by_node():
             total += leaf[node - 7]
         assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
     assert ((t.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_repeated_rows_and_two_texts_under_one_id_score_alike_on_reruns(spark):
+    texts, labels = corpus(60)
+    docs = documents(spark, texts)
+    twice = docs.union(docs).union(documents(spark, texts[::-1]).limit(20))
+    marks = spark.createDataFrame([(i, y, 0) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    one, other = (boosted_trees.fit(d, marks) for d in (twice.coalesce(1), twice.repartition(5)))
+    assert np.array_equal(one.threshold, other.threshold) and np.array_equal(one.leaf, other.leaf)
+    scored = boosted_trees.score(docs.union(docs), one).groupBy("doc_id").agg({"score": "min", "*": "count"}).collect()
+    assert all(r["count(1)"] == 2 for r in scored)

@@ -71,3 +71,9 @@ def test_hard_texts_one_source_and_repeated_rows(spark, tmp_path):
 def test_empty(spark):
     assert mixing.mix(documents(spark, ["a"]).limit(0)).count() == 0
     assert [r["taken"] for r in mixing.mix(documents(spark, ["", None])).collect()] == [0, 0]
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, ["a b", "c", None]).selectExpr("*", "'x' as SIZE", "'y' as Taken", "7 as copies")
+    rows = mixing.mix(docs).collect()
+    assert sorted(r["size"] for r in rows) == [0, 1, 2] and all(isinstance(r["copies"], int) and r["copies"] <= 3 for r in rows)

@@ -5,7 +5,7 @@ from ticklane.llm import bpe, mixing, secrets
 from ticklane.llm.common import vocabulary_path
 
 from . import test_boosted_trees, test_minhash
-from .helpers import documents, stored
+from .helpers import HARD, documents, stored
 
 
 def corpus(spark, tmp_path):
@@ -60,3 +60,20 @@ def test_rows_without_ids_stay_and_empty_tables_pass(spark, tmp_path):
     assert corpus_pipeline.keep_one_of_each(spark, docs, sf).count() == 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_hard_texts_and_extra_columns_pass_through_all_stages(spark, tmp_path):
+    sf, _, _ = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(documents(spark, HARD).selectExpr("doc_id + 10000 as doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.selectExpr("*", "1 as score", "'x' as spans", "2 as copies", "3 as component_id", "'y' as token_ids")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/hard{k}")
+        docs = spark.read.parquet(f"{tmp_path}/hard{k}")
+    assert docs.columns == ["doc_id", "source", "n_tokens", "token_ids"] and docs.count() > 0
+
+
+def test_different_texts_under_one_id_stay(spark, tmp_path):
+    sf, _, _ = corpus(spark, tmp_path)
+    rows = [(1, "one text of six words here", "en", "b", 5), (1, "one text of six words here", "en", "a", 5), (1, "quite another text under that id", None, None, None), (2, "One text of six words HERE", "en", "s", 5)]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[2]]))

@@ -6,12 +6,13 @@ the filter alone yields smoothed probabilities. It is sized from the number of i
 out. A filter of at most `max_bits` is built in segments by Spark and broadcast. A larger one stays in buckets of n-grams:
 each unit of texts sends its distinct n-grams to their buckets, where the bucket's part of the filter is built from their
 counts and probed, and gets their levels back. Base scores use exact counts: those of the `hot` most frequent tokens (a
-bounded table) where the texts are read, all others by a join.
+bounded table) where the texts are read, all others by a join, whose common words Spark splits as skewed keys.
 
 Tokens are the lower-cased (A-Z) words of a text, then one end token, the empty string. Null text is empty text: the end
 token alone. Rows: one output row per input row; repeated rows get equal results. Ties among tokens as frequent as the
 last hot one are broken by the token; they change no result. An empty table gives an empty result; without training
-documents all counts are 0. Very long texts and words are taken whole.
+documents all counts are 0. Very long texts and words are taken whole. Only the id and text columns of the input are
+read, so other columns can't clash. The order is two: single tokens and pairs.
 """
 
 from __future__ import annotations

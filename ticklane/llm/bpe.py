@@ -5,8 +5,9 @@ the mergeable neighbours by (rank, position); an entry whose symbols have since
 concatenates the vocabulary strings of the ids.
 
 Rows: one output row per input row. Null text encodes as the empty text (no ids), and the empty list decodes to the
-empty string. Repeated rows give repeated results, an empty table an empty one. Input columns named like an output
-column are replaced; all others pass through.
+empty string. Very long texts are encoded whole, in time that grows with their length. Of equal ranks the
+leftmost pair merges first. Repeated rows give repeated results, an empty table an empty one. Input columns named like an
+output column are replaced; all others pass through.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, component): for each node with a link to a smaller one in its component, the smallest node it can reach.
 
     Alternates large and small stars: each node hangs its larger, then its smaller neighbours on the least neighbour, until
-    nothing changes. Minima are aggregated before shuffling, so a node with very many links is no single task's work, and
-    each round's table is checkpointed. Links of a node to itself do nothing.
+    nothing changes. Minima are aggregated before shuffling; the joins that bring a node's minimum to its links hold two
+    numbers a row, and a node with very many links is split there by Spark's adaptive skew join (on by default). Each
+    round's table is checkpointed. Links of a node to itself, and links of a null, do nothing; no links give no rows.
     """
     edges = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = fingerprint(edges)

@@ -6,7 +6,7 @@ that stands in a text is always proposed; each place of such a word and each pos
 Starts proposed by enough words are candidates; a candidate counts if the key phrase stands there, word for word.
 Everything happens within a row, so no shuffle carries text, and row size alone bounds a task.
 
-Rows: one output row per input row; null text counts as empty. Repeated rows give repeated results, an empty table an
+Rows: one output row per input row; null text counts as empty. Very long texts are scanned whole. Repeated rows give repeated results, an empty table an
 empty one; ties in document frequency are broken by the word. Input columns named like an output are replaced.
 """
 

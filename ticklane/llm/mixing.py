@@ -5,7 +5,7 @@ a source's budget ends. Only that boundary bucket is refined, by further bits of
 budgets of a source are nested: a document is taken once for each full pass over its source that the target holds, and
 once more if its hash is at most the threshold. Nothing sorts the documents; they are filtered by their hash.
 
-Rows: one output row per input row. Null text has size 0; null sources form one source. Rows that are equal in all of
+Rows: one output row per input row. Null text has size 0; null sources form one source. Very long texts count whole. Rows that are equal in all of
 id, source and text share a hash and are taken alike. Empty tables give empty results; without any words all targets
 are 0. Input columns named like an output are replaced.
 """
