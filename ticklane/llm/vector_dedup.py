@@ -4,10 +4,10 @@ Vectors are normalised and dealt to coarse inverted lists, whose number grows wi
 the residual to the list's centre is coded by a sub-codebook per subspace. A query probes its own list and every list
 whose plane, between its own centre and the list's, it lies near enough to. A linked vector lies across the plane by a
 share of the link distance that is about 1 / sqrt(dimension); `deviations` of these are allowed, at most the whole
-distance, from which on no link can be lost (16 dimensions and fewer at the default of 4). In a probed list, distances
+distance, from which on no link can be lost (12 dimensions and fewer at the default). In a probed list, distances
 come from a table per query and code (asymmetric); a vector is left out only if this distance less the vector's own
 quantisation error exceeds the link distance. Those left are compared by exact cosine in double precision. Links found
-against brute force are all on the tests' vectors of 5 to 40 dimensions and 99.9 % or more of those of 64.
+against brute force are 99.9 % or more on the tests' vectors of 5 to 64 dimensions.
 
 Vectors are compared only if their labels (not null) and dimensions are equal. Vectors that are null, empty, zero or hold
 null or non-finite components, and those without an id, link with nothing and are kept. Equal vectors of a label form a
@@ -25,10 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sized
 from .components import connected_components
 
 
+#: Tables of lists of at most so many rows, as counted, are broadcast.
+FEW = 500_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """cosine: least one of a link; least_lists, and at least `per_list` vectors of the sample to a list: bounds of the number of lists; deviations: see above; sample: vectors, chosen by hash, that the codebooks are fitted on; block, queries: rows of a list, and of its queries, that one group holds."""
@@ -36,7 +40,7 @@ class Settings:
     cosine: float = 0.98
     least_lists: int = 32
     per_list: int = 16
-    deviations: float = 4.0
+    deviations: float = 3.5
     subspaces: int = 8
     codes: int = 256
     sample: int = 16_384
@@ -157,8 +161,9 @@ def dealt(classes: DataFrame, model: Quantiser, s: Settings) -> DataFrame:
 def searched(rows: DataFrame, model: Quantiser, s: Settings) -> DataFrame:
     """(node, n, other): for each query and group the number of vectors that it links with (other null), and links enough to connect what the group's links connect (n null)."""
     names = ["label", "size", "at"]
-    counts = rows.groupBy(*names).agg(F.sum((~F.col("query")).cast("long")).alias("n_own"), F.sum(F.col("query").cast("long")).alias("n_asked")).where("n_own > 0")
-    cut = rows.join(counts.select(*names, F.ceil(F.col("n_own") / s.block).cast("int").alias("blocks"), F.ceil(F.col("n_asked") / s.queries).cast("int").alias("slices")), names)
+    counts = checkpointed(rows.groupBy(*names).agg(F.sum((~F.col("query")).cast("long")).alias("n_own"), F.sum(F.col("query").cast("long")).alias("n_asked")).where("n_own > 0"))
+    # One narrow row per list, so that the vectors are shuffled once only, to their groups.
+    cut = rows.join(sized(counts, FEW).select(*names, F.ceil(F.col("n_own") / s.block).cast("int").alias("blocks"), F.ceil(F.col("n_asked") / s.queries).cast("int").alias("slices")), names)
     own, asked = F.pmod(F.xxhash64("node", "vector"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("vector", "node"), F.col("slices")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     groups = F.when(F.col("query"), F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), asked.alias("slice")))).otherwise(F.transform(every("slices"), lambda q: F.struct(own.alias("block"), q.alias("slice"))))
