@@ -145,3 +145,12 @@ def test_decoding_does_not_depend_on_segments(spark, length):
         expected = hmm.viterbi(m, x[:, None], np.log(m.start + 1e-300))[0]
         assert [got[s, i] for i in range(len(x))] == expected.tolist()
     assert hmm.decode(df.limit(0), m, length).count() == 0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_buckets_do_not_change_asof_matches(spark, direction):
+    r = np.random.default_rng(12)
+    rows = lambda n, name: spark.createDataFrame([(f"s{i % 3}", int(t), i, float(i)) for i, t in enumerate(r.integers(0, 40_000, n))], f"symbol string, t long, seq long, {name} double").selectExpr("symbol", "timestamp_seconds(t) as ts", "seq", name)
+    left, right = rows(200, "x"), rows(30, "y")
+    found = [sorted(map(str, asof.asof_join(left, right, direction=direction, bucket=b).select("symbol", "seq", "x", "y").collect())) for b in (None, "hour", "minute")]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 200

@@ -17,30 +17,33 @@ from .keys import KEYS, Keys
 _SIDE, _LEFT, _RIGHT = "_side", "_left", "_right"
 
 
-def _united(left: DataFrame, right: DataFrame, keys: Keys, bucket: str | None) -> DataFrame:
+def _united(left: DataFrame, right: DataFrame, keys: Keys, bucket: str | None, direction: str) -> DataFrame:
     frame = lambda df: F.struct(*[F.col(c) for c in df.columns])
     cell = [F.date_trunc(bucket, F.col(keys.ts).cast("timestamp")).alias("_bucket")] if bucket else []
     one = lambda df, side: df.select(keys.symbol, keys.ts, keys.seq, F.lit(side).alias(_SIDE), *cell, frame(df).alias(_LEFT if side else _RIGHT))
     both = one(left, 1).unionByName(one(right, 0), allowMissingColumns=True)
     if not bucket:
         return both
-    # Each bucket's first row: the last right row of the buckets before it, found over one row per bucket.
-    ends = both.groupBy(keys.symbol, "_bucket").agg(F.max(F.when(F.col(_SIDE) == 0, F.struct(keys.ts, keys.seq, _RIGHT))).alias("_last"))
-    seeds = ends.withColumn("_last", F.last("_last", ignorenulls=True).over(Window.partitionBy(keys.symbol).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).where("_last is not null")
-    seeded = seeds.select(keys.symbol, f"_last.{keys.ts}", f"_last.{keys.seq}", F.lit(0).alias(_SIDE), "_bucket", f"_last.{_RIGHT}")
+    # Each bucket also gets the last right row of the buckets before it, and the first one of those after it, found over one row per bucket.
+    row, order = F.when(F.col(_SIDE) == 0, F.struct(keys.ts, keys.seq, _RIGHT)), Window.partitionBy(keys.symbol).orderBy("_bucket")
+    ends = both.groupBy(keys.symbol, "_bucket").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
+    before = F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    wanted = {"backward": [before], "forward": [after], "nearest": [before, after]}[direction]
+    near = ends.withColumns({f"_{k}": c for k, c in enumerate(wanted)})
+    seeds = near.select(keys.symbol, "_bucket", F.explode(F.array(*[f"_{k}" for k in range(len(wanted))])).alias("_seed"))
+    seeded = seeds.where("_seed is not null").select(keys.symbol, f"_seed.{keys.ts}", f"_seed.{keys.seq}", F.lit(0).alias(_SIDE), "_bucket", f"_seed.{_RIGHT}")
     return both.unionByName(seeded, allowMissingColumns=True)
 
 
 def asof_join(left: DataFrame, right: DataFrame, tolerance: float | None = None, direction: str = "backward", suffix: str = "_right", keys: Keys = KEYS, bucket: str | None = None) -> DataFrame:
     """left with the columns of the nearest right row (null without one), the symbol left out; names that left has get suffix.
 
-    tolerance: most seconds between the two, included. direction: backward, forward or nearest. bucket: a date_trunc unit, backward only.
+    tolerance: most seconds between the two, included. direction: backward, forward or nearest. bucket: a date_trunc unit by which a symbol is split, so that it is not one task.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction!r}")
-    if bucket and direction != "backward":
-        raise ValueError("bucket needs direction backward")
-    both = _united(left, right, keys, bucket)
+    both = _united(left, right, keys, bucket, direction)
     groups = [keys.symbol, "_bucket"] if bucket else [keys.symbol]
     through = Window.partitionBy(*groups)
     back = F.last(_RIGHT, ignorenulls=True).over(through.orderBy(keys.ts, _SIDE, keys.seq).rowsBetween(Window.unboundedPreceding, 0))
