@@ -161,9 +161,16 @@ def bar_dynamics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "ts", *rounded({c: F.col(c) for c in ("ret", "roll_spread", "variance_ratio", "rv_5", "ret_skew", "vol_kurt", "vol_acf_1")}, 4))
 
 
-@query()
+def _ewma_sql(name: str, span: int) -> str:
+    """Deviation of returns with weights by age: sums over all earlier rows of the symbol."""
+    k = f"pow(1 - 2.0::DOUBLE / {span + 1}, a.i - b.i)"
+    return f"""{name}_s AS (SELECT a.symbol, a.ts, count(*) AS n, sum({k}) AS w, sum({k} * b.x) AS wx, sum({k} * b.x * b.x) AS wxx, sum({k} * {k}) AS ww FROM r a JOIN r b ON a.symbol = b.symbol AND b.i <= a.i WHERE b.x IS NOT NULL GROUP BY ALL),
+{name} AS (SELECT symbol, ts, CASE WHEN n >= 2 THEN sqrt(greatest(wxx / w - (wx / w) ** 2, 0) * w * w / nullif(w * w - ww, 0)) END AS v FROM {name}_s)"""
+
+
+@query(f"WITH {T.bars_sql()}, r AS (SELECT symbol, ts, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS x FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), {_ewma_sql('f', 5)}, {_ewma_sql('s', 30)} SELECT r.symbol, r.ts, " + rounded_sql({"ewma_fast": "f.v", "ewma_slow": "s.v", "vol_regime": "coalesce(f.v / nullif(s.v, 0), 1)"}, 4) + " FROM r LEFT JOIN f ON f.symbol = r.symbol AND f.ts = r.ts LEFT JOIN s ON s.symbol = r.symbol AND s.ts = r.ts")
 def bar_ewma(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.with_bar_dynamics(T.ordered_bars(spark, sf)).select("symbol", "ts", "ewma_fast", "ewma_slow", "vol_regime")
+    return rolling.with_bar_dynamics(T.ordered_bars(spark, sf)).select("symbol", "ts", *rounded({c: F.col(c) for c in ("ewma_fast", "ewma_slow", "vol_regime")}, 4))
 
 
 @query(f"WITH {T.bars_sql()}, r AS (SELECT *, 0 AS seq, sqrt(ln(high / low) ** 2 / (4 * ln(2))) AS p FROM bars) SELECT symbol, ts, " + rounded_sql({"parkinson_5": f"avg(p) {last(5)}", "spread_std_5": f"stddev_samp(high - low) {last(5)}", "volume_relative": "volume / avg(volume) OVER (PARTITION BY symbol)", "volume_concentration": f"volume / avg(volume) {last(5)}"}) + " FROM r")
