@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, boosted_trees, bpe, license_scan, minhash, mixing, quality_rules, secrets, url_filter, vector_dedup
+from . import bloom_lm, boosted_trees, bpe, license_scan, line_dedup, minhash, mixing, quality_rules, secrets, url_filter, vector_dedup
 from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,6 +76,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dropped = line_dedup.drop_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_line_dedup": op12_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_vector_dedup": """
@@ -118,4 +124,14 @@ WITH RECURSIVE words AS (
 ), least_of AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, low IS NULL OR d.doc_id <= low AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_of ON least_of.a = d.doc_id""",
+    "op12_line_dedup": """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM texts
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), held AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (SELECT r, doc_id, i, line, coalesce(doc_id < top, false) AS falls FROM keyed LEFT JOIN held USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (falls) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT falls), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id""",
 }
