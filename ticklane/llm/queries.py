@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, boosted_trees, bpe, license_scan, line_dedup, minhash, mixing, quality_rules, secrets, url_filter, vector_dedup
+from . import bloom_lm, boosted_trees, bpe, license_scan, line_dedup, minhash, mixing, quality_rules, secrets, token_align, url_filter, vector_dedup
 from .common import bucket_of, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -81,6 +81,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_align.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_line_dedup": op12_line_dedup,
+    "op13_token_align": op13_token_align,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_vector_dedup": """
