@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
     got = queries.QUERIES[name](spark, SMALL).toPandas()
     expected = con.execute(queries.ORACLE_SQL[name]).df()[list(got.columns)]
-    assert list(map(tuple, got.sort_values(got.columns[0]).to_numpy())) == list(map(tuple, expected.sort_values(got.columns[0]).to_numpy()))
+    assert list(map(tuple, got.sort_values(list(got.columns)).to_numpy())) == list(map(tuple, expected.sort_values(list(got.columns)).to_numpy()))
 
 
 def test_links_of_stored_vectors_equal_sql(spark, tmp_path):
