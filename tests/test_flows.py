@@ -66,3 +66,25 @@ def test_standard_names_and_nested_books(spark, tmp_path):
     spark.createDataFrame([([[10.0, 1.0], [10.5, 2.0]], [[11.0, 1.0]])], "bids array<array<double>>, asks array<array<double>>").write.parquet(f"{tmp_path}/book")
     b = readers.book(spark, f"{tmp_path}/book", 2, nested=True).first()
     assert (b.bid_price_1, b.bid_price_2, b.bid_volume_2, b.ask_price_2) == (10.0, None, None, None)
+
+
+def test_a_sink_keeps_the_last_row_of_a_key_and_replays_change_nothing(spark, tmp_path):
+    path, schema = f"{tmp_path}/last", "symbol string, day string, ts long, seq long, price double"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    stored = lambda: sorted(tuple(r[c] for c in ("symbol", "day", "ts", "seq", "price")) for r in spark.read.schema(schema).parquet(path).collect())
+    first = batch(("a", "d1", 1, 1, 10.0), ("a", "d1", 1, 2, 11.0), ("a", "d2", 5, 1, 12.0), ("b", "d1", 1, 1, 13.0))
+    second = batch(("a", "d1", 1, 2, 20.0), ("a", "d1", 2, 1, None), ("b", "d1", 1, 0, 99.0))
+    flows.merge_last(first, path, f"{tmp_path}/staged")
+    assert stored() == [("a", "d1", 1, 2, 11.0), ("a", "d2", 5, 1, 12.0), ("b", "d1", 1, 1, 13.0)]
+    for _ in range(2):
+        flows.merge_last(second, path, f"{tmp_path}/staged")
+        assert stored() == [("a", "d1", 1, 2, 20.0), ("a", "d1", 2, 1, None), ("a", "d2", 5, 1, 12.0), ("b", "d1", 1, 1, 13.0)]
+
+
+def test_streamed_rows_are_merged(spark, tmp_path):
+    schema = "symbol string, day string, ts long, seq long, price double"
+    for seq in (1, 2, 3):
+        spark.createDataFrame([("a", "d", t, seq, float(seq)) for t in range(4 - seq)], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    flows.kept_last(rows, f"{tmp_path}/out", f"{tmp_path}/state", every=None).awaitTermination(200)
+    assert sorted((r.ts, r.seq) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()) == [(0, 3), (1, 2), (2, 1)]

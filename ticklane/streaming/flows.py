@@ -51,6 +51,36 @@ def appended(rows: DataFrame, path: str, checkpoint: str, every: str | None = "3
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def merge_last(batch: DataFrame, path: str, staging: str, key: tuple[str, ...] = ("symbol", "ts"), order: str = "seq", by: tuple[str, ...] = ("symbol", "day")) -> None:
+    """Merges a batch into the Parquet table at path: of each key the row of the greatest order stays, of equal ones the batch's.
+
+    Only the partitions that the batch touches are read and written: the merged rows are staged, then put in their place. A batch that is
+    merged again changes nothing. Keys lie within partitions.
+    """
+    spark = batch.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    rows = batch.withColumn("_new", F.lit(True))
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        stored = spark.read.schema(batch.schema).parquet(path).join(batch.select(*by).distinct(), list(by), "left_semi")
+        rows = rows.unionByName(stored.withColumn("_new", F.lit(False)))
+    names = [*dict.fromkeys((*by, *key))]
+    rest = [c for c in batch.columns if c not in names]
+    last = rows.groupBy(*names).agg(F.max_by(F.struct(*rest), F.struct(order, "_new")).alias("_r")).select(*names, "_r.*")
+    last.write.mode("overwrite").parquet(staging)
+    merged = spark.read.schema(last.schema).parquet(staging).select(*batch.columns)
+    merged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def kept_last(rows: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("symbol", "ts"), order: str = "seq", by: tuple[str, ...] = ("symbol", "day"), every: str | None = "30 seconds") -> StreamingQuery:
+    """A query that merges each batch into Parquet by merge_last; batches that are run again after a failure leave the table as it was. every None takes what is there and stops."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        merge_last(batch, path, f"{checkpoint.rstrip('/')}-staged", key, order, by)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def book_snapshots(updates: DataFrame, levels: int = 10) -> DataFrame:
     """(symbol, second, gap, bids, asks): the book after the last update of each second, best levels first, from depth_updates.
 
