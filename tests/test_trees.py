@@ -115,3 +115,31 @@ def test_bootstraps_do_not_depend_on_partitions(rows):
 def test_important_columns(spark, rows):
     table = spark.createDataFrame([("a", 0.5), ("b", 0.001)], "feature string, importance double")
     assert filters.important(rows, table, ["a", "b", "c"]).columns == ["id", "a", "label"]
+
+
+def grown(depth, r, features):
+    """A tree whose paths ask for the same features again, with branches of any weight."""
+    if depth == 0 or (depth < 4 and r.random() < 0.2):
+        return (float(r.normal()), float(r.integers(1, 50)))
+    return (int(r.integers(features)), float(r.normal()), grown(depth - 1, r, features), grown(depth - 1, r, features))
+
+
+@pytest.mark.parametrize("depth, features", [(1, 1), (3, 2), (6, 4), (9, 5)])
+def test_shapley_values_and_interactions_of_deep_trees_equal_all_subsets(depth, features):
+    r = np.random.default_rng(depth)
+    tree = trees.Tree.of([f"f{i}" for i in range(features)], grown(depth, r, features))
+    x = r.normal(size=(7, features))
+    sets = [frozenset(c) for k in range(features + 1) for c in itertools.combinations(range(features), k)]
+    value = {}
+    for known in sets:
+        parts = [v.value * math.prod(s.share for s in v.path if s.feature not in known) * np.prod([(x[:, s.feature] <= s.threshold) == s.left for s in v.path if s.feature in known] or [np.ones(len(x))], axis=0) for v in tree.leaves]
+        value[known] = np.sum(parts, axis=0)
+    f = math.factorial
+    weight = lambda n, taken: f(n) * f(features - n - taken) / f(features - taken + 1)
+    single = np.stack([sum(weight(len(s), 1) * (value[s | {i}] - value[s]) for s in sets if i not in s) for i in range(features)], 1)
+    assert np.allclose(trees.shap(tree, x), single)
+    pairs = trees.shap_interactions(tree, x)
+    for i, j in itertools.permutations(range(features), 2):
+        expected = sum(weight(len(s), 2) / 2 * (value[s | {i, j}] - value[s | {i}] - value[s | {j}] + value[s]) for s in sets if i not in s and j not in s)
+        assert np.allclose(pairs[:, i, j], expected)
+    assert np.allclose(pairs.sum(2), single)

@@ -141,67 +141,154 @@ def leaf_statistics(paths: DataFrame, label: str = "label") -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("leaf", "n", (F.col("n") / F.col("_total")).alias("share"), (F.col("value") >= 0.5).cast("int").alias("predicted"), "accuracy")
 
 
-def _by_feature(leaf: Leaf, x: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """The features of a leaf's path; per feature whether rows meet all its conditions, and its share of training weight."""
-    features = sorted({s.feature for s in leaf.path})
-    met, share = np.ones((len(features), len(x)), bool), np.ones(len(features))
-    for s in leaf.path:
-        k = features.index(s.feature)
-        met[k] &= (x[:, s.feature] <= s.threshold) == s.left
-        share[k] *= s.share
-    return features, met.astype(float), share
-
-
-def _by_size(met: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """(sizes, rows): sums over the subsets of each size of the product of met inside and share outside."""
-    out = np.ones((1, met.shape[1]))
-    for m, z in zip(met, share):
-        out = np.concatenate([out * z, np.zeros((1, met.shape[1]))]) + np.concatenate([np.zeros((1, met.shape[1])), out * m])
-    return out
-
-
-def shap(tree: Tree, x: np.ndarray) -> np.ndarray:
+@dataclass
+class _Level:
+    """The branches that leave one level of a tree, as arrays: two in a row per split.
+
+    parent: the branch above (-1 at the root); above: the nearest branch above that asks for the same feature, or -1; value: of the leaf
+    that the branch ends at, else 0; ends: whether it ends at one. ratios and gains are (branch, point, state) and (branch, state, point), changes
+    (branch, met, point).
+    """
+
+    first: int
+    parent: np.ndarray
+    above: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    ends: np.ndarray
+    ratios: np.ndarray
+    gains: np.ndarray
+    changes: np.ndarray
+
+
+class ShapleyPlan:
+    """Shapley values of one tree for blocks of rows, in one pass down and up its levels.
+
+    A leaf counts with the product over its path's features of met * t + share * (1 - t), and the weights of subset sizes are integrals
+    over t from 0 to 1 of such products without the features asked for. They are polynomials, so a few Gauss-Legendre points give them
+    exactly. The product is carried down, one factor changed per branch; leaf values times products are summed upwards, so all leaves
+    below a branch share its work, and a level is a few products of matrices.
+    """
+
+    def __init__(self, tree: Tree):
+        self.width, self.root = len(tree.names), tree.leaves[0].value if not tree.leaves[0].path else None
+        most = max(len({s.feature for s in v.path}) for v in tree.leaves)
+        points, weights = np.polynomial.legendre.leggauss(max(1, (most + 1) // 2))
+        self.t, w = (points + 1) / 2, weights / 2
+        self.levels: list[_Level] = []
+        open_: list[tuple[list[Leaf], int, dict[int, tuple[int, float]]]] = [] if self.root is not None else [(tree.leaves, -1, {})]
+        depth = count = 0
+        while open_:
+            rows, following = [], []
+            for leaves, parent, path in open_:
+                for side in (True, False):
+                    own = [v for v in leaves if v.path[depth].left == side]
+                    split = own[0].path[depth]
+                    above, before = path.get(split.feature, (-1, 1.0))
+                    share, number = before * split.share, count + len(rows)
+                    end = len(own[0].path) == depth + 1
+                    rows.append((parent, above, split.feature, split.threshold, side, own[0].value if end else 0.0, end, *self.tables(w, before, share, split.share, above >= 0)))
+                    if not end:
+                        following.append((own, number, path | {split.feature: (number, share)}))
+            columns = [np.array(x) for x in zip(*rows)]
+            self.levels.append(_Level(count, *columns))
+            open_, depth, count = following, depth + 1, count + len(rows)
+        self.count = count
+        self.features = np.concatenate([v.feature for v in self.levels]) if self.levels else np.zeros(0, int)
+        parents = np.concatenate([v.parent for v in self.levels]) if self.levels else np.zeros(0, int)
+        # Per level: pairs of a branch and the nearest branch above it of each other feature.
+        self.pairs = []
+        for v in self.levels:
+            found = []
+            for k in range(len(v.parent)):
+                seen, up = {v.feature[k]}, v.parent[k]
+                while up >= 0:
+                    if self.features[up] not in seen:
+                        seen.add(self.features[up])
+                        found.append((k, up))
+                    up = parents[up]
+            self.pairs.append(np.array(found, int).reshape(-1, 2))
+        self.all_changes = np.concatenate([v.changes for v in self.levels]) if self.levels else None
+
+    def tables(self, w: np.ndarray, before: float, share: float, own: float, again: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows that met the feature's conditions above and now fail (0) or still meet (1), and that had failed before (2): how the factor changes, and what the feature's part of the Shapley values gains."""
+        t = self.t
+        held = before + (1 - before) * t if again else np.ones_like(t)
+        ratios = np.stack([share * (1 - t) / held, (share + (1 - share) * t) / held, np.full_like(t, own)], 1)
+        failing, meeting = -1 / (1 - t), (1 - share) / (share + (1 - share) * t)
+        was = (1 - before) / held if again else np.zeros_like(t)
+        return ratios, w * np.stack([failing - was, meeting - was, np.zeros_like(t)]), np.stack([failing, meeting])
+
+    def values(self, x: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(features, rows) Shapley values, and (features, features, rows) interaction values without the diagonal."""
+        n = len(x)
+        single = np.zeros((self.width, n))
+        double = np.zeros((self.width * self.width, n)) if pairs else None
+        if not self.levels or not n:
+            return single, None if double is None else double.reshape(self.width, self.width, n)
+        met, states, ended = np.zeros((self.count, n), bool), [], []
+        product = np.ones((1, len(self.t), n))
+        for v in self.levels:
+            own = (x.T[v.feature] <= v.threshold[:, None]) == v.left[:, None]
+            before = np.where((v.above >= 0)[:, None], met[v.above], True)
+            met[v.first : v.first + len(own)] = own & before
+            state = np.stack([before & ~own, before & own, ~before], 1).astype(float)
+            product = np.repeat(product, 2, axis=0)
+            product *= v.ratios @ state
+            states.append(state)
+            ended.append(product[v.ends] * v.value[v.ends, None, None])
+            product = product[~v.ends]
+        sums = None
+        for v, state, leaves, near in zip(self.levels[::-1], states[::-1], ended[::-1], self.pairs[::-1]):
+            below = np.empty((len(v.ends), len(self.t), n))
+            below[v.ends] = leaves
+            if sums is not None:
+                below[~v.ends] = sums
+            single += (v.feature == np.arange(self.width)[:, None]).astype(float) @ ((v.gains @ below) * state).sum(1)
+            if pairs and len(near):
+                part = (v.gains.transpose(0, 2, 1) @ state) * below
+                low, up = near[:, 0], near[:, 1]
+                for at in range(0, len(near), 512):
+                    a, b = low[at : at + 512], up[at : at + 512]
+                    both = self.all_changes[b] @ part[a]
+                    np.add.at(double, v.feature[a] * self.width + self.features[b], np.where(met[b], both[:, 1], both[:, 0]) / 2)
+            sums = below[0::2] + below[1::2]
+        if double is not None:
+            double = double.reshape(self.width, self.width, n)
+            double = double + double.transpose(1, 0, 2)
+        return single, double
+
+
+def shap(tree: Tree | ShapleyPlan, x: np.ndarray) -> np.ndarray:
     """(rows, features): Shapley values of the tree's value where absent features follow the training weights of branches."""
-    out = np.zeros((len(x), len(tree.names)))
-    for leaf in tree.leaves:
-        features, met, share = _by_feature(leaf, x)
-        k = len(features)
-        weight = np.array([math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k) for s in range(k)])
-        for i, f in enumerate(features):
-            rest = [j for j in range(k) if j != i]
-            out[:, f] += leaf.value * (met[i] - share[i]) * (weight @ _by_size(met[rest], share[rest]))
-    return out
+    plan = tree if isinstance(tree, ShapleyPlan) else ShapleyPlan(tree)
+    return plan.values(x)[0].T
 
 
-def shap_interactions(tree: Tree, x: np.ndarray) -> np.ndarray:
+def shap_interactions(tree: Tree | ShapleyPlan, x: np.ndarray) -> np.ndarray:
     """(rows, features, features): Shapley interaction values; each row of a matrix sums to the feature's Shapley value."""
-    d = len(tree.names)
-    out = np.zeros((len(x), d, d))
-    for leaf in tree.leaves:
-        features, met, share = _by_feature(leaf, x)
-        k = len(features)
-        weight = np.array([math.factorial(s) * math.factorial(k - 2 - s) / (2 * math.factorial(k - 1)) for s in range(k - 1)])
-        for i in range(k):
-            for j in range(i):
-                rest = [r for r in range(k) if r not in (i, j)]
-                v = leaf.value * (met[i] - share[i]) * (met[j] - share[j]) * (weight @ _by_size(met[rest], share[rest]))
-                out[:, features[i], features[j]] += v
-                out[:, features[j], features[i]] += v
-    out[:, range(d), range(d)] = shap(tree, x) - out.sum(2)
+    plan = tree if isinstance(tree, ShapleyPlan) else ShapleyPlan(tree)
+    single, double = plan.values(x, True)
+    out = np.ascontiguousarray(double.transpose(2, 0, 1))
+    d = range(plan.width)
+    out[:, d, d] = single.T - out.sum(2)
     return out
 
 
-def _values(df: DataFrame, trees: list[Tree], weights: list[float], of: Callable[[Tree, np.ndarray], np.ndarray], name: str) -> DataFrame:
+def _values(df: DataFrame, trees: list[Tree], weights: list[float], of: Callable[[ShapleyPlan, np.ndarray], np.ndarray], name: str) -> DataFrame:
     names = trees[0].names
-    width = int(np.prod(of(trees[0], np.zeros((1, len(names)))).shape))
+    width = int(np.prod(of(ShapleyPlan(trees[0]), np.zeros((1, len(names)))).shape))
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        plans = [*map(ShapleyPlan, trees)]
         for b in batches:
             x = np.stack([b.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))], 1) if len(b) else np.zeros((0, len(names)))
             made = [np.zeros((0, width))]
-            for at in range(0, len(x), 1024):
-                part = x[at : at + 1024]
-                made.append(sum(w * of(t, part).reshape(len(part), width) for t, w in zip(trees, weights)))
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                made.append(sum(w * of(t, part).reshape(len(part), width) for t, w in zip(plans, weights)))
             flat = np.concatenate(made)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * width, pa.int32()), pa.array(flat.ravel()))
 
