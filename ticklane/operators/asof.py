@@ -62,10 +62,10 @@ def asof_join(left: DataFrame, right: DataFrame, tolerance: float | None = None,
     return matched.select(f"{_LEFT}.*", *added)
 
 
-def interpolated_join(left: DataFrame, right: DataFrame, values: list[str], keys: Keys = KEYS) -> DataFrame:
-    """left with the numeric right columns `values` interpolated in time between the right rows before and after; before the first and after the last the nearest value."""
+def interpolated_join(left: DataFrame, right: DataFrame, values: list[str], keys: Keys = KEYS, bucket: str | None = None) -> DataFrame:
+    """left with the numeric right columns `values` interpolated in time between the right rows before and after; before the first and after the last the nearest value. bucket: see asof_join."""
     narrow = right.select(keys.symbol, keys.ts, keys.seq, *values)
-    both = asof_join(asof_join(left, narrow, suffix="_before", keys=keys), narrow, direction="forward", suffix="_after", keys=keys)
+    both = asof_join(asof_join(left, narrow, suffix="_before", keys=keys, bucket=bucket), narrow, direction="forward", suffix="_after", keys=keys, bucket=bucket)
     before = {v: f"{v}_before" if v in left.columns else v for v in values}
     after = {v: f"{v}_after" for v in values}
     span = seconds_between(f"{keys.ts}_before", f"{keys.ts}_after")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import seconds
 from .keys import KEYS, Keys
+from .scan import Running, with_running, with_totals
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,8 @@ TOGETHER = 256
 
 def rolling_fit(events: DataFrame, size: int = 200, stride: int = 20, least: int = 50, rounds: int = 50, keys: Keys = KEYS) -> DataFrame:
     """(symbol, window, start, end, n_events, mu, alpha, beta, converged, branching_ratio) for every whole window of `size` events, `stride` apart; symbols with fewer than `size` events give one window if they have `least`."""
-    numbered = events.select(keys.symbol, keys.ts, seconds(keys.ts).alias("_t"), F.row_number().over(keys.ordered()).alias("_i"), F.count("*").over(keys.whole()).alias("_n")).where(F.col("_n") >= least)
+    counted = with_totals(events.select(keys.symbol, keys.ts, keys.seq, seconds(keys.ts).alias("_t")), {"_n": F.count("*")}, keys).where(F.col("_n") >= least)
+    numbered = with_running(counted, {"_i": Running("count")}, keys=keys).drop(keys.seq)
     last = F.greatest(F.lit(0), F.floor((F.col("_n") - size) / stride))
     first_in, last_in = F.greatest(F.lit(0), F.ceil((F.col("_i") - size) / stride)), F.least(F.floor((F.col("_i") - 1) / stride), last)
     dealt = numbered.where(first_in <= last_in).withColumn("_block", F.explode(F.sequence(F.floor(first_in / TOGETHER).cast("long"), F.floor(last_in / TOGETHER).cast("long"))))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import KEYS, Keys
+from .scan import Running, with_running
 
 
 @dataclass
@@ -46,7 +47,7 @@ class Model:
 
 def segmented(df: DataFrame, columns: list[str], length: int = 10_000, keys: Keys = KEYS) -> DataFrame:
     """Complete rows with the number of their segment within the symbol."""
-    return df.dropna(subset=columns).withColumn("_at", F.row_number().over(keys.ordered())).withColumn("_segment", F.floor((F.col("_at") - 1) / length).cast("long"))
+    return with_running(df.dropna(subset=columns), {"_at": Running("count")}, keys=keys).withColumn("_segment", F.floor((F.col("_at") - 1) / length).cast("long"))
 
 
 def forward_backward(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

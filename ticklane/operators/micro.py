@@ -14,9 +14,9 @@ def quote_side(price: Column, mid: Column) -> Column:
     return F.when(price > mid, 1).when(price < mid, -1).otherwise(0)
 
 
-def classify(trades: DataFrame, quotes: DataFrame, tolerance: float | None = None, keys: Keys = KEYS) -> DataFrame:
-    """Trades with bid_price, ask_price, mid_price of the last quote, side by the quote rule, and flags of aggressive buys and sells."""
-    joined = asof_join(trades, quotes.select(keys.symbol, keys.ts, keys.seq, "bid_price", "ask_price"), tolerance, keys=keys)
+def classify(trades: DataFrame, quotes: DataFrame, tolerance: float | None = None, keys: Keys = KEYS, bucket: str | None = None) -> DataFrame:
+    """Trades with bid_price, ask_price, mid_price of the last quote, side by the quote rule, and flags of aggressive buys and sells. bucket: see asof_join."""
+    joined = asof_join(trades, quotes.select(keys.symbol, keys.ts, keys.seq, "bid_price", "ask_price"), tolerance, keys=keys, bucket=bucket)
     mid = (F.col("bid_price") + F.col("ask_price")) / 2
     sided = joined.drop(f"{keys.ts}_right", f"{keys.seq}_right").withColumns({"mid_price": mid, "side": quote_side(F.col("price"), mid)})
     return sided.withColumns({"is_aggressive_buy": F.col("side") == 1, "is_aggressive_sell": F.col("side") == -1})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import book
 from ..functions.scalar import EPSILON, col, correlation, divide, log_ratio, seconds_between, unbiased_kurtosis, unbiased_skew
 from .keys import KEYS, Keys
+from .scan import DAY, Running, with_running, with_totals
 
 MINUTES_PER_YEAR = 252 * 390
 
@@ -68,6 +69,14 @@ def vwap(price: Column | str, volume: Column | str, k: int | None = None, daily:
     return F.when(both, F.sum(F.when(both, p * v)).over(frame) / (F.sum(F.when(both, v)).over(frame) + EPSILON))
 
 
+def with_vwap(df: DataFrame, price: str, volume: str, name: str = "vwap", width: float = DAY, keys: Keys = KEYS) -> DataFrame:
+    """df with the running volume-weighted price of the symbol so far, as vwap gives it, by a scan over time buckets of `width` seconds."""
+    p, v = F.col(price), F.col(volume)
+    both = p.isNotNull() & v.isNotNull()
+    sums = with_running(df, {"_pv": Running("sum", F.when(both, p * v)), "_v": Running("sum", F.when(both, v))}, width, keys)
+    return sums.withColumn(name, F.when(both, F.col("_pv") / (F.col("_v") + EPSILON))).drop("_pv", "_v")
+
+
 def inter_arrival(keys: Keys = KEYS, unit: float = 1.0) -> Column:
     """Seconds since the row before, times unit."""
     return seconds_between(F.lag(keys.ts).over(keys.ordered()), keys.ts) * unit
@@ -162,13 +171,15 @@ def with_bar_dynamics(bars: DataFrame, price: str = "close", volume: str = "volu
     return out.drop("_prev", "_sum5", "_vol", *[f"_{x}{n}" for x in "rv" for n in lags])
 
 
-def with_vpin(trades: DataFrame, side: str = "side", size: str = "size", buckets: int = 50, k: int = 10, keys: Keys = KEYS, bucket_volume: float | None = None) -> DataFrame:
+def with_vpin(trades: DataFrame, side: str = "side", size: str = "size", buckets: int = 50, k: int = 10, keys: Keys = KEYS, bucket_volume: float | None = None, width: float = DAY) -> DataFrame:
     """Trades with volume_bucket and vpin: the mean over k buckets of |buys - sells| by volume, each bucket a share of the volume.
 
-    Without bucket_volume a bucket is 1/buckets of all the symbol's volume, which looks ahead. The rolling mean runs over the table of buckets.
+    Without bucket_volume a bucket is 1/buckets of all the symbol's volume, which looks ahead. The rolling mean runs over the table of buckets, and the
+    volume so far is a scan over time buckets of `width` seconds.
     """
-    sized = F.lit(bucket_volume) if bucket_volume else F.sum(size).over(keys.whole()) / buckets
-    marked = trades.withColumn("volume_bucket", F.floor(divide(F.sum(size).over(keys.so_far()), sized)))
+    whole = trades if bucket_volume else with_totals(trades, {"_all": F.sum(size)}, keys)
+    sized = F.lit(bucket_volume) if bucket_volume else F.col("_all") / buckets
+    marked = with_running(whole, {"_so_far": Running("sum", size)}, width, keys).withColumn("volume_bucket", F.floor(divide(F.col("_so_far"), sized))).drop("_so_far", "_all")
     sums = marked.groupBy(keys.symbol, "volume_bucket").agg(F.sum(F.when(F.col(side) > 0, F.col(size)).otherwise(0)).alias("_b"), F.sum(F.when(F.col(side) < 0, F.col(size)).otherwise(0)).alias("_s"), F.sum(size).alias("_n"))
     frame = Window.partitionBy(keys.symbol).orderBy("volume_bucket").rowsBetween(-(k - 1), 0)
     each = sums.select(keys.symbol, "volume_bucket", F.avg(divide(F.abs(F.col("_b") - F.col("_s")), F.col("_n"))).over(frame).alias("vpin"))

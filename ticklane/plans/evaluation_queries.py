@@ -85,6 +85,23 @@ def drawdown_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("symbol", "start", "end", *rounded({"depth": F.col("depth")}), "rows")
 
 
+@query(f"""WITH {CURVE}, c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n, max(capital) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS top FROM k),
+i AS (SELECT *, (capital - top) / top * 100 <= -1 AS inside FROM c), o AS (SELECT *, max(CASE WHEN NOT inside THEN n END) OVER (PARTITION BY symbol ORDER BY n) AS outside FROM i),
+e AS (SELECT symbol, outside, min(ts) AS "start", min(n) AS first_n, max(n) AS last_n, max(top) AS peak FROM o WHERE inside GROUP BY symbol, outside)
+SELECT e.symbol, e."start", {near_sql("any_value(peak)", 3)} AS peak, min(c.ts) AS recovery, min(c.n) - any_value(first_n) AS recovery_rows FROM e LEFT JOIN c ON c.symbol = e.symbol AND c.n > e.last_n AND c.capital >= e.peak GROUP BY e.symbol, e."start", e.outside""")
+def drawdown_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    made = backtest.drawdown_episodes(backtest.trades_of(T.predictions(spark, sf), 0.3, "regime"))
+    return made.select("symbol", "start", *rounded({"peak": F.col("peak")}, 3), "recovery", "recovery_rows")
+
+
+@query(f"""WITH {CURVE}, p AS (SELECT symbol, capital - coalesce(lag(capital) OVER (PARTITION BY symbol ORDER BY ts, seq), 100000) AS pnl FROM k),
+g AS (SELECT symbol, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS won, abs(sum(pnl) FILTER (pnl < 0)) AS lost, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS average_win, coalesce(avg(pnl) FILTER (pnl < 0), 0) AS average_loss FROM p GROUP BY symbol)
+SELECT symbol, {rounded_sql({"profit_factor": "coalesce(won / nullif(lost, 0), 'inf'::DOUBLE)", "average_win": "average_win", "average_loss": "average_loss", "win_loss_ratio": "coalesce(abs(average_win / nullif(average_loss, 0)), 0)"}, 3)} FROM g""")
+def backtest_gains(spark: SparkSession, sf: str) -> DataFrame:
+    made = backtest.performance(backtest.trades_of(T.predictions(spark, sf), 0.3, "regime"))
+    return made.select("symbol", *rounded({c: F.col(c) for c in ("profit_factor", "average_win", "average_loss", "win_loss_ratio")}, 3))
+
+
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 STATS = {"mean": "avg(x)", "std": "stddev_samp(x)", "p5": "quantile_cont(x, 0.05)", "p25": "quantile_cont(x, 0.25)", "p50": "quantile_cont(x, 0.5)", "p99": "quantile_cont(x, 0.99)", "skew": "skewness(x)", "kurtosis": "kurtosis(x)"}
 

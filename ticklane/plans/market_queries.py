@@ -107,7 +107,8 @@ def rolling_volatility(spark: SparkSession, sf: str) -> DataFrame:
     "daily": "sum(price * size) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / sum(size) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)",
     "last_20": f"sum(price * size) {last(20)} / sum(size) {last(20)}"}, 4) + " FROM trades")
 def vwap(spark: SparkSession, sf: str) -> DataFrame:
-    return T.trades(spark, sf).select("symbol", "ts", "seq", *rounded({"running": rolling.vwap("price", "size"), "daily": rolling.vwap("price", "size", daily=True), "last_20": rolling.vwap("price", "size", 20)}, 4))
+    rows = rolling.with_vwap(T.trades(spark, sf), "price", "size", "_running")
+    return rows.select("symbol", "ts", "seq", *rounded({"running": F.col("_running"), "daily": rolling.vwap("price", "size", daily=True), "last_20": rolling.vwap("price", "size", 20)}, 4))
 
 
 GAPS = f"{T.TRADES}, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER ({W}))) / 1e6::DOUBLE AS gap FROM trades)"
