@@ -135,7 +135,8 @@ class Aligner:
         ids_a, ids_b = (np.concatenate([np.array(x, np.int64) for x in side]) for side in (a, b))
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
         text_ends = np.cumsum([len(texts[i]) + 1 for i in able])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs: one merge
+        ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])]
         at_a, at_b, doc = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.searchsorted(text_ends, ends)
         both = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
         counts["n_a"][able], counts["n_b"][able] = [*map(len, a)], [*map(len, b)]
