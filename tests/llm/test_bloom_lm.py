@@ -117,12 +117,30 @@ def test_pairs_of_rare_words_are_learned(spark, max_bits):
 
 def test_buckets_score_as_the_broadcast_filter(spark):
     texts = [*corpus(300), *rare_pairs(100), *HARD, *HARD]
-    one, other = ({r.doc_id: r for r in bloom_lm.score(documents(spark, texts), bloom_lm.Settings(max_bits=m, unit=40, bucket_tokens=500, probes=12, bits_per_key=30)).collect()} for m in (1 << 28, 1))
+    one, other = ({r.doc_id: r for r in bloom_lm.score(documents(spark, texts), bloom_lm.Settings(max_bits=m, unit=40, bucket_tokens=500)).collect()} for m in (1 << 28, 1))
     assert len(one) == len(other) == len(texts)
     for i in one:
         assert one[i][:5] == other[i][:5] and one[i].base_score == pytest.approx(other[i].base_score) and one[i].score == pytest.approx(other[i].score)
 
 
+def test_both_ways_score_alike_at_the_defaults(spark):
+    texts = [*corpus(300), *rare_pairs(400)]
+    one, other = (sorted(map(tuple, bloom_lm.score(documents(spark, texts), s).select("doc_id", "n_known", "score").collect())) for s in (bloom_lm.Settings(), bloom_lm.Settings(max_bits=1)))
+    assert [x[:2] for x in one] == [x[:2] for x in other] and [x[2] for x in one] == pytest.approx([x[2] for x in other], rel=1e-12)
+
+
+def test_the_filter_of_all_buckets_is_the_whole_filter(spark):
+    s = bloom_lm.Settings(segment_bits=10)
+    tokens = [(f"t{i}".encode(), 1 + i % 9) for i in range(3000)]
+    whole = bloom_lm.build_filter(spark.createDataFrame(tokens, "token binary, n long"), spark.createDataFrame([], "gram long, n long"), s, 6000)
+    grams = bloom_lm.placed(np.array([bloom_lm.xxhash.xxh3_64_intdigest(t) for t, _ in tokens], np.uint64))
+    level = np.frexp([n for _, n in tokens])[1].astype(np.int64)
+    for bucket in range(8):
+        own = grams & np.uint64(7) == bucket
+        part = bloom_lm.local_filter(grams[own], level[own], len(whole.bits), 8, s)
+        assert np.array_equal(part.bits, whole.bits[bucket::8])
+
+
 def test_filter_leaves_no_level_out(spark):
     s = bloom_lm.Settings(max_bits=1 << 18, segment_bits=16)
     singles = spark.createDataFrame([(f"t{i}".encode(), 1) for i in range(40_000)], "token binary, n long")

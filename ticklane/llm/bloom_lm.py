@@ -2,10 +2,11 @@
 
 Counts of all tokens and of all pairs of tokens that follow each other are quantised to powers of two; an n-gram of level
 q puts the keys (n-gram, 1) to (n-gram, q) into a Bloom filter. A scorer probes level after level until one is absent, so
-the filter alone yields smoothed probabilities. It is sized from the number of its keys, and no level or n-gram is left
-out. A filter of at most `max_bits` is built in segments by Spark and broadcast. A larger one stays in buckets of n-grams:
-each unit of texts sends its distinct n-grams to their buckets, where the bucket's part of the filter is built from their
-counts and probed, and gets their levels back. Base scores use exact counts: those of the `hot` most frequent tokens (a
+the filter alone yields smoothed probabilities. It has room for the most keys that its training tokens can make, and no
+level or n-gram is left out. All keys of an n-gram lie in one segment of the filter. A filter of at most `max_bits` is built
+in segments by Spark and broadcast. A larger one is the same filter, bit for bit, with its segments dealt to buckets: each
+unit of texts sends its distinct n-grams to the buckets of their segments, where these are built from the counts and probed,
+and gets the levels back. Scores don't depend on which of the two it is. Base scores use exact counts: those of the `hot` most frequent tokens (a
 bounded table) where the texts are read, all others by a join, whose common words Spark splits as skewed keys.
 
 Tokens are the lower-cased (A-Z) words of a text, then one end token, the empty string. Null text is empty text: the end
@@ -37,7 +38,7 @@ ADD = 0.1  # to every count of the base score
 
 @dataclass(frozen=True)
 class Settings:
-    """hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter; segment_bits: of the parts it is built in; max_bits: of a filter that is broadcast; unit, unit_bytes: texts taken together and about how many bytes they have; units_at_once: sent to Python in a batch; bucket_tokens: training tokens to a bucket of n-grams."""
+    """hot: most tokens whose exact counts go to the workers, each of at most hot_bytes; weight: of the pair estimate against the single word's; bits_per_key and probes of the filter (keys: two to a training token); segment_bits: of the parts it is built in; max_bits: of a filter that is broadcast; unit, unit_bytes: texts taken together and about how many bytes they have; units_at_once: sent to Python in a batch; bucket_tokens: training tokens to a bucket of segments."""
 
     folds: int = 10
     held_out: int = 0
@@ -51,7 +52,7 @@ class Settings:
     unit: int = 1024
     unit_bytes: int = 2_000_000
     units_at_once: int = 4
-    bucket_tokens: int = 300_000
+    bucket_tokens: int = 1_000_000
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -76,34 +77,45 @@ def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def positions(keys: np.ndarray, s: Settings) -> np.ndarray:
-    """Bits of each key within its segment: (keys, probes). The segment is taken from the low bits, the places from the high ones."""
+    """Bits of each key within its segment: (keys, probes)."""
     step = mixed(keys) | np.uint64(1)
     at = (keys >> np.uint64(40))[:, None] + np.arange(s.probes, dtype=np.uint64) * step[:, None]
     return (at & np.uint64((1 << s.segment_bits) - 1)).astype(np.int64)
 
 
+def placed(grams: np.ndarray) -> np.ndarray:
+    """N-gram hashes as the filter takes them: a permutation, whose low bits name the segment."""
+    return mixed(grams * np.uint64(0x9E3779B97F4A7C15))
+
+
 @dataclass
 class LogFrequencyFilter:
-    """bits: bytes of all segments, one row each."""
+    """bits: bytes of the segments, one row each: of all, or of those whose number is a bucket's in its `shift` low bits."""
 
     settings: Settings
     bits: np.ndarray
+    shift: int = 0
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        segment = (keys & np.uint64(len(self.bits) - 1)).astype(np.int64)[:, None]
-        at = positions(keys, self.settings)
-        return ((self.bits[segment, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+    def segments(self, at: np.ndarray) -> np.ndarray:
+        return ((at >> np.uint64(self.shift)) & np.uint64(len(self.bits) - 1)).astype(np.int64)
 
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        """The level of each n-gram by repeated probes, 0 if it is absent."""
-        out = np.zeros(len(grams), np.int64)
-        left, level = np.arange(len(grams)), 1
+    def holds(self, at: np.ndarray, level: int) -> np.ndarray:
+        bit = positions(keyed(at, level), self.settings)
+        return ((self.bits[self.segments(at)[:, None], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(1)
+
+    def found(self, at: np.ndarray) -> np.ndarray:
+        """The level of each placed n-gram by repeated probes, 0 if it is absent."""
+        out = np.zeros(len(at), np.int64)
+        left, level = np.arange(len(at)), 1
         while len(left) and level < 64:
-            left = left[self.holds(keyed(grams[left], level))]
+            left = left[self.holds(at[left], level)]
             out[left] = level
             level += 1
         return out
 
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self.found(placed(grams))
+
     def counts(self, grams: np.ndarray) -> np.ndarray:
         return estimated(self.levels(grams))
 
@@ -133,8 +145,8 @@ class Unit:
         return np.add.reduceat(values, self.starts)
 
     def in_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all n-grams, their buckets by the low bits, and their order by bucket."""
-        grams = mixed(np.concatenate([self.words, self.pairs]) * np.uint64(0x9E3779B97F4A7C15))
+        """All n-grams placed, their buckets by the low bits, and their order by bucket."""
+        grams = placed(np.concatenate([self.words, self.pairs]))
         of = (grams & np.uint64(buckets - 1)).astype(np.int64)
         return grams, of, np.argsort(of, kind="stable")
 
@@ -199,22 +211,25 @@ def bits_for(keys: int, s: Settings) -> int:
     return 1 << max(s.segment_bits, (max(1, keys) * s.bits_per_key - 1).bit_length())
 
 
-def all_keys(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The keys of n-grams at all levels up to their own."""
+def all_keys(at: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Placed n-grams, each as often as it has levels, and their keys at all levels up to their own."""
     rank = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
-    return keyed(np.repeat(grams, level), rank)
+    at = np.repeat(at, level)
+    return at, keyed(at, rank)
 
 
-def local_filter(grams: np.ndarray, level: np.ndarray, s: Settings) -> LogFrequencyFilter:
-    """The filter of a bucket's n-grams."""
-    keys = all_keys(grams, level)
-    flat = np.zeros((bits_for(len(keys), s) >> s.segment_bits, 1 << s.segment_bits), bool)
-    flat[(keys & np.uint64(len(flat) - 1)).astype(np.int64)[:, None], positions(keys, s)] = True
-    return LogFrequencyFilter(s, np.packbits(flat, axis=1, bitorder="little"))
+def local_filter(at: np.ndarray, level: np.ndarray, segments: int, buckets: int, s: Settings) -> LogFrequencyFilter:
+    """The segments of one bucket, from its placed n-grams."""
+    part = LogFrequencyFilter(s, np.zeros((segments // buckets, 1 << (s.segment_bits - 3)), np.uint8), buckets.bit_length() - 1)
+    flat = np.zeros((len(part.bits), 1 << s.segment_bits), bool)
+    at, keys = all_keys(at, level)
+    flat[part.segments(at)[:, None], positions(keys, s)] = True
+    part.bits = np.packbits(flat, axis=1, bitorder="little")
+    return part
 
 
-def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings) -> LogFrequencyFilter:
-    """singles (token, n), pairs (gram, n). The driver gets the number of keys, then the segments, max_bits in all; a filter that would need more has all keys too, but answers wrongly more often."""
+def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings, most: int | None = None) -> LogFrequencyFilter:
+    """singles (token, n), pairs (gram, n), and the most keys there can be (default: they are counted). The driver gets the segments, max_bits in all; a filter that would need more has all keys too, but answers wrongly more often."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,9 +237,10 @@ def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings) -> LogFreque
             yield pa.record_batch([pa.array(grams.view(np.int64)), b.column(1)], ["gram", "level"])
 
     graded = singles.select("token", level_of("n").alias("level")).mapInArrow(hashed, "gram long, level int").union(pairs.select("gram", level_of("n")))
-    levels = singles.select(level_of("n").alias("level")).union(pairs.select(level_of("n")))
-    wanted = levels.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    segments = min(bits_for(wanted, s), s.max_bits) >> s.segment_bits
+    if most is None:
+        levels = singles.select(level_of("n").alias("level")).union(pairs.select(level_of("n")))
+        most = levels.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+    segments = min(bits_for(most, s), s.max_bits) >> s.segment_bits
 
     def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         flat = np.zeros(1 << s.segment_bits, bool)
@@ -236,8 +252,8 @@ def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings) -> LogFreque
             grams, level = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64)
             if not len(grams):
                 continue
-            out = all_keys(grams, level)
-            yield pa.record_batch([pa.array(out.view(np.int64)), pa.array((out & np.uint64(segments - 1)).astype(np.int32))], ["key", "segment"])
+            at, out = all_keys(placed(grams), level)
+            yield pa.record_batch([pa.array(out.view(np.int64)), pa.array((at & np.uint64(segments - 1)).astype(np.int32))], ["key", "segment"])
 
     table = np.zeros((segments, 1 << (s.segment_bits - 3)), np.uint8)
     for r in graded.mapInArrow(keys, "key long, segment int").groupBy("segment").applyInPandas(part, "segment int, bits binary").toLocalIterator():
@@ -258,8 +274,10 @@ def packed(docs: DataFrame, s: Settings) -> DataFrame:
         return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"))
 
 
-def bucket_levels(packs: DataFrame, buckets: int, s: Settings) -> DataFrame:
-    """(unit, found): the levels of a unit's n-grams, an array of (bucket, levels) by bucket. One row of n-grams (the high 48 bits of their hashes; a bucket has too few to confuse) and their training counts goes from each unit to each bucket, and one of levels back."""
+def bucket_levels(packs: DataFrame, segments: int, buckets: int, s: Settings) -> DataFrame:
+    """(unit, found): the levels of a unit's n-grams, an array of (bucket, levels) by bucket. One row of n-grams (without the bits that the bucket's number tells) and their training counts goes from each unit to each bucket of them, and one of levels back; there are no more rows than n-grams."""
+    shift = buckets.bit_length() - 1
+    width = (64 - shift + 7) // 8
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,20 +287,20 @@ def bucket_levels(packs: DataFrame, buckets: int, s: Settings) -> DataFrame:
                 n = np.concatenate([np.bincount(of[learned], minlength=k) for of, k in ((u.ids, len(u.words)), (u.pair, len(u.pairs)))])
                 grams, of, order = u.in_buckets(buckets)
                 found, cuts = np.unique(of[order], return_index=True)
-                high = np.split(grams[order].view(np.uint8).reshape(-1, 8)[:, 2:], cuts[1:])
+                high = np.split((grams[order] >> np.uint64(shift)).view(np.uint8).reshape(-1, 8)[:, :width], cuts[1:])
                 counts = [x.astype(np.min_scalar_type(x.max())) for x in np.split(n[order], cuts[1:])]
                 parts = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (high, counts)]
                 yield pa.record_batch([pa.array(np.full(len(found), unit)), pa.array(found), *parts], ["unit", "bucket", "grams", "n"])
 
     def probed(g: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 6 for x in g["grams"]]
+        sizes = [len(x) // width for x in g["grams"]]
         hashes = np.zeros((sum(sizes), 8), np.uint8)
-        hashes[:, 2:] = np.frombuffer(b"".join(g["grams"]), np.uint8).reshape(-1, 6)
-        grams, at = np.unique(hashes.view(np.uint64).ravel(), return_inverse=True)
+        hashes[:, :width] = np.frombuffer(b"".join(g["grams"]), np.uint8).reshape(-1, width)
+        grams, at = np.unique(hashes.view(np.uint64).ravel() << np.uint64(shift) | np.uint64(g["bucket"].iloc[0]), return_inverse=True)
         n = np.bincount(at, np.concatenate([np.frombuffer(x, f"u{len(x) // k}") for x, k in zip(g["n"], sizes)]))
         learned = n > 0
-        model = local_filter(grams[learned], np.frexp(n[learned])[1].astype(np.int64), s)
-        level = np.split(model.levels(grams).astype(np.uint8)[at], np.cumsum(sizes)[:-1])
+        model = local_filter(grams[learned], np.frexp(n[learned])[1].astype(np.int64), segments, buckets, s)
+        level = np.split(model.found(grams).astype(np.uint8)[at], np.cumsum(sizes)[:-1])
         return pd.DataFrame({"unit": g["unit"], "bucket": g["bucket"], "levels": [x.tobytes() for x in level]})
 
     probes = packs.mapInArrow(asked, "unit long, bucket long, grams binary, n binary")
@@ -329,15 +347,15 @@ def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Data
                 yield rows(part.values, u, counts[: len(u.words)], counts[len(u.words) :])
 
     kinds = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, score double, hot_score double, hot_known long, cold array<binary>, cold_n array<long>"
-    # A token has at most one key for itself and one for its pair.
-    if 2 * total * s.bits_per_key <= s.max_bits:
-        model = spark.sparkContext.broadcast(build_filter(singles, written(pair_counts(training, s)), s))
+    most = 2 * total  # a token makes at most one key of its own and one of its pair
+    segments = bits_for(most, s) >> s.segment_bits
+    if segments << s.segment_bits <= s.max_bits:
+        model = spark.sparkContext.broadcast(build_filter(singles, written(pair_counts(training, s)), s, most))
         scored = written(numbered_docs.mapInArrow(scan, kinds))
     else:
-        buckets = 1 << (total // s.bucket_tokens).bit_length()
+        buckets = min(segments, 1 << (total // s.bucket_tokens).bit_length())
         packs = packed(numbered_docs, s)
-        found = bucket_levels(packs, buckets, s)
-        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what is done
+        found = bucket_levels(packs, segments, buckets, s)
         with arrow_batches(spark, s.units_at_once):
             scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
     cold = scored.select("row", F.explode(F.arrays_zip(F.col("cold").alias("token"), F.col("cold_n").alias("often"))).alias("c")).select("row", "c.token", "c.often")
