@@ -6,18 +6,19 @@ import itertools
 import random
 import time
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import metrics
-from .trees import trees_of
+from .lineage import materialised
+from .trees import dependence, trees_of
 
 KINDS = {
     "tree": lambda **p: DecisionTreeClassifier(**{"impurity": "entropy", "maxDepth": 7, "minInstancesPerNode": 10, "seed": 42} | p),
@@ -138,41 +139,65 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], repeats: int = 3, score: str = "f1", seed: int = 42) -> list[tuple[str, float, float]]:
-    """(feature, mean, deviation) of the score lost when a column is shuffled. Rows are first dealt by hash, so that a column shuffled within each Arrow batch is shuffled among rows from everywhere."""
+def with_donors(df: DataFrame, seed: int = 42, shift: int | None = None) -> DataFrame:
+    """(own, donor): each row as a struct with another one, every row donor exactly once, over the whole table.
+
+    Rows are dealt to ranges of a random key and numbered: within ranges, after the rows of the ranges before. The donor stands `shift` (default: random) places
+    further on, so the rows of one range find theirs in one or two others, by a join on the place.
+    """
+    keyed = df.select(F.struct(*df.columns).alias("own"), F.xxhash64(F.lit(seed), F.xxhash64(*df.columns), F.rand(seed)).alias("_key"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Keys are uniform, so ranges of equal width hold about as many rows.
+    placed = materialised(keyed.withColumn("_range", F.least(F.floor((F.col("_key") / 2.0**64 + 0.5) * ranges), F.lit(ranges - 1)).cast("long")))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    first = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row per range
+    n = placed.count()
+    shift = shift if shift is not None else random.Random(seed).randrange(1, max(n, 2))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
+    numbered = materialised(placed.withColumn("_within", within).join(F.broadcast(first), "_range").select("own", (F.col("_first") + F.col("_within")).alias("_place")))
+    donors = numbered.select(F.col("own").alias("donor"), F.pmod(F.col("_place") - shift, F.lit(max(n, 1))).alias("_place"))
+    return numbered.join(donors, "_place").select("own", "donor")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], repeats: int = 10, score: str = "f1", seed: int = 42) -> list[tuple[str, float, float]]:
+    """(feature, mean, deviation) of the score lost when a column is permuted over the whole table. A repeat is one permutation of rows, whose values stand in for each column in turn, all in one job."""
     base = metrics(predict(model, df)).first()[score]
-    df = df.repartition(F.xxhash64(F.lit(seed), *df.columns))
-    out = []
-    for k, f in enumerate(features):
-        lost = []
-        for r in range(repeats):
-            def shuffled(batches: Iterator[pd.DataFrame], f=f, key=(seed, k, r)) -> Iterator[pd.DataFrame]:
-                for i, b in enumerate(batches):
-                    b[f] = np.random.default_rng([*key, i]).permutation(b[f].to_numpy())
-                    yield b
-
-            lost.append(base - metrics(predict(model, df.mapInPandas(shuffled, df.schema))).first()[score])
-        out.append((f, float(np.mean(lost)), float(np.std(lost))))
-    return sorted(out, key=lambda x: -x[1])
+    lost: dict[str, list[float]] = {f: [] for f in features}
+    for r in range(repeats):
+        pairs = materialised(with_donors(df, seed + r))
+        parts = [pairs.select("own.*", F.col(f"donor.{f}").alias("_value")).withColumn(f, F.col("_value")).drop("_value").withColumn("_feature", F.lit(f)) for f in features]
+        for row in metrics(predict(model, reduce(DataFrame.unionByName, parts)), "_feature").collect():
+            lost[row["_feature"]].append(base - row[score])
+    return sorted(((f, float(np.mean(v)), float(np.std(v))) for f, v in lost.items()), key=lambda x: -x[1])
+
+
+def _grid(df: DataFrame, features: list[str], points: int, low: float, high: float) -> dict[str, list[float]]:
+    return {f: np.linspace(*ends, points).tolist() for f, ends in zip(features, df.approxQuantile(features, [low, high], 0.001))}
+
+
+def _dependence(model: PipelineModel, df: DataFrame, grids: dict[str, list[float]]) -> DataFrame:
+    """Trees are counted leaf by leaf (trees.dependence); other models score every row at every point."""
+    last = model.stages[-1]
+    if hasattr(last, "trees") or hasattr(last, "toDebugString"):
+        flat, weights = trees_of(model)
+        return dependence(df, flat, grids, weights, logistic="GBT" in type(last).__name__)
+    every = df.drop(*grids)
+    for f, g in grids.items():
+        every = every.withColumn(f, F.explode(F.array(*map(F.lit, g))))
+    return predict(model, every).groupBy(*grids).agg(F.avg("probability").alias("mean"), F.var_pop("probability").alias("spread"))
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, points: int = 20, low: float = 0.05, high: float = 0.95) -> DataFrame:
+def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, points: int = 100, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(value, mean, spread): mean and population variance of the probability with the column set to each of a few values between two percentiles."""
-    a, b = df.approxQuantile(feature, [low, high], 0.001)
-    grid = F.array(*[F.lit(float(v)) for v in np.linspace(a, b, points)])
-    every = df.drop(feature).withColumn(feature, F.explode(grid))
-    return predict(model, every).groupBy(F.col(feature).alias("value")).agg(F.avg("probability").alias("mean"), F.var_pop("probability").alias("spread"))
+    return _dependence(model, df, _grid(df, [feature], points, low, high)).select(F.col(feature).alias("value"), "mean", "spread")
 
 
-def partial_dependence_2d(model: PipelineModel, df: DataFrame, a: str, b: str, points: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
+def partial_dependence_2d(model: PipelineModel, df: DataFrame, a: str, b: str, points: int = 50, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(a, b, mean): mean probability with two columns set to each pair of a grid between two percentiles."""
-    ends = df.approxQuantile([a, b], [low, high], 0.001)
-    grid = lambda e: F.array(*[F.lit(float(v)) for v in np.linspace(*e, points)])
-    every = df.drop(a, b).withColumn(a, F.explode(grid(ends[0]))).withColumn(b, F.explode(grid(ends[1])))
-    return predict(model, every).groupBy(a, b).agg(F.avg("probability").alias("mean"))
+    return _dependence(model, df, _grid(df, [a, b], points, low, high)).select(a, b, "mean")
 
 
-def heterogeneity(model: PipelineModel, df: DataFrame, features: list[str], points: int = 20) -> list[tuple[str, float, float]]:
+def heterogeneity(model: PipelineModel, df: DataFrame, features: list[str], points: int = 100) -> list[tuple[str, float, float]]:
     """(feature, mean spread of the rows' curves over the grid, range of the mean curve), largest spread first."""
     out = []
     for f in features:

@@ -319,3 +319,106 @@ def interaction_strength(valued: DataFrame, names: list[str]) -> DataFrame:
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     one = valued.agg(*[F.avg(F.abs(F.get("shap_interactions", F.lit(i * len(names) + j)))).alias(f"_{i}_{j}") for i, j in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"_{i}_{j}").alias("strength")) for i, j in pairs])).alias("r")).select("r.*")
+
+
+class _Boxes:
+    """A tree's leaves as boxes over grids of a few features: where on the grids a leaf holds, given that a row meets its conditions on the others."""
+
+    def __init__(self, tree: Tree, features: list[int], grids: list[np.ndarray]):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        low, high = np.zeros((1, len(grids)), int), np.array([[len(g) for g in grids]])
+        nodes, depth, values, lows, highs = [tree.leaves], 0, [], [], []
+        while nodes:
+            rows, following, spans = [], [], []
+            for at, leaves in enumerate(nodes):
+                if len(leaves[0].path) == depth:
+                    rows.append((0, 0.0, True, True, True))
+                    values.append(leaves[0].value)
+                    spans.append((low[at], high[at], None))
+                    continue
+                for side in (True, False):
+                    own = [v for v in leaves if v.path[depth].left == side]
+                    split, a, b = own[0].path[depth], low[at].copy(), high[at].copy()
+                    free = split.feature in features
+                    if free:
+                        k = features.index(split.feature)
+                        cut = int(np.searchsorted(grids[k], split.threshold, "right"))
+                        a[k], b[k] = (a[k], min(b[k], cut)) if side else (max(a[k], cut), b[k])
+                    rows.append((split.feature, split.threshold, side, free, False))
+                    spans.append((a, b, own))
+            following = [s for s in spans if s[2] is not None]
+            self.levels.append((np.array([len(n[0].path) > depth for n in nodes]), *map(np.array, zip(*rows))))
+            lows += [s[0] for s in spans if s[2] is None]
+            highs += [s[1] for s in spans if s[2] is None]
+            nodes, depth = [s[2] for s in following], depth + 1
+            low, high = (np.array([s[i] for s in following]).reshape(-1, len(grids)) for i in (0, 1))
+        self.values, self.low, self.high, self.sizes = np.array(values), np.array(lows), np.array(highs), [len(g) for g in grids]
+
+    def met(self, columns: np.ndarray) -> np.ndarray:
+        """(leaves, rows): whether a row meets the conditions on the features that have no grid."""
+        mask, ended = np.ones((1, columns.shape[1]), bool), []
+        for splits, feature, threshold, left, free, ends in self.levels:
+            mask = np.repeat(mask, np.where(splits, 2, 1), axis=0)
+            mask &= free[:, None] | ends[:, None] | ((columns[feature] <= threshold[:, None]) == left[:, None])
+            ended.append(mask[ends])
+            mask = mask[~ends]
+        return np.concatenate(ended)
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """(grid..., rows): weights (leaves, rows) summed over the leaves whose box holds each grid point, by adding at the corners and summing up."""
+        out = np.zeros((*[n + 1 for n in self.sizes], weights.shape[1]))
+        held = (self.low < self.high).all(1)
+        low, high, weights = self.low[held], self.high[held], weights[held]
+        for corner in range(2 ** len(self.sizes)):
+            ends = [corner >> k & 1 for k in range(len(self.sizes))]
+            at = np.ravel_multi_index([(high if e else low)[:, k] for k, e in enumerate(ends)], out.shape[:-1])
+            order = np.argsort(at, kind="stable")
+            places, starts = np.unique(at[order], return_index=True)
+            if len(places):
+                out.reshape(-1, weights.shape[1])[places] += (-1) ** sum(ends) * np.add.reduceat(weights[order], starts, axis=0)
+        for k in range(len(self.sizes)):
+            out = np.cumsum(out, axis=k)
+        return out[tuple(slice(0, n) for n in self.sizes)]
+
+
+def dependence(df: DataFrame, trees: list[Tree], grids: dict[str, list[float]], weights: list[float] | None = None, logistic: bool = False) -> DataFrame:
+    """(a column per grid, mean, spread): mean and population variance over the complete rows of the ensemble's value with the grid's features set to each point.
+
+    One pass, without a row per grid point: a leaf's value holds on a box of the grid for all rows that meet its conditions on the other features. With one
+    grid, or with logistic (probabilities of boosted margins), a task keeps a value per grid point for a block of rows; with more grids only the
+    leaves' rows are counted, and spread is null. A task gives one row of sums.
+    """
+    names, weights = trees[0].names, weights or [1 / len(trees)] * len(trees)
+    axes = [np.sort(np.asarray(g, float)) for g in grids.values()]
+    size, per_row = int(np.prod([len(g) for g in axes])), logistic or len(axes) == 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = [_Boxes(t, [names.index(n) for n in grids], axes) for t in trees]
+        n, sums, squares = 0, np.zeros(size), np.zeros(size)
+        counts = [np.zeros((len(b.values), 1)) for b in boxes]
+        for batch in batches:
+            whole = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) if batch.num_rows else np.zeros((len(names), 0))
+            n += whole.shape[1]
+            for at in range(0, whole.shape[1], 256):
+                part = whole[:, at : at + 256]
+                if not per_row:
+                    for b, c in zip(boxes, counts):
+                        c += b.met(part).sum(1, keepdims=True)
+                    continue
+                value = sum(w * b.spread(b.met(part) * b.values[:, None]) for w, b in zip(weights, boxes)).reshape(size, -1)
+                value = 1 / (1 + np.exp(-2 * value)) if logistic else value
+                sums += value.sum(1)
+                squares += (value**2).sum(1)
+        if not per_row:
+            sums = sum(w * b.spread(c * b.values[:, None]) for w, b, c in zip(weights, boxes, counts)).ravel()
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [sums.tolist()], "squares": [squares.tolist()]})
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    sums = rows.mapInArrow(scan, "n long, sums array<double>, squares array<double>")
+    each = sums.select("n", F.posexplode(F.arrays_zip("sums", "squares")).alias("k", "x")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("x.sums").alias("s"), F.sum("x.squares").alias("ss"))
+    mean, place, columns = F.try_divide(F.col("s"), F.col("n")), F.col("k"), []
+    for name, axis in zip(reversed(grids), reversed(axes)):
+        columns.insert(0, F.get(F.array(*map(F.lit, axis.tolist())), (place % len(axis)).cast("int")).alias(name))
+        place = F.floor(place / len(axis))
+    spread = F.greatest(F.try_divide(F.col("ss"), F.col("n")) - mean * mean, F.lit(0.0)) if per_row else F.lit(None).cast("double")
+    return each.select(*columns, mean.alias("mean"), spread.alias("spread"))
