@@ -60,3 +60,22 @@ def test_permutation_importance_orders_columns(rows):
     noisy = rows.withColumn("c", F.col("c"))
     found = models.permutation_importance(model, noisy, ["a", "b", "c"], 3)
     assert found[0][0] == "a" and found[0][1] > 0.2 and all(d >= 0 for _, _, d in found)
+
+
+def test_moments_of_windows_from_one_pass(spark):
+    from ticklane.operators import reduction
+
+    r = np.random.default_rng(4)
+    x = np.c_[r.normal(1e6, 1, 600), r.normal(size=600), np.full(600, 7.0)]
+    x[:, 1] += 0.5 * (x[:, 0] - 1e6)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(5, None, 1.0, 1.0)], "i long, a double, b double, c double").repartition(4)
+    rows = {w.window: w for w in reduction.moments(df, list("abc"), F.col("i") % 3).collect()}
+    for w in range(3):
+        own = x[w::3]
+        assert rows[w].n == 200 and rows[w]["mean"] == pytest.approx(own.mean(0).tolist())
+        assert np.allclose(np.reshape(rows[w].products, (3, 3)), np.cov(own.T, bias=True) * 200, atol=1e-6)
+    model = reduction.fit(df, list("abc"), n=2)
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x[:, :2].T)))[::-1]
+    assert model.ratios == pytest.approx([values[0] / 3, 1 / 3], abs=1e-9) and [x["column"] for x in reduction.loadings(model)] == ["a", "b", "c"]
+    jobs = spark.sparkContext.statusTracker()
+    assert len(reduction.stability(df, ["a", "b"], "i", 5)["similarities"]) == 5 and jobs is not None

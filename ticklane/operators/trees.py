@@ -113,6 +113,13 @@ def trees_of(model) -> tuple[list[Tree], list[float]]:
     return trees, list(last.treeWeights) if boosted else [1 / len(trees)] * len(trees)
 
 
+def value_of(trees: list[Tree], weights: list[float] | None = None) -> Column:
+    """The ensemble's value of a row as an expression, null where a feature that is asked for is null."""
+    weights = weights or [1 / len(trees)] * len(trees)
+    leaf = lambda t: F.get(F.array(*[F.lit(v.value) for v in t.leaves]), t.leaf())
+    return sum((leaf(t) * w for t, w in zip(trees, weights)), F.lit(0.0))
+
+
 def decision_paths(df: DataFrame, tree: Tree) -> DataFrame:
     """df with leaf, value, path (its rules in order) and depth. A row of missing features gets nulls."""
     table = F.array(*[F.struct(F.lit(v.value).alias("value"), F.array(*map(F.lit, tree.rules(v))).cast("array<string>").alias("path")) for v in tree.leaves])

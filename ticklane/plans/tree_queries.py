@@ -77,3 +77,33 @@ _PAIRS = [(i, j) for i in range(3) for j in range(i + 1, 3)]
 def forest_interactions(spark: SparkSession, sf: str) -> DataFrame:
     valued = trees.with_interactions(T.read(spark, sf, "lineitem").select(*NAMES), FOREST)
     return trees.interaction_strength(valued, NAMES).select("a", "b", near("strength").alias("strength"))
+
+
+#: Points of the dependence queries, off the thresholds.
+QUANTITIES = [1.5 + 2.5 * k for k in range(20)]
+DISCOUNTS, TAXES = [0.001 + 0.0085 * k for k in range(12)], [0.0007 + 0.0077 * k for k in range(10)]
+_KNOWN = frozenset(range(len(NAMES)))
+_FOREST_SQL = f"({' + '.join(_value_sql(n, _KNOWN) for n in NESTED)}) / {len(NESTED)}::DOUBLE"
+
+
+def _points_sql(name: str, values: list[float]) -> str:
+    return f"(SELECT unnest([{', '.join(f'{v!r}::DOUBLE' for v in values)}]) AS {name})"
+
+
+@query(f"WITH p AS (SELECT {_FOREST_SQL} AS value, l_quantity FROM (SELECT l_discount, l_tax FROM lineitem), {_points_sql('l_quantity', QUANTITIES)}) SELECT l_quantity, {near_sql('avg(value)')} AS mean, {near_sql('var_pop(value)')} AS spread FROM p GROUP BY l_quantity")
+def forest_dependence(spark: SparkSession, sf: str) -> DataFrame:
+    made = trees.dependence(T.read(spark, sf, "lineitem"), FOREST, {"l_quantity": QUANTITIES})
+    return made.select("l_quantity", *rounded({c: F.col(c) for c in ("mean", "spread")}))
+
+
+@query(f"WITH p AS (SELECT {_FOREST_SQL} AS value, l_discount, l_tax FROM (SELECT l_quantity FROM lineitem), {_points_sql('l_discount', DISCOUNTS)}, {_points_sql('l_tax', TAXES)}) SELECT l_discount, l_tax, {near_sql('avg(value)')} AS mean FROM p GROUP BY ALL")
+def forest_dependence_2d(spark: SparkSession, sf: str) -> DataFrame:
+    made = trees.dependence(T.read(spark, sf, "lineitem"), FOREST, {"l_discount": DISCOUNTS, "l_tax": TAXES})
+    return made.select("l_discount", "l_tax", near("mean").alias("mean"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {near_sql(_FOREST_SQL)} AS probability, CAST({_FOREST_SQL} > 0.5 AS INT) AS prediction FROM lineitem")
+def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the fixed forest as conditions that Catalyst compiles."""
+    scored = T.read(spark, sf, "lineitem").withColumn("_p", trees.value_of(FOREST))
+    return scored.select("l_orderkey", "l_linenumber", near("_p").alias("probability"), (F.col("_p") > 0.5).cast("int").alias("prediction"))
