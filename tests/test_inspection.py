@@ -79,3 +79,46 @@ def test_moments_of_windows_from_one_pass(spark):
     assert model.ratios == pytest.approx([values[0] / 3, 1 / 3], abs=1e-9) and [x["column"] for x in reduction.loadings(model)] == ["a", "b", "c"]
     jobs = spark.sparkContext.statusTracker()
     assert len(reduction.stability(df, ["a", "b"], "i", 5)["similarities"]) == 5 and jobs is not None
+
+
+def serial_search(df, features, kind, points, n):
+    from ticklane.operators.evaluate import metrics
+
+    return [float(np.mean([metrics(models.predict(models.train(a, features, kind, **p), b)).first()["f1"] for a, b in models.expanding_folds(df, n)])) for p in points]
+
+
+def test_concurrent_search_finds_what_a_serial_one_does(rows):
+    grid = {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}
+    best, scored = models.search(rows, ["a", "b", "c"], "tree", grid, n=2)
+    assert [s for _, s in scored] == pytest.approx(serial_search(rows, ["a", "b", "c"], "tree", [p for p, _ in scored], 2))
+    assert best == max(scored, key=lambda x: x[1])[0]
+    swept = models.sweep(rows, rows, ["a", "b", "c"], "tree", "maxDepth", [1, 5])
+    assert [r["maxDepth"] for r in swept] == [1, 5] and swept[1]["train_accuracy"] > swept[0]["train_accuracy"]
+
+
+def test_errors_of_concurrent_jobs_come_through(spark):
+    assert models.concurrently(spark, [lambda k=k: spark.range(k).count() for k in range(5)], 3) == list(range(5))
+    with pytest.raises(ZeroDivisionError):
+        models.concurrently(spark, [lambda: 1 / 0])
+
+
+def test_arrays_of_a_tree_give_its_values(rows):
+    model = models.train(rows, ["a", "b", "c"], "tree", maxDepth=6, minInstancesPerNode=1)
+    (tree,), _ = trees.trees_of(model)
+    got = {r.id: r.probability for r in models.predict(model, rows).collect()}
+    x = rows.select("id", "a", "b", "c").toPandas()
+    values = trees.TreeArrays(tree).values_of(x[["a", "b", "c"]].to_numpy().T)
+    assert all(got[i] == pytest.approx(v) for i, v in zip(x["id"], values))
+
+
+def test_out_of_bag_score_agrees_with_a_holdout(spark):
+    r = np.random.default_rng(42)
+    x = r.normal(size=(6000, 4))
+    y = ((x[:, 0] + x[:, 1] > 0) ^ (r.random(6000) < 0.2)).astype(int)
+    df = spark.createDataFrame([(i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, label int")
+    forest = models.bagged_forest(df.where("id < 3000"), list("abcd"), ["id"], n=12, maxDepth=5)
+    rest = x[3000:].T
+    p = np.mean([trees.TreeArrays(t).values_of(rest) for t in forest.trees()], axis=0)
+    assert len(forest.models) == 12 and abs(((p > 0.5) == y[3000:]).mean() - forest.metrics["accuracy"]) < 0.02
+    outside = forest.out_of_bag.agg(F.count("*").alias("n"), F.avg("n_trees").alias("t")).first()
+    assert outside.n > 2900 and abs(outside.t / 12 - 0.368) < 0.02

@@ -71,7 +71,16 @@ def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.
 _POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
 
 
-def bootstrap_sums(df: DataFrame, values: dict[str, Column], keys: list[str], rounds: int = 200, seed: int = 42) -> DataFrame:
+def poisson_weights(key: np.ndarray, round: int) -> np.ndarray:
+    """Poisson(1) weights of rows in a round of a bootstrap, drawn from 64-bit hashes of the rows' keys."""
+    x = key.view(np.uint64) + np.uint64((round + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(31))
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / 2.0**53)
+
+
+def bootstrap_sums(df: DataFrame, values: dict[str, Column], keys: list[str], rounds: int = 1000, seed: int = 42) -> DataFrame:
     """(round, n, each of values): per round of a Poisson bootstrap the sums of weights and of weighted values.
 
     A row's weights are drawn from a hash of its keys, so they depend neither on its place nor on the partitioning; rows of equal keys get equal
@@ -83,13 +92,9 @@ def bootstrap_sums(df: DataFrame, values: dict[str, Column], keys: list[str], ro
         sums = np.zeros((rounds, 1 + len(names)))
         for b in batches:
             v = np.stack([np.ones(b.num_rows), *[b.column(n).to_numpy(zero_copy_only=False) for n in names]], 1)
-            key = b.column("_key").to_numpy().view(np.uint64)
+            key = b.column("_key").to_numpy()
             for r in range(rounds):
-                x = key + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                x = x ^ (x >> np.uint64(31))
-                sums[r] += np.searchsorted(_POISSON, (x >> np.uint64(11)) / 2.0**53) @ v
+                sums[r] += poisson_weights(key, r) @ v
         yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in sums.T]], ["round", "n", *names])
 
     rows = df.select(F.xxhash64(F.lit(seed), *keys).alias("_key"), *[c.cast("double").alias(n) for n, c in values.items()]).dropna()
@@ -103,7 +108,7 @@ def _scored(prefix: str, score: str) -> Column:
     return {"accuracy": divide(tp + tn, tp + fp + fn + tn), "precision": zero(divide(tp, tp + fp)), "recall": zero(divide(tp, tp + fn)), "f1": zero(divide(2 * tp, 2 * tp + fp + fn))}[score]
 
 
-def bootstrap_difference(df: DataFrame, a: str, b: str, keys: list[str], label: str = "label", score: str = "accuracy", rounds: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_difference(df: DataFrame, a: str, b: str, keys: list[str], label: str = "label", score: str = "accuracy", rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Paired Poisson bootstrap of a score (accuracy, precision, recall, f1) of prediction a less that of b: difference, one-sided p value and percentile interval. keys identify a row."""
     y = F.col(label)
     cells = {f"{side}_{n}": ((y == k) & (F.col(c) == p)).cast("double") for side, c in (("a", a), ("b", b)) for n, k, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))}

@@ -70,7 +70,7 @@ def forward_backward(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     return post / post.sum(1, keepdims=True), moves, float(np.log(c).sum() + top.sum())
 
 
-def fit(df: DataFrame, columns: list[str], states: int = 3, rounds: int = 20, tolerance: float = 1e-4, length: int = 10_000, keys: Keys = KEYS) -> Model:
+def fit(df: DataFrame, columns: list[str], states: int = 3, rounds: int = 100, tolerance: float = 1e-4, length: int = 10_000, keys: Keys = KEYS) -> Model:
     """A model of all series in df; its states are labelled by the mean of the first column, from Calm over Trending to Volatile. Starts from quantiles of the first column."""
     d = len(columns)
     whole = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)], F.percentile_approx(columns[0], [(k + 0.5) / states for k in range(states)], 10_000)).first()

@@ -5,20 +5,27 @@ from __future__ import annotations
 import itertools
 import random
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
+from queue import Queue
+from typing import Any
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .evaluate import metrics
+from .evaluate import metrics, poisson_weights
 from .lineage import materialised
-from .trees import dependence, trees_of
+from .trees import Tree, TreeArrays, dependence, trees_of
 
 KINDS = {
     "tree": lambda **p: DecisionTreeClassifier(**{"impurity": "entropy", "maxDepth": 7, "minInstancesPerNode": 10, "seed": 42} | p),
@@ -37,10 +44,40 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("_weight", weight)
 
 
+def prepared(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """The complete rows of df with features and class-balancing weight, computed once: what the fits of one training set share."""
+    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+    return materialised(assembler.transform(balanced(df, label)).select("_features", "_weight", F.col(label).alias("_label")))
+
+
 def train(df: DataFrame, features: list[str], kind: str = "forest", label: str = "label", **params) -> PipelineModel:
     """An assembler and a class-balanced classifier fitted on the complete rows of df."""
-    learner = KINDS[kind](**params).setLabelCol(label).setFeaturesCol("_features").setWeightCol("_weight")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(balanced(df, label))
+    return fitted(prepared(df, features, label), features, kind, **params)
+
+
+def fitted(rows: DataFrame, features: list[str], kind: str, weight: str = "_weight", **params) -> PipelineModel:
+    """A model of prepared rows, as train gives it."""
+    learner = KINDS[kind](**params).setLabelCol("_label").setFeaturesCol("_features").setWeightCol(weight)
+    return PipelineModel([VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner.fit(rows)])
+
+
+def concurrently(spark: SparkSession, jobs: list[Callable[[], Any]], workers: int = 8) -> list:
+    """Results of functions that run Spark jobs, so many of them at once, each worker in a scheduler pool of its own (they share executors fairly with spark.scheduler.mode=FAIR, and fill gaps in any mode)."""
+    pools: Queue[str] = Queue()
+    for k in range(workers):
+        pools.put(f"fit-{k}")
+
+    def run(job: Callable[[], Any]) -> Any:
+        pool = pools.get()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            pools.put(pool)
+
+    with ThreadPoolExecutor(workers) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(run), job) for job in jobs]]
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -72,35 +109,97 @@ def expanding_folds(df: DataFrame, n: int = 5, ts: str = "ts") -> Iterator[tuple
         yield df.where(_order(ts) <= a), df.where((_order(ts) > a) & (_order(ts) <= F.lit(b)))
 
 
-def cross_validate(df: DataFrame, features: list[str], kind: str = "forest", n: int = 5, score: str = "f1", **params) -> list[float]:
-    return [metrics(predict(train(a, features, kind, **params), b)).first()[score] for a, b in expanding_folds(df, n)]
+def cross_validate(df: DataFrame, features: list[str], kind: str = "forest", n: int = 5, score: str = "f1", workers: int = 8, **params) -> list[float]:
+    return _validated(df, features, kind, [params], n, score, workers)[0]
+
 
+def _validated(df: DataFrame, features: list[str], kind: str, points: list[dict], n: int, score: str, workers: int) -> list[list[float]]:
+    """Scores of every point on every expanding fold. df is computed once and each fold's training rows are prepared once; fits and scores run concurrently over them."""
+    spark, rows = df.sparkSession, materialised(df)
+    folds = concurrently(spark, [lambda a=a, b=b: (prepared(a, features), b) for a, b in expanding_folds(rows, n)], workers)
+    one = lambda p, fold: metrics(predict(fitted(fold[0], features, kind, **p), fold[1])).first()[score]
+    found = concurrently(spark, [lambda p=p, fold=fold: one(p, fold) for p in points for fold in folds], workers)
+    return [found[k * n : (k + 1) * n] for k in range(len(points))]
 
-def search(df: DataFrame, features: list[str], kind: str, grid: dict[str, list], draws: int | None = None, n: int = 5, score: str = "f1", seed: int = 42) -> tuple[dict, list[tuple[dict, float]]]:
+
+def search(df: DataFrame, features: list[str], kind: str, grid: dict[str, list], draws: int | None = None, n: int = 5, score: str = "f1", seed: int = 42, workers: int = 8) -> tuple[dict, list[tuple[dict, float]]]:
     """The best of all points of the grid, or of `draws` seeded ones, by mean score over expanding folds; and every point's score."""
     points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
     if draws and draws < len(points):
         points = random.Random(seed).sample(points, draws)
-    scored = [(p, float(np.mean(cross_validate(df, features, kind, n, score, **p)))) for p in points]
+    scored = [(p, float(np.mean(v))) for p, v in zip(points, _validated(df, features, kind, points, n, score, workers))]
     return max(scored, key=lambda x: x[1])[0], scored
 
 
-def sweep(train_rows: DataFrame, test_rows: DataFrame, features: list[str], kind: str, parameter: str, values: list, **params) -> list[dict]:
-    """For each value of a parameter: training time, accuracy and F1 on both sets, and their gap."""
-    out = []
-    for v in values:
+def sweep(train_rows: DataFrame, test_rows: DataFrame, features: list[str], kind: str, parameter: str, values: list, workers: int = 8, **params) -> list[dict]:
+    """For each value of a parameter: training time (workers=1 for times that don't share the cluster), accuracy and F1 on both sets, and their gap."""
+    seen, unseen = materialised(train_rows), materialised(test_rows)
+    rows = prepared(seen, features)
+
+    def one(v: Any) -> dict:
         began = time.monotonic()
-        model = train(train_rows, features, kind, **params | {parameter: v})
+        model = fitted(rows, features, kind, **params | {parameter: v})
         took = time.monotonic() - began
-        a, b = (metrics(predict(model, rows)).first() for rows in (train_rows, test_rows))
-        out.append({parameter: v, "train_seconds": took, "train_accuracy": a["accuracy"], "test_accuracy": b["accuracy"], "train_f1": a["f1"], "test_f1": b["f1"], "gap": a["accuracy"] - b["accuracy"]})
-    return out
+        a, b = (metrics(predict(model, x)).first() for x in (seen, unseen))
+        return {parameter: v, "train_seconds": took, "train_accuracy": a["accuracy"], "test_accuracy": b["accuracy"], "train_f1": a["f1"], "test_f1": b["f1"], "gap": a["accuracy"] - b["accuracy"]}
+
+    return concurrently(train_rows.sparkSession, [lambda v=v: one(v) for v in values], workers)
+
+
+def train_by_regime(df: DataFrame, features: list[str], kind: str = "forest", regime: str = "regime", least: int = 20, workers: int = 8, **params) -> dict[str, PipelineModel]:
+    """A model per regime that has at least `least` rows and both classes; all are fitted at once from one computed table."""
+    rows = materialised(df)
+    able = rows.groupBy(regime).agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).where((F.col("n") >= least) & (F.col("k") == 2)).collect()
+    names = [r[regime] for r in able]
+    return dict(zip(names, concurrently(df.sparkSession, [lambda v=v: train(rows.where(F.col(regime) == v), features, kind, **params) for v in names], workers)))
+
 
+@dataclass
+class BaggedForest:
+    """Trees fitted on bootstrapped rows, and how they do on the rows that each did not see: metrics as a row, and (keys, label, probability, n_trees) per row of some bag's outside."""
 
-def train_by_regime(df: DataFrame, features: list[str], kind: str = "forest", regime: str = "regime", least: int = 20, **params) -> dict[str, PipelineModel]:
-    """A model per regime that has at least `least` rows and both classes."""
-    able = df.groupBy(regime).agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).where((F.col("n") >= least) & (F.col("k") == 2)).collect()
-    return {r[regime]: train(df.where(F.col(regime) == r[regime]), features, kind, **params) for r in able}
+    models: list[PipelineModel]
+    out_of_bag: DataFrame
+    metrics: Row
+
+    def trees(self) -> list[Tree]:
+        return [t for m in self.models for t in trees_of(m)[0]]
+
+
+def bagged_forest(df: DataFrame, features: list[str], keys: list[str], n: int = 100, label: str = "label", seed: int = 42, workers: int = 8, **params) -> BaggedForest:
+    """A forest with out-of-bag score: tree t is fitted with Poisson(1) weights drawn from a hash of the row's keys, and each row is scored by the trees that gave it weight 0.
+
+    All trees share one prepared table and are fitted concurrently; rows are scored in one pass. keys identify a row.
+    """
+    whole = df.dropna(subset=[*features, label])
+    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+    rows = materialised(assembler.transform(balanced(whole, label)).withColumns({"_label": F.col(label), "_key": F.xxhash64(F.lit(seed), *keys)}))
+
+    def weighed(t: int) -> DataFrame:
+        drawn = F.arrow_udf(lambda key: pa.array(poisson_weights(key.to_numpy(), t).astype(float)), "double")
+        return rows.withColumn("_bag", drawn("_key") * F.col("_weight")).where("_bag > 0")
+
+    one = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "sqrt"} | params
+    made = concurrently(df.sparkSession, [lambda t=t: fitted(weighed(t), features, "forest", "_bag", **one | {"seed": seed + t}) for t in range(n)], workers)
+    flat = [trees_of(m)[0][0] for m in made]
+    schema = T.StructType([*rows.select(*keys, label).schema.fields, T.StructField("probability", T.DoubleType()), T.StructField("n_trees", T.LongType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = [TreeArrays(t) for t in flat]
+        for b in batches:
+            x = np.stack([b.column(f"_x{k}").to_numpy() for k in range(len(features))]) if b.num_rows else np.zeros((len(features), 0))
+            key, total, seen = b.column("_key").to_numpy(), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for t, a in enumerate(arrays):
+                outside = poisson_weights(key, t) == 0
+                total[outside] += a.values_of(x[:, outside])
+                seen += outside
+            kept = np.flatnonzero(seen)
+            names = [*keys, label]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(kept)) for c in names], pa.array(total[kept] / seen[kept]), pa.array(seen[kept])], names=[*names, "probability", "n_trees"])
+
+    wide = rows.select(*keys, label, "_key", *[F.col(f).cast("double").alias(f"_x{k}") for k, f in enumerate(features)])
+    scored = materialised(wide.mapInArrow(score, schema))
+    return BaggedForest(made, scored, metrics(scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int")), label=label).first())
 
 
 def predict_by_regime(df: DataFrame, models: dict[str, PipelineModel], default: PipelineModel | None = None, regime: str = "regime") -> DataFrame:

@@ -96,6 +96,35 @@ class Tree:
         return sum(v.value * math.prod(s.share for s in v.path) for v in self.leaves)
 
 
+class TreeArrays:
+    """A tree as arrays of nodes, for the values of many rows at once: all rows go down a level together."""
+
+    def __init__(self, tree: Tree):
+        feature, threshold, left, right, value = [], [], [], [], []
+
+        def put(leaves: list[Leaf], depth: int) -> int:
+            at = len(feature)
+            end = len(leaves[0].path) == depth
+            split = None if end else leaves[0].path[depth]
+            for x, v in ((feature, 0 if end else split.feature), (threshold, 0.0 if end else split.threshold), (left, at), (right, at), (value, leaves[0].value if end else 0.0)):
+                x.append(v)
+            if not end:
+                left[at] = put([v for v in leaves if v.path[depth].left], depth + 1)
+                right[at] = put([v for v in leaves if not v.path[depth].left], depth + 1)
+            return at
+
+        put(tree.leaves, 0)
+        self.depth = max(len(v.path) for v in tree.leaves)
+        self.feature, self.threshold, self.left, self.right, self.value = map(np.array, (feature, threshold, left, right, value))
+
+    def values_of(self, x: np.ndarray) -> np.ndarray:
+        """x: (features, rows) without missing values."""
+        at, rows = np.zeros(x.shape[1], int), np.arange(x.shape[1])
+        for _ in range(self.depth):
+            at = np.where(x[self.feature[at], rows] <= self.threshold[at], self.left[at], self.right[at])
+        return self.value[at]
+
+
 def trees_of(model) -> tuple[list[Tree], list[float]]:
     """The trees of a fitted pipeline (assembler, tree model) and their weights."""
     names, last = list(model.stages[0].getInputCols()), model.stages[-1]
