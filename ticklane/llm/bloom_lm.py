@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bucket_of, texts_of, written
+from .common import arrow_batches, bucket_of, remove, shuffles_dropped, texts_of, written
 from .textstats import numbered
 
 ADD = 0.1  # to every count of the base score
@@ -261,7 +261,7 @@ def build_filter(singles: DataFrame, pairs: DataFrame, s: Settings, most: int |
     return LogFrequencyFilter(s, table)
 
 
-def packed(docs: DataFrame, s: Settings) -> DataFrame:
+def packed(docs: DataFrame, s: Settings, paths: list[str]) -> DataFrame:
     """(unit, docs): the rows of docs, the column text among them, in units of one row each, written."""
     kind = docs.schema.simpleString()
 
@@ -271,10 +271,10 @@ def packed(docs: DataFrame, s: Settings) -> DataFrame:
                 yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.slice(at, n).to_struct_array())], ["docs"])
 
     with arrow_batches(docs.sparkSession, s.unit):
-        return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"))
+        return written(docs.mapInArrow(scan, f"docs array<{kind}>").select(F.monotonically_increasing_id().alias("unit"), "docs"), paths)
 
 
-def bucket_levels(packs: DataFrame, segments: int, buckets: int, s: Settings) -> DataFrame:
+def bucket_levels(packs: DataFrame, segments: int, buckets: int, s: Settings, paths: list[str]) -> DataFrame:
     """(unit, found): the levels of a unit's n-grams, an array of (bucket, levels) by bucket. One row of n-grams (without the bits that the bucket's number tells) and their training counts goes from each unit to each bucket of them, and one of levels back; there are no more rows than n-grams."""
     shift = buckets.bit_length() - 1
     width = (64 - shift + 7) // 8
@@ -305,7 +305,7 @@ def bucket_levels(packs: DataFrame, segments: int, buckets: int, s: Settings) ->
 
     probes = packs.mapInArrow(asked, "unit long, bucket long, grams binary, n binary")
     with arrow_batches(packs.sparkSession, s.units_at_once):
-        levels = written(probes.groupBy("bucket").applyInPandas(probed, "unit long, bucket long, levels binary"))
+        levels = written(probes.groupBy("bucket").applyInPandas(probed, "unit long, bucket long, levels binary"), paths)
     return levels.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("found"))
 
 
@@ -314,7 +314,8 @@ def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Data
     spark = docs.sparkSession
     held = bucket_of(F.col("doc_id"), s.folds) == s.held_out
     training = docs.where(~held).select(F.col(text).cast("binary").alias("text"))
-    singles = written(token_counts(training))
+    with shuffles_dropped(spark):
+        singles = written(token_counts(training))
     total, distinct = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = singles.where(F.length("token") <= s.hot_bytes).orderBy(F.desc("n"), "token").limit(s.hot).collect()
     exact = spark.sparkContext.broadcast({bytes(r.token): r.n for r in top})
@@ -354,10 +355,13 @@ def score(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Data
         scored = written(numbered_docs.mapInArrow(scan, kinds))
     else:
         buckets = min(segments, 1 << (total // s.bucket_tokens).bit_length())
-        packs = packed(numbered_docs, s)
-        found = bucket_levels(packs, segments, buckets, s)
-        with arrow_batches(spark, s.units_at_once):
-            scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
+        paths: list[str] = []
+        with shuffles_dropped(spark):  # each table is written once, and the next needs no shuffle of the one before
+            packs = packed(numbered_docs, s, paths)
+            found = bucket_levels(packs, segments, buckets, s, paths)
+            with arrow_batches(spark, s.units_at_once):
+                scored = written(packs.join(found, "unit").select("docs", "found").mapInArrow(scan_units, kinds))
+        remove(spark, paths)
     cold = scored.select("row", F.explode(F.arrays_zip(F.col("cold").alias("token"), F.col("cold_n").alias("often"))).alias("c")).select("row", "c.token", "c.often")
     counted = cold.join(singles, "token", "left").select("row", "often", F.coalesce("n", F.lit(0)).alias("n"))
     sums = counted.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.col("n") + ADD)).alias("cold_score"), F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("cold_known"))

@@ -147,6 +147,18 @@ class RecentCache(dict):
         return [new[k] if v is None else v for k, v in zip(keys, found)]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While it holds, the shuffle files of a query are removed when it ends, by Spark's own setting for it: for tables that are written and never computed again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """df as a table written to the shared folder and read again: compressed and columnar, so smaller than a checkpoint for wide or many rows. Each call makes a folder of its own, which is added to paths; remove() drops it once no result needs it any more."""
     spark = df.sparkSession
