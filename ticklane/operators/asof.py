@@ -8,11 +8,14 @@ then shuffled by (symbol, bucket) and each bucket is seeded with the last right
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import seconds_between
 from .keys import KEYS, Keys
+from .scan import Running, with_running
 
 _SIDE, _LEFT, _RIGHT = "_side", "_left", "_right"
 
@@ -72,3 +75,48 @@ def interpolated_join(left: DataFrame, right: DataFrame, values: list[str], keys
     share = F.coalesce(F.try_divide(seconds_between(f"{keys.ts}_before", keys.ts), span), F.lit(0.0))
     filled = {f"{v}_interpolated": F.coalesce(F.col(before[v]) + share * (F.col(after[v]) - F.col(before[v])), F.col(before[v]), F.col(after[v])) for v in values}
     return both.select(*left.columns, *[c.alias(n) for n, c in filled.items()])
+
+
+def asof_join_all(left: DataFrame, rights: dict[str, DataFrame], tolerance: float | None = None, keys: Keys = KEYS, width: float | None = None) -> DataFrame:
+    """left with the columns of the newest row of each of several tables, none newer than the left row; names that left or an earlier table has get _name.
+
+    All tables are united once, shuffled once by symbol and carried along in one sort, however many there are. tolerance: most seconds back, included.
+    width: split each symbol into time buckets of so many seconds (see scan), so that it is not one task.
+    """
+    frame = lambda df: F.struct(*[F.col(c) for c in df.columns])
+    # Equal times match, so a left row comes after the others of its time.
+    one = lambda df, side, name: df.select(keys.symbol, keys.ts, F.struct(F.lit(side).alias("side"), F.col(keys.seq).cast("long").alias("seq")).alias("_order"), frame(df).alias(name))
+    both = one(left, len(rights), _LEFT)
+    for k, (name, df) in enumerate(rights.items()):
+        both = both.unionByName(one(df, k, f"_of_{name}"), allowMissingColumns=True)
+    places = replace(keys, seq="_order")
+    carried = {f"_at_{name}": F.col(f"_of_{name}") for name in rights}
+    if width:
+        matched = with_running(both, {n: Running("last", c) for n, c in carried.items()}, width, places)
+    else:
+        matched = both.withColumns({n: F.last(c, ignorenulls=True).over(places.so_far()) for n, c in carried.items()})
+    matched = matched.where(F.col(_LEFT).isNotNull())
+    have, added = {c.lower() for c in left.columns}, []
+    for name, df in rights.items():
+        match = F.col(f"_at_{name}")
+        if tolerance is not None:
+            match = F.when(seconds_between(match[keys.ts], F.col(keys.ts)) <= tolerance, match)
+        for c in df.columns:
+            if c != keys.symbol:
+                added.append(match[c].alias(f"{c}_{name}" if c.lower() in have else c))
+        have |= {c.lower() for c in df.columns}
+    return matched.select(f"{_LEFT}.*", *added)
+
+
+def joined_on_time(base: DataFrame, sides: dict[str, DataFrame], keys: Keys = KEYS) -> DataFrame:
+    """base (one row per symbol and time) with the columns of tables of the same times, null where a table has none; names that are taken get _name. All tables meet in one shuffle and one aggregate instead of a join each."""
+    frame = lambda df: F.struct(*[F.col(c) for c in df.columns])
+    both = base.select(keys.symbol, keys.ts, frame(base).alias("_base"))
+    for name, df in sides.items():
+        both = both.unionByName(df.select(keys.symbol, keys.ts, frame(df).alias(f"_of_{name}")), allowMissingColumns=True)
+    each = both.groupBy(keys.symbol, keys.ts).agg(*[F.any_value(c, True).alias(c) for c in ("_base", *(f"_of_{n}" for n in sides))]).where(F.col("_base").isNotNull())
+    have, added = {c.lower() for c in base.columns}, []
+    for name, df in sides.items():
+        added += [F.col(f"_of_{name}")[c].alias(f"{c}_{name}" if c.lower() in have else c) for c in df.columns if c not in (keys.symbol, keys.ts)]
+        have |= {c.lower() for c in df.columns}
+    return each.select("_base.*", *added)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import divide
+from ..functions.scalar import divide, seconds_between
 from .keys import KEYS, Keys
 
 
+#: Buckets of a timeline made from one row.
+PART = 10_000
+
+
 def bucket_start(ts: str, every: int) -> Column:
     """Start of the bucket of `every` seconds, counted from 1970."""
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
@@ -41,9 +45,12 @@ def aggregated(rows: DataFrame, every: int, columns: dict[str, Column], keys: Ke
 
 
 def timeline(rows: DataFrame, every: int, keys: Keys = KEYS) -> DataFrame:
-    """(symbol, ts): every bucket from the symbol's first to its last."""
-    ends = rows.groupBy(keys.symbol).agg(F.min(bucket_start(keys.ts, every)).alias("a"), F.max(bucket_start(keys.ts, every)).alias("b"))
-    return ends.select(keys.symbol, F.explode(F.sequence("a", "b", F.make_dt_interval(secs=F.lit(every)))).alias(keys.ts))
+    """(symbol, ts): every bucket from the symbol's first to its last. They are dealt out ten thousand at a time, so a long series is not one array."""
+    ends = rows.groupBy(keys.symbol).agg(F.min(bucket_start(keys.ts, every)).alias("_a"), F.max(bucket_start(keys.ts, every)).alias("_b"))
+    last = F.floor(seconds_between("_a", "_b") / every)
+    parts = ends.withColumn("_last", last).where("_last is not null").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / PART))))
+    numbered = parts.withColumn("_n", F.explode(F.sequence(F.col("_part") * PART, F.least("_last", F.col("_part") * PART + PART - 1))))
+    return numbered.select(keys.symbol, (F.col("_a") + F.make_dt_interval(secs=F.col("_n") * every)).alias(keys.ts))
 
 
 def dense(buckets: DataFrame, every: int, zeros: list[str] = (), keys: Keys = KEYS) -> DataFrame:
@@ -82,6 +89,22 @@ def unified_timeline(trades: DataFrame, quotes: DataFrame, every: int, quote_col
     return filled(both, ["avg_trade_price", *quote_columns], method, keys)
 
 
+def unified_dataset(trades: DataFrame, sides: dict[str, tuple[DataFrame, list[str]]], every: int, method: str = "ffill", keys: Keys = KEYS) -> DataFrame:
+    """A dense timeline of buckets with mean trade price, total size and, of any number of further tables (name -> table, columns), the last values; gaps of prices and values are filled. Column names must differ.
+
+    All tables are united and aggregated in one shuffle, instead of a join per table.
+    """
+    start = lambda df: bucket_start(keys.ts, every).alias("_start")
+    both = trades.select(keys.symbol, keys.ts, keys.seq, start(trades), F.col("price").alias("_price"), F.col("size").alias("_size"))
+    columns = [c for _, names in sides.values() for c in names]
+    for df, names in sides.values():
+        both = both.unionByName(df.select(keys.symbol, keys.ts, keys.seq, start(df), *names), allowMissingColumns=True)
+    order = F.struct(keys.ts, keys.seq)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns]
+    each = both.groupBy(keys.symbol, "_start").agg(F.avg("_price").alias("avg_trade_price"), F.sum("_size").alias("total_trade_volume"), *last).withColumnRenamed("_start", keys.ts)
+    return filled(dense(each, every, keys=keys), ["avg_trade_price", *columns], method, keys)
+
+
 def trade_features(trades: DataFrame, every: int, keys: Keys = KEYS) -> DataFrame:
     """Dense buckets of signed trades (price, size, side): counts and sums are 0 in empty buckets, means null."""
     size, side = F.col("size"), F.col("side")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions.session import session_features, time_features
 from ..operators import filters, micro, quality, resample, rolling
-from ..operators.asof import asof_join, interpolated_join
+from ..operators.asof import asof_join, asof_join_all, interpolated_join
 from . import tables as T
-from .registry import near, query, rounded, rounded_sql
+from .registry import near, near_sql, query, rounded, rounded_sql
 
 HALF_DAY = 43_200.0
 W = "PARTITION BY symbol ORDER BY ts, seq"
@@ -88,6 +88,24 @@ def unified_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "ts", near("avg_trade_price").alias("avg_trade_price"), "total_trade_volume", near("bid_price").alias("bid_price"))
 
 
+_BOOKS = "books AS (SELECT user_id AS symbol, ts, event_id AS seq, value AS mid, CAST(json_extract(props, '$.k') AS BIGINT) AS depth FROM events WHERE event_type = 'error')"
+
+
+@query(f"""WITH {T.TRADES}, {T.QUOTES}, {_BOOKS} SELECT t.symbol, t.ts, t.seq, q.seq AS quote_seq, {near_sql("q.bid_price")} AS bid_price, b.seq AS book_seq, b.mid, b.depth
+FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts >= q.ts ASOF LEFT JOIN books b ON t.symbol = b.symbol AND t.ts >= b.ts""")
+def asof_three_sides(spark: SparkSession, sf: str) -> DataFrame:
+    sides = {"quote": T.quotes(spark, sf).select("symbol", "ts", "seq", "bid_price"), "book": T.books(spark, sf)}
+    return asof_join_all(T.trades(spark, sf), sides).select("symbol", "ts", "seq", F.col("seq_quote").alias("quote_seq"), near("bid_price").alias("bid_price"), F.col("seq_book").alias("book_seq"), "mid", "depth")
+
+
+@query(f"""WITH {T.TRADES}, {T.QUOTES}, {_BOOKS}, u AS (SELECT symbol, ts FROM trades UNION ALL SELECT symbol, ts FROM quotes UNION ALL SELECT symbol, ts FROM books), e AS (SELECT symbol, unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, date_trunc('day', max(ts))::TIMESTAMP, INTERVAL 1 DAY)) AS ts FROM u GROUP BY symbol),
+t AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, avg(price) AS p, CAST(sum(size) AS BIGINT) AS v FROM trades GROUP BY ALL), q AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(bid_price, (ts, seq)) AS b FROM quotes GROUP BY ALL), k AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(mid, (ts, seq)) AS m, arg_max(depth, (ts, seq)) AS d FROM books GROUP BY ALL)
+SELECT symbol, ts, {near_sql("last_value(p IGNORE NULLS) OVER w")} AS avg_trade_price, v AS total_trade_volume, {near_sql("last_value(b IGNORE NULLS) OVER w")} AS bid_price, {near_sql("last_value(m IGNORE NULLS) OVER w")} AS mid, last_value(d IGNORE NULLS) OVER w AS depth FROM e LEFT JOIN t USING (symbol, ts) LEFT JOIN q USING (symbol, ts) LEFT JOIN k USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+def unified_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    out = resample.unified_dataset(T.trades(spark, sf), {"quotes": (T.quotes(spark, sf), ["bid_price"]), "books": (T.books(spark, sf), ["mid", "depth"])}, T.DAY)
+    return out.select("symbol", "ts", *[near(c).alias(c) for c in ("avg_trade_price", "bid_price", "mid")], "total_trade_volume", "depth")
+
+
 RETURNS = f"{T.TRADES}, r AS (SELECT *, ln(price / lag(price) OVER ({W})) AS r FROM trades)"
 
 

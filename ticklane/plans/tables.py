@@ -31,6 +31,11 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "view", "signup").select("symbol", "ts", "seq", (v * 0.999).alias("bid_price"), (v * 1.001).alias("ask_price"), (k + 1).alias("bid_size"), (100 - k).alias("ask_size"))
 
 
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors: a book's mid price and depth."""
+    return _events(spark, sf_dir, "error").select("symbol", "ts", "seq", F.col("value").alias("mid"), F.col("k").alias("depth"))
+
+
 def bars(spark: SparkSession, sf_dir: str, every: int = DAY) -> DataFrame:
     return ohlc(trades(spark, sf_dir), every)
 
