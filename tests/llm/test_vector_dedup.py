@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from ticklane.llm import queries, vector_dedup
 
@@ -92,3 +93,21 @@ def test_recall_in_64_dimensions(spark):
     found = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(rows).collect()}
     got = np.array([found[i] for i in range(len(both))])
     assert expected.sum() >= 3900 and (got <= expected).all() and got.sum() >= 0.999 * expected.sum()
+
+
+@pytest.mark.parametrize("n, width, spread", [(4000, 64, 8), (3000, 384, 16), (3000, 384, 384)])
+def test_recall_on_vectors_of_uneven_spread(spark, n, width, spread):
+    """Pairs at distance 0.19, the spread carried by a few dimensions: links of the whole operator against brute force."""
+    r = np.random.default_rng(spread)
+    scale = np.where(np.arange(width) < spread, 1.0, 0.02)
+    base = vector_dedup.units(r.normal(size=(n // 2, width)) * scale)
+    step = r.normal(size=base.shape) * scale
+    x = np.concatenate([base, base + 0.19 * step / np.linalg.norm(step, axis=1, keepdims=True)]).astype(np.float32)
+    exact = vector_dedup.units(x.astype(float))
+    links = np.zeros(n, int)
+    for at in range(0, n, 1000):
+        links[at : at + 1000] = (exact[at : at + 1000] @ exact.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).select("vec_id", "n_links").collect()}
+    found = np.array([got[i] for i in range(n)])
+    assert links.sum() > n * 0.9 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
