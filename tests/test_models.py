@@ -154,3 +154,23 @@ def test_buckets_do_not_change_asof_matches(spark, direction):
     left, right = rows(200, "x"), rows(30, "y")
     found = [sorted(map(str, asof.asof_join(left, right, direction=direction, bucket=b).select("symbol", "seq", "x", "y").collect())) for b in (None, "hour", "minute")]
     assert found[0] == found[1] == found[2] and len(found[0]) == 200
+
+
+def test_simulated_events_do_not_depend_on_partitions_and_fit_their_parameters(spark):
+    made = hawkes.simulated(spark, 0.5, 0.6, 1.2, 1000.0, series=8)
+    rows = sorted(map(tuple, made.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted(map(tuple, hawkes.simulated(spark, 0.5, 0.6, 1.2, 1000.0, series=8).repartition(5).collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    counts = np.bincount([r[0] for r in rows], minlength=8)
+    # Mean mu T / (1 - n), variance of a count about mu T / (1 - n)^3.
+    assert abs(counts.mean() - 1000.0) < 3 * np.sqrt(0.5 * 1000 / 0.5**3 / 8)
+    born = sum(r[1] > 0 for r in rows) / len(rows)
+    assert abs(born - 0.5) < 3 * np.sqrt(0.25 / len(rows)) + 0.01
+    fits = [hawkes.fit(np.sort([r[2] for r in rows if r[0] == k])) for k in range(8)]
+    ratios = np.array([a / b for _, a, b in fits])
+    assert abs(ratios.mean() - 0.5) < 3 * ratios.std() / np.sqrt(8) + 0.03
+    with pytest.raises(ValueError):
+        hawkes.simulated(spark, 1.0, 2.0, 1.0, 10.0)

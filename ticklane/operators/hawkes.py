@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import seconds
+from . import order_stats
 from .keys import KEYS, Keys
+from .lineage import materialised
 from .scan import Running, with_running, with_totals
 
 
@@ -150,6 +152,54 @@ def simulate(mu: float, alpha: float, beta: float, until: float, seed: int = 42)
             s += 1
 
 
+def _uniform(*keys: Column | str) -> Column:
+    """A number in (0, 1) from a hash of the keys, the same wherever the row stands."""
+    return (F.xxhash64(*keys) / F.lit(2.0**64) + 0.5 + F.lit(2.0**-54)).cast("double")
+
+
+#: Poisson counts of mean m by inversion: the number of partial sums of probabilities that a uniform number exceeds; beyond so many terms nothing is left of means up to 8.
+_TERMS = 64
+
+
+def _poisson(u: Column, mean: float) -> Column:
+    shares, p, total = [], math.exp(-mean), 0.0
+    for k in range(_TERMS):
+        total += p
+        shares.append(total)
+        p *= mean / (k + 1)
+    return F.aggregate(F.array(*map(F.lit, shares)), F.lit(0), lambda n, share: n + (u > share).cast("int"))
+
+
+def simulated(spark: SparkSession, mu: float, alpha: float, beta: float, until: float, series: int = 1, seed: int = 42, cell: float | None = None, most: int = 10_000) -> DataFrame:
+    """(series, generation, t): events of branching processes over (0, until), by generations.
+
+    Immigrants come at rate mu, in cells of time of about four of them, so that every cell draws on its own; each event has Poisson(alpha / beta)
+    offspring at exponential ages. A generation is one step over the table of the one before, until none is left (the branching ratio must lie below 1).
+    Every number is drawn from a hash of seed, series and the event's line of descent: the same events come out of any partitioning.
+    """
+    ratio = alpha / beta
+    if not 0 <= ratio < 1:
+        raise ValueError("the branching ratio alpha / beta must lie below 1")
+    width = cell or min(until, 4 / mu if mu > 0 else until)
+    cells = math.ceil(until / width)
+    places = spark.range(series * cells).select(F.floor(F.col("id") / cells).alias("series"), (F.col("id") % cells).alias("_cell"))
+    born = places.withColumn("_n", _poisson(_uniform(F.lit(seed), F.lit("immigrants"), "series", "_cell"), mu * width)).where("_n > 0")
+    each = born.withColumn("_k", F.explode(F.sequence(F.lit(1), "_n")))
+    line = F.xxhash64(F.lit(seed), "series", "_cell", "_k")
+    living = each.select("series", F.lit(0).alias("generation"), ((F.col("_cell") + _uniform(F.lit(seed), F.lit("time"), line)) * width).alias("t"), line.alias("_line")).where(F.col("t") < until)
+    generation, out = 0, None
+    while True:
+        living = materialised(living)
+        out = living if out is None else out.union(living)
+        generation += 1
+        if generation > most or not living.limit(1).count():
+            return out.select("series", "generation", "t")
+        parents = living.withColumn("_n", _poisson(_uniform(F.lit(seed), F.lit("offspring"), "_line"), ratio)).where("_n > 0")
+        children = parents.withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).withColumn("_line", F.xxhash64(F.lit(seed), "_line", "_k"))
+        age = -F.log(_uniform(F.lit(seed), F.lit("age"), "_line")) / beta
+        living = children.select("series", F.lit(generation).alias("generation"), (F.col("t") + age).alias("t"), "_line").where(F.col("t") < until)
+
+
 def excited(ratio: str = "branching_ratio", threshold: float = 0.7) -> Column:
     return (F.col(ratio) > threshold).cast("int")
 
@@ -164,8 +214,8 @@ def regime_label(ratio: str = "branching_ratio", low: float = 0.3, high: float =
 
 
 def quantile_regime(windows: DataFrame, ratio: str = "branching_ratio") -> DataFrame:
-    """windows with High Excitation from the 75th, Moderate from the 50th percentile of all, else Baseline. The percentiles are one row."""
-    cuts = windows.agg(F.percentile(ratio, F.lit(0.75)).alias("_high"), F.percentile(ratio, F.lit(0.5)).alias("_mid"))
+    """windows with High Excitation from the 75th, Moderate from the 50th percentile of all, else Baseline. The percentiles are one row, found in ranges of values."""
+    cuts = order_stats.percentiles(windows, ratio, {"_high": 0.75, "_mid": 0.5}, []).agg(F.first("_high").alias("_high"), F.first("_mid").alias("_mid"))
     label = F.when(F.col(ratio) >= F.col("_high"), "High Excitation").when(F.col(ratio) >= F.col("_mid"), "Moderate").otherwise("Baseline")
     return windows.join(F.broadcast(cuts)).withColumn("regime_hawkes", label).drop("_high", "_mid")
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import materialised
+
 #: Ranges of a group.
 RANGES = 32
 
@@ -19,25 +21,26 @@ def running(rows: DataFrame, value: str, sums: dict[str, Column], by: list[str],
     """(by, value, each of sums, each of sums with the suffix _below): aggregates of the rows of each distinct value, and their totals over all smaller ones."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
     keys = by or ["_all"]
-    counts = counts if by else counts.withColumn("_all", F.lit(0))
+    counts = materialised(counts if by else counts.withColumn("_all", F.lit(0)))  # it is read three times
+    small = (lambda df: df) if by else F.broadcast  # groups may be many; without them the tables have a row or a row per range
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
     passed = [F.coalesce((F.get("_cuts", F.lit(k)) < F.col(value)).cast("int"), F.lit(0)) for k in range(ranges - 1)]  # a sum of plain terms is compiled
-    ranged = counts.join(F.broadcast(cuts), keys).withColumn("_range", reduce(lambda a, b: a + b, passed)).drop("_cuts")
+    ranged = counts.join(small(cuts), keys).withColumn("_range", reduce(lambda a, b: a + b, passed)).drop("_cuts")
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
     smaller = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    made = ranged.join(F.broadcast(start), [*keys, "_range"])
+    made = ranged.join(small(start), [*keys, "_range"])
     made = made.withColumns({f"{n}_below": F.col(f"_{n}") + F.coalesce(F.sum(n).over(smaller), F.lit(0)) for n in sums})
     return made.drop("_range", *([] if by else ["_all"]), *[f"_{n}" for n in sums])
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
-    """(by, one column per share, n, n_unique): exact percentiles, linear between the two nearest values, of the values that are not null."""
-    placed = running(rows, value, {"n": F.count("*")}, by)
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str], weight: str | None = None) -> DataFrame:
+    """(by, one column per share, n, n_unique): exact percentiles, linear between the two nearest values, of the values that are not null. weight: how many values a row stands for."""
+    placed = running(rows, value, {"n": F.sum(weight) if weight else F.count("*")}, by)
     sizes = placed.groupBy(*by).agg(F.sum("n").alias("_n"), F.count("*").alias("n_unique"))
-    every = placed.join(F.broadcast(sizes), by) if by else placed.join(F.broadcast(sizes), F.lit(True))
+    every = placed.join(sizes, by) if by else placed.join(F.broadcast(sizes), F.lit(True))
     at = lambda k: F.min(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n")), F.col(value)))
     picks = []
     for name, share in shares.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import correlation, divide, seconds_between, unbiased_kurtosis, unbiased_skew
 from . import order_stats
 from .keys import KEYS, Keys
+from .lineage import materialised
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -27,13 +28,15 @@ def summary_stats(df: DataFrame, columns: list[str], percentiles: tuple[float, .
         F.count("*").alias("rows"), n.alias("count"), F.sum(x.isNull().cast("long")).alias("missing"), F.sum((x == 0).cast("long")).alias("n_zeros"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
         unbiased_skew(n, F.skewness("x")).alias("skew"), unbiased_kurtosis(n, F.kurtosis("x")).alias("kurtosis"),
     )
-    placed = order_stats.percentiles(rows, "x", {f"p{round(100 * p)}": p for p in percentiles}, ["feature"]).drop("n")
+    counts = materialised(rows.where(x.isNotNull()).groupBy("feature", "x").agg(F.count("*").alias("w")))
+    placed = order_stats.percentiles(counts, "x", {f"p{round(100 * p)}": p for p in percentiles}, ["feature"], "w").drop("n")
     base = base.join(F.broadcast(placed), "feature", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
     base = base.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "cv": divide(F.col("std"), F.col("mean")), "missing_pct": divide(F.col("missing") * 100.0, F.col("rows").cast("double"))})
     low, high = F.col("p25") - 1.5 * F.col("iqr"), F.col("p75") + 1.5 * F.col("iqr")
     # One bounds row per column: small by construction.
-    out = rows.join(F.broadcast(base.select("feature", "p25", "p75", "iqr")), "feature").groupBy("feature").agg(F.sum(((x < low) | (x > high)).cast("long")).alias("n_outliers"))
-    return base.join(out, "feature").withColumn("outlier_pct", divide(F.col("n_outliers") * 100.0, F.col("count").cast("double")))
+    base = materialised(base)
+    out = counts.join(F.broadcast(base.select("feature", "p25", "p75", "iqr")), "feature").groupBy("feature").agg(F.sum(F.when((x < low) | (x > high), F.col("w")).otherwise(0)).alias("n_outliers"))
+    return base.join(out, "feature", "left").withColumn("n_outliers", F.when(F.col("count") > 0, F.col("n_outliers"))).withColumn("outlier_pct", divide(F.col("n_outliers") * 100.0, F.col("count").cast("double")))
 
 
 def flags(summary: DataFrame) -> DataFrame:
@@ -68,8 +71,9 @@ def gaps(df: DataFrame, most: float = 60.0, keys: Keys = KEYS) -> DataFrame:
 def quality_report(df: DataFrame, columns: list[str], keys: Keys = KEYS) -> DataFrame:
     """One row: rows, distinct rows, time range, gap statistics and missing values per column."""
     gapped = df.withColumn("_gap", seconds_between(F.lag(keys.ts).over(keys.ordered()), keys.ts))
-    return gapped.agg(
-        F.count("*").alias("rows"), F.min(keys.ts).alias("first_ts"), F.max(keys.ts).alias("last_ts"), F.percentile("_gap", F.lit(0.5)).alias("gap_median"), F.avg("_gap").alias("gap_mean"), F.max("_gap").alias("gap_max"),
+    median = order_stats.percentiles(gapped.select("_gap"), "_gap", {"gap_median": 0.5}, []).agg(F.first("gap_median").alias("gap_median"))
+    return gapped.join(F.broadcast(median), F.lit(True)).agg(
+        F.count("*").alias("rows"), F.min(keys.ts).alias("first_ts"), F.max(keys.ts).alias("last_ts"), F.first("gap_median").alias("gap_median"), F.avg("_gap").alias("gap_mean"), F.max("_gap").alias("gap_max"),
         *[F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_missing") for c in columns], *[F.sum((F.col(c) < 0).cast("long")).alias(f"{c}_negative") for c in columns],
     )
 
