@@ -48,7 +48,7 @@ def after_warm_up(rows: DataFrame, minutes: str = "minutes_since_open", least: i
 def zero_indexed_levels(book: DataFrame, parts: tuple[str, ...] = ("bid_price", "bid_volume", "ask_price", "ask_volume"), by: int = -1) -> DataFrame:
     """Level columns part_i renamed to part_{i + by}."""
     levels = {c: f"{p}_{int(c[len(p) + 1 :]) + by}" for p in parts for c in book.columns if c.startswith(f"{p}_") and c[len(p) + 1 :].isdigit()}
-    return book.withColumnsRenamed(levels)
+    return book.select(*[F.col(c).alias(levels.get(c, c)) for c in book.columns])
 
 
 def levels_from_arrays(book: DataFrame, n: int, bids: str = "bids", asks: str = "asks") -> DataFrame:

@@ -57,7 +57,7 @@ def book(spark: SparkSession, path: str | list[str], levels: int = 10, start: st
 def epoch(column: Column | str, unit: str = "ns") -> Column:
     """A number of ns, us, ms or s since 1970 as a timestamp; nanoseconds are cut to microseconds."""
     c = (F.col(column) if isinstance(column, str) else column).cast("long")
-    made = {"ns": lambda: F.timestamp_micros(F.floor(c / 1000)), "us": lambda: F.timestamp_micros(c), "ms": lambda: F.timestamp_millis(c), "s": lambda: F.timestamp_seconds(c)}
+    made = {"ns": lambda: F.timestamp_micros(F.call_function("div", c - F.pmod(c, F.lit(1000)), F.lit(1000))), "us": lambda: F.timestamp_micros(c), "ms": lambda: F.timestamp_millis(c), "s": lambda: F.timestamp_seconds(c)}
     return made[unit]().cast("timestamp_ntz")
 
 
