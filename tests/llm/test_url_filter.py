@@ -78,32 +78,44 @@ def test_log_odds_equal_brute_force(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     w = url_filter.with_words(url_filter.with_rule(url_filter.with_parts(pages)))
     rows = url_filter.judge(w, url_filter.fit(w)).collect()
-    n, block = Counter(dict.fromkeys(url_filter.SEEDS, 2)), Counter(dict.fromkeys(url_filter.SEEDS, 2))
+    n, block = Counter(), Counter()
     for row in rows:
-        n.update(row["words"])
-        block.update(row["words"] if set(row["words"]) & set(url_filter.SEEDS) else [])
+        company = [w for w in row["words"] if w not in url_filter.SEEDS]
+        n.update(company)
+        block.update(company if set(row["words"]) & set(url_filter.SEEDS) else [])
     total, blocked = sum(n.values()), sum(block.values())
-    dealt = 100 + (total / len(urls) - 1) * 2 * len(url_filter.SEEDS)
-    p = lambda word, k, of, more: (k + more * n[word] / total) / (of + more)
+    p = lambda word, k, of: (k + 100 * n[word] / total) / (of + 100)
+    ratio = lambda x: 3.0 if x in url_filter.SEEDS else math.log(p(x, block[x], blocked) / p(x, n[x] - block[x], total - blocked))
     for row in rows:
-        expected = math.log(1 / 9) + sum(math.log(p(x, block[x], blocked, dealt) / p(x, n[x] - block[x], total - blocked, 100)) for x in row["words"])
+        expected = math.log(1 / 9) + sum(map(ratio, row["words"]))
         assert row["log_odds"] == pytest.approx(expected)
     assert {r["verdict"] for r in rows} == {"block", "allow"}
 
 
+def judged(spark, planted, sf="sf0.1"):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url")
+    both = pages.union(spark.createDataFrame([(-i, u) for i, u in enumerate(planted, 1)], pages.schema))
+    w = url_filter.with_words(url_filter.with_rule(url_filter.with_parts(both)))
+    return url_filter.judge(w, url_filter.fit(w))
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_stored_urls_without_a_rule(spark, sf):
-    """Those that name a seed word are blocked, all others allowed."""
-    rows = queries.op2_url_filter(spark, f"/root/testdata/{sf}").where("rule is null").collect()
-    bad = re.compile("casino|bets|pills|spam|adult|ads-")
-    assert {r.verdict for r in rows if bad.search(r.host)} == {"block"}
-    assert sum(r.verdict == "block" for r in rows if not bad.search(r.host)) <= 0.01 * len(rows)
+def test_stored_urls_without_a_rule_get_both_verdicts(spark, sf):
+    rows = judged(spark, [], sf).where("rule is null").collect()
+    assert 0.01 < sum(r.verdict == "block" for r in rows) / len(rows) < 0.3
+    assert all((r.log_odds or -1) > 0 if r.verdict == "block" else (r.log_odds or -1) <= 0 for r in rows)
+
+
+def test_the_company_of_words_decides(spark):
+    """Words of stored urls that stand with seed words block a url without one; words of ordinary urls outweigh a single seed word."""
+    seedless = ["https://www.cheapfreewin.example.org/en/1", "https://win-cheap.example.org/es/2"]
+    harmless = ["https://blog.thertion.ththble.tionsh.ththhe.adult.example.org/en/3"]
+    rows = {r.page_id: r for r in judged(spark, [*seedless, *harmless, "https://casinowin.example.org/en/4", "https://publiclibrary.example.org/en/5"]).where("page_id < 0").collect()}
+    seeded = lambda i: bool(set(rows[i]["words"]) & set(url_filter.SEEDS))
+    assert [(rows[-i].verdict, seeded(-i)) for i in range(1, 6)] == [("block", False), ("block", False), ("allow", True), ("block", True), ("allow", False)]
 
 
 def test_names_run_together_are_blocked_on_stored_urls(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     planted = ["https://cheappills.example.org/en/1", "https://www.casinowin.example.org/es/2", "https://m.freebets.example.org/en/3", "https://publiclibrary.example.org/en/4", "https://www.gardenhistory.example.org/en/5", "https://sussexnews.example.org/en/6"]
-    both = pages.union(spark.createDataFrame([(-i, u) for i, u in enumerate(planted, 1)], pages.schema))
-    w = url_filter.with_words(url_filter.with_rule(url_filter.with_parts(both)))
-    found = {r.page_id: r.verdict for r in url_filter.judge(w, url_filter.fit(w)).where("page_id < 0").collect()}
+    found = {r.page_id: r.verdict for r in judged(spark, planted).where("page_id < 0").collect()}
     assert [found[-i] for i in range(1, 7)] == ["block"] * 3 + ["allow"] * 3

@@ -2,12 +2,14 @@
 
 Names in host and path are split into words by a unigram Viterbi search; the unigrams are the words of a public vocabulary
 file with probabilities by rank (Zipf), and the seed words. Multinomial naive Bayes scores the words. It learns from all
-given urls: one that has a seed word among its words is an example to block, any other to allow; so the words that stand
-with seed words count against a url too, and words of ordinary urls for it. Each class's word probabilities are its counts
-with `background` further words dealt as in all urls, so a word as frequent in either class tells nothing, whatever the
-classes' sizes. Each seed word also stands in `seed_urls` invented urls to block, whose other words are dealt likewise. The prior is a parameter, not the
-classes' sizes. A word that no example to block has gets one ratio, the same for all such words; the ratios of the others
-are a table that is joined, and broadcast only if it is counted to be small.
+given urls: one that has a seed word among its words is an example to block, any other to allow. What is learned is the
+company: the words that stand with seed words count against a url, and those of ordinary urls for it. The seed words
+themselves learn nothing from the examples they chose; each has the same log ratio, a parameter, that outweighs the prior but
+not two or three words of ordinary urls. So a url with a seed word may be allowed for the rest of its words, and one without
+any may be blocked. Each class's word probabilities are its counts with `background` further words dealt as in all urls, so
+a word as frequent in either class tells nothing, whatever the classes' sizes. The prior is a parameter, not the classes'
+sizes. A word that no example to block has gets one ratio, the same for all such words; the ratios of the others are a table
+that is joined, and broadcast only if it is counted to be small.
 
 Rows: one output row per input row. Null urls, and those without '://', have an empty host and path, no words, and are
 allowed; log odds are null without words. Very long names are segmented whole. Of rules as long as each other the later
@@ -121,20 +123,18 @@ class Bayes:
     ratios: DataFrame
 
 
-def fit(segmented: DataFrame, seeds: tuple[str, ...] = SEEDS, background: float = 100.0, seed_urls: int = 2, prior: float = math.log(1 / 9)) -> Bayes:
-    """Learns from all rows. The prior's default takes one url in ten to be one to block."""
+def fit(segmented: DataFrame, seeds: tuple[str, ...] = SEEDS, background: float = 100.0, seed_ratio: float = 3.0, prior: float = math.log(1 / 9)) -> Bayes:
+    """Learns from all rows. The prior's default takes one url in ten to be one to block; seed_ratio is the log ratio of each seed word."""
     spark = segmented.sparkSession
     block = F.arrays_overlap("words", F.array(*map(F.lit, seeds))).cast("long")
-    words = segmented.select(block.alias("block"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("block").alias("block"))
-    taught = spark.createDataFrame([(w, seed_urls, seed_urls) for w in seeds], "word string, n long, block long")
-    counts = written(words.union(taught).groupBy("word").agg(F.sum("n").alias("n"), F.sum("block").alias("block")))
-    every, blocked = counts.agg(F.sum("n"), F.sum("block")).first()
-    urls = segmented.where(F.size("words") > 0).count()
-    dealt = background + max(0, every / max(urls, 1) - 1) * seed_urls * len(seeds)
-    p = lambda n, of, more: (n + more * F.col("n") / every) / (of + more)
-    ratios = counts.where("block > 0").select("word", F.log(p(F.col("block"), blocked, dealt) / p(F.col("n") - F.col("block"), every - blocked, background)).alias("ratio"))
-    unseen = math.log(dealt / (blocked + dealt)) - math.log((every + background) / (every - blocked + background))
-    return Bayes(prior, unseen, ratios)
+    words = segmented.select(block.alias("block"), F.explode("words").alias("word")).where(~F.col("word").isin(*seeds))
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n"), F.sum("block").alias("block")))
+    every, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    p = lambda n, of: (n + background * F.col("n") / max(every, 1)) / (of + background)
+    ratios = counts.where("block > 0").select("word", F.log(p(F.col("block"), blocked) / p(F.col("n") - F.col("block"), every - blocked)).alias("ratio"))
+    marked = spark.createDataFrame([(w, seed_ratio) for w in seeds], "word string, ratio double")
+    unseen = math.log(background / (blocked + background)) - math.log((every + background) / (every - blocked + background))
+    return Bayes(prior, unseen, ratios.union(marked))
 
 
 def judge(segmented: DataFrame, model: Bayes, block_at: float = 0.0) -> DataFrame:
