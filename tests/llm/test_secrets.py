@@ -95,3 +95,38 @@ def test_empty_table_and_clash(spark):
     docs = documents(spark, TEXTS[:1]).selectExpr("*", "1 as Spans")
     assert secrets.scan(docs.limit(0)).count() == 0
     assert len(secrets.scan(docs).first()["spans"]) == 1
+
+
+def sealed_pkcs8(oid, size=64):
+    algorithm = der(0x30, der(0x06, oid) + der(0x30, der(0x04, b"saltsalt") + der(0x02, b"\x08\x00")))
+    return der(0x30, algorithm + der(0x04, bytes(range(size))))
+
+
+PBES2, SHA256 = b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d", b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"
+
+
+def test_encrypted_keys():
+    kinds = lambda text: [(k, text[a:b]) for k, a, b in secrets.find_spans(text) if k in ("pem", "der")]
+    body = base64.b64encode(bytes(range(96))).decode()
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    block = f"{head}{body[:64]}\n{body[64:]}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"x {block} y") == [("pem", block)]
+    assert kinds(block.replace("4,ENCRYPTED", "4,CLEAR")) == [] and kinds(block.replace(body[64:], body[64:-4])) == []
+    sealed = base64.b64encode(sealed_pkcs8(PBES2)).decode()
+    wrapped = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{sealed}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert kinds(wrapped) == [("pem", wrapped)] and kinds(f"see {sealed} there") == [("der", sealed)]
+    assert kinds(sealed_pkcs8(PBES2).hex()) == [("der", sealed_pkcs8(PBES2).hex())]
+    # A digest has the same shape, and a key's cipher text is whole blocks.
+    assert kinds(base64.b64encode(sealed_pkcs8(SHA256)).decode()) == [] and kinds(base64.b64encode(sealed_pkcs8(PBES2, 61)).decode()) == []
+
+
+def test_blocks_without_an_end_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        text = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED-x " * n) + "a-b " * n
+        began = time.perf_counter()
+        assert secrets.find_spans(text) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2

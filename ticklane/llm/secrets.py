@@ -1,7 +1,7 @@
 """Secret scan: pattern candidates, and encoded candidates confirmed by their structure.
 
 Candidates in base64, base64url or hex are reported only if they decode and parse: DER private keys by their nested
-lengths, PEM blocks by their decoded body, OpenSSH private keys by their length-prefixed fields, and signed tokens by a
+lengths, PEM blocks by their decoded body (encrypted ones by their headers and whole cipher blocks), OpenSSH private keys by their length-prefixed fields, and signed tokens by a
 JSON header that names an algorithm. A run of letters of an encoding is decoded once for each place that its groups can
 begin at, so a key is found wherever it begins in the run, and its lengths tell where it ends; runs of base64 in
 successive lines are joined. Plain assignments, access ids and long hex runs are reported by pattern.
@@ -34,13 +34,16 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are greedy, so shorter ones hold no other match
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([^-]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([^-]+(?:-(?!----)[^-]*)*)-----END \1-----")
+#: Headers of an encrypted block: that it is, the cipher and its first block in hex.
+ENCRYPTED = re.compile(r"\s*Proc-Type:[ \t]*4,[ \t]*ENCRYPTED\s+DEK-Info:[ \t]*[A-Z0-9-]{3,40},[ \t]*((?:[0-9A-Fa-f]{2}){8,32})\s")
 DOTTED = re.compile(r"[A-Za-z0-9_.-]{20,}")
 HEADER, JSON = re.compile(r'\{\s*"[^"\\]*"\s*:'), json.JSONDecoder(strict=False)
 RUN64, MORE64, GAP = re.compile(r"[A-Za-z0-9+/_-]{40,}"), re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[ \t]{0,16}\r?\n[ \t]{0,16}")
 RUN16 = re.compile(r"[0-9A-Fa-f]{80,}")
-#: A sequence of any length whose first element is a version number.
-DER_HEAD = re.compile(rb"\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...)\x02\x01[\x00-\x03]", re.S)
+_LENGTH = rb"(?:[\x00-\x7f]|\x81.|\x82..|\x83...)"
+#: A sequence of any length that begins with a version number, or with an algorithm of password-based encryption (PKCS 5, PKCS 12).
+DER_HEAD = re.compile(rb"\x30" + _LENGTH + rb"(?:\x02\x01[\x00-\x03]|\x30" + _LENGTH + rb"\x06[\x09\x0a]\x2a\x86\x48\x86\xf7\x0d\x01(?:\x05|\x0c\x01))", re.S)
 MAGIC = b"openssh-key-v1\0"
 SPACE, PADDING = re.compile(r"\s+"), re.compile("={0,2}")
 URLSAFE = str.maketrans("-_", "+/")
@@ -74,11 +77,13 @@ def der_items(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int,
 
 
 def der_end(data: bytes, at: int) -> int | None:
-    """The end of a private key that begins at a place: a sequence of a small version number, then key numbers (PKCS 1), an algorithm and key (PKCS 8) or an EC key."""
+    """The end of a private key that begins at a place: a sequence of a small version number, then key numbers (PKCS 1), an algorithm and key (PKCS 8) or an EC key; or a sequence of a cipher's algorithm and whole blocks of bytes (PKCS 8, encrypted)."""
     size, body = data[at + 1], at + 2
     if size >= 0x80:
         size, body = int.from_bytes(data[body : body + (size & 0x7F)], "big"), body + (size & 0x7F)
     inner = der_items(data, body, body + size) if body + size <= len(data) else None
+    if inner and [x[0] for x in inner] == [0x30, 0x04]:
+        return body + size if (inner[1][2] - inner[1][1]) % 8 == 0 and inner[1][2] > inner[1][1] else None
     if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
         return None
     tags = [x[0] for x in inner[1:]]
@@ -190,6 +195,9 @@ def header_start(head: str) -> int | None:
 
 
 def is_key_body(text: str) -> bool:
+    if sealed := ENCRYPTED.match(text):
+        data = decode64(SPACE.sub("", text[sealed.end() :])) or b""
+        return len(data) >= 32 and len(data) % (len(sealed[1]) // 2) == 0
     data = decode64(SPACE.sub("", text)) or b""
     return bool(DER_HEAD.match(data)) and der_end(data, 0) == len(data) or data.startswith(MAGIC) and openssh_end(data, 0) is not None
 
