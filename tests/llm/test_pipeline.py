@@ -77,3 +77,22 @@ def test_different_texts_under_one_id_stay(spark, tmp_path):
     rows = [(1, "one text of six words here", "en", "b", 5), (1, "one text of six words here", "en", "a", 5), (1, "quite another text under that id", None, None, None), (2, "One text of six words HERE", "en", "s", 5)]
     kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[2]]))
+
+
+def test_null_sources_and_texts_through_the_mix(spark):
+    rows = [(i, t, "en", s, 3) for i, (t, s) in enumerate([("a b c", None), (None, None), ("", "x"), ("d e f g", "x"), (None, "only")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    plan = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert sorted(r.doc_id for r in mixed) == sorted(i for i, n in plan.items() for _ in range(n)) and {0, 3} <= {r.doc_id for r in mixed}
+    assert {r.doc_id: (r.text, r.source) for r in mixed} == {i: (t, s) for i, t, _, s, _ in rows if plan[i]}
+
+
+def test_good_documents_without_or_with_contradicting_labels(spark, tmp_path):
+    docs = documents(spark, [*["some plain words of prose " * 9] * 4, None, ""])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = corpus_pipeline.keep_good(spark, docs, stored(tmp_path / "none", labels=none)).count()
+    assert kept == docs.count()  # nothing is known against them
+    both = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    once = sorted(r.doc_id for r in corpus_pipeline.keep_good(spark, docs, stored(tmp_path / "both", labels=both)).collect())
+    assert once == sorted(r.doc_id for r in corpus_pipeline.keep_good(spark, docs.repartition(3), stored(tmp_path / "both", labels=both.repartition(2))).collect())
