@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on the labelled ones among docs."""
+    """Documents that the quality classifier accepts; it is fitted on the labelled ones among docs. Null and empty texts are scored like any other, whole long texts too. Without labels every score is the same and all stay or go by it; an id with several labels teaches once (see boosted_trees). Repeated rows are judged alike, rows without an id teach nothing; ties at the threshold stay. Columns besides those of documents are dropped; an empty table stays empty."""
     trees = boosted_trees.fit(docs, read(spark, sf_dir, "labels"))
     return boosted_trees.score(docs, trees, name="_score").where(F.col("_score") >= GOOD).select(*COLUMNS)
 
@@ -37,20 +37,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts masked; n_chars follows where a text changed."""
+    """All documents, the secrets in their texts masked; n_chars follows where a text changed. Null texts stay null, empty ones empty, long ones are scanned whole; repeated rows change alike. Columns besides those of documents are dropped; an empty table stays empty."""
     clean = secrets.redact(docs.withColumn("_before", F.col("text")))
     length = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return clean.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
+    """Each document as often as the mix takes it: not at all, or up to three times. Null and empty texts have size 0 and come as often as the cut of their source says; a null source is a source of its own, the last. Repeated rows are taken alike, and long texts whole; of two equally near cuts the lower one holds. Columns besides those of documents are dropped; an empty table stays empty."""
     mixed = mixing.mix(docs.select(*COLUMNS))
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of each whole text."""
+    """doc_id, source, n_tokens and the ids of each whole text. Null and empty texts have none; repeated rows give repeated results. Of equal merge ranks the leftmost pair merges first. Other columns are dropped; an empty table stays empty."""
     return bpe.encode(docs.select("doc_id", "source", "text"), WORD_BPE).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
