@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,12 @@ def trades_of(predictions: DataFrame, threshold: float = 0.0, sizing: str = "fix
     sizes = {"fixed": F.lit(1.0), "regime": F.when(F.col("regime") == "Volatile", 0.5).otherwise(1.0), "confidence": F.col("confidence")}
     signal = F.when(F.col("prediction") == 1, 1).otherwise(-1)
     rows = predictions.withColumn("confidence", confidence).where(F.col("confidence") >= threshold)
-    rows = rows.withColumns({"size": sizes[sizing], "signal": signal}).withColumn("net_return", F.col("signal") * F.col("return") - cost)
+    return _curve(rows.withColumns({"size": sizes[sizing], "signal": signal}), cost, capital, keys, width)
+
+
+def _curve(rows: DataFrame, cost: float, capital: float, keys: Keys, width: float) -> DataFrame:
+    """Rows with signal and size, with net return, capital after each trade, pnl and whether the prediction was right."""
+    rows = rows.withColumn("net_return", F.col("signal") * F.col("return") - cost)
     growth = 1 + F.col("size") * F.col("net_return")
     curve = with_running(rows, {"_after": Running("product", growth), "_before": Running("product", growth, earlier=True)}, width, keys)
     after, before = capital * F.col("_after"), capital * F.coalesce("_before", F.lit(1.0))
@@ -80,3 +86,26 @@ def compared_strategies(strategies: dict[str, DataFrame], by: str = "sharpe", ca
         one = performance(trades, capital, keys).withColumn("strategy", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc(by), "strategy", keys.symbol)
+
+
+def five_strategies(predictions: DataFrame, threshold: float = 0.5, strict: float = 0.6, regime_prediction: str = "regime_prediction", regime_probability: str = "regime_probability", cost: float = 0.0005, capital: float = 100_000.0, keys: Keys = KEYS, width: float = DAY) -> DataFrame:
+    """Trades of five strategies over predictions of one model and of regime models (two further columns), with strategy:
+
+    baseline trades the model at a fixed size, regime_model the regimes' models; regime_sizing halves the size in Volatile regimes; confidence trades only
+    beyond the strict threshold; combined takes the regimes' models, their sizes and the strict threshold. Rows are read once, each taken as often as
+    there are strategies.
+    """
+    half = F.when(F.col("regime") == "Volatile", 0.5).otherwise(1.0)
+    one = lambda name, p, q, size, least: F.struct(F.lit(name).alias("strategy"), F.col(p).alias("prediction"), F.col(q).cast("double").alias("probability"), size.alias("size"), F.lit(least).alias("_least"))
+    whole, by = ("prediction", "probability"), (regime_prediction, regime_probability)
+    each = [one("baseline", *whole, F.lit(1.0), threshold), one("regime_model", *by, F.lit(1.0), threshold), one("regime_sizing", *whole, half, threshold), one("confidence", *whole, F.lit(1.0), strict), one("combined", *by, half, strict)]
+    rows = predictions.withColumn("_s", F.explode(F.array(*each))).drop(*whole, *by).select("*", "_s.*").drop("_s")
+    rows = rows.withColumn("confidence", 2 * F.abs(F.col("probability") - 0.5)).where(F.col("confidence") >= F.col("_least")).drop("_least")
+    rows = rows.withColumns({"signal": F.when(F.col("prediction") == 1, 1).otherwise(-1), "_series": F.struct("strategy", keys.symbol)})
+    return _curve(rows, cost, capital, replace(keys, symbol="_series"), width).drop("_series")
+
+
+def strategy_performance(trades: DataFrame, capital: float = 100_000.0, keys: Keys = KEYS, width: float = DAY) -> DataFrame:
+    """performance by strategy and symbol of trades with a strategy, all from one scan."""
+    found = performance(trades.withColumn("_series", F.struct("strategy", keys.symbol)), capital, replace(keys, symbol="_series"), width)
+    return found.select("_series.*", *[c for c in found.columns if c != "_series"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, evaluate, quality, ranking
 from . import tables as T
-from .registry import near_sql, query, rounded, rounded_sql
+from .registry import near, near_sql, query, rounded, rounded_sql
 
 P = T.PREDICTIONS
 CONFUSION = "count(*) AS n, sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END)::DOUBLE AS fp, sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END)::DOUBLE AS fn, sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END)::DOUBLE AS tn"
@@ -102,6 +102,19 @@ def backtest_gains(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("symbol", *rounded({c: F.col(c) for c in ("profit_factor", "average_win", "average_loss", "win_loss_ratio")}, 3))
 
 
+_OPTIONS = {"baseline": ("prediction", "probability", "1.0", 0.2), "regime_model": ("other", "q", "1.0", 0.2), "regime_sizing": ("prediction", "probability", "h", 0.2), "confidence": ("prediction", "probability", "1.0", 0.6), "combined": ("other", "q", "h", 0.6)}
+
+
+@query(f"""WITH {T.PREDICTIONS}, r AS (SELECT *, CASE WHEN other = 1 THEN 0.5 + abs(probability - 0.5) * 0.9 ELSE 0.5 - abs(probability - 0.5) * 0.9 END AS q, CASE WHEN regime = 'Volatile' THEN 0.5 ELSE 1.0 END AS h FROM predictions),
+s AS ({" UNION ALL ".join(f"SELECT '{n}' AS strategy, symbol, label, {p} AS prediction, {z}::DOUBLE AS size, (CASE WHEN {p} = 1 THEN 1 ELSE -1 END) * \"return\" - 0.0005::DOUBLE AS net FROM r WHERE 2 * abs({q} - 0.5) >= {least}" for n, (p, q, z, least) in _OPTIONS.items())})
+SELECT strategy, symbol, count(*) AS n_trades, {near_sql("product(1 + size * net) - 1", 5)} AS total_return, {near_sql("avg(CAST(prediction = label AS INT))", 5)} AS win_rate, {near_sql("coalesce(avg(net) / nullif(stddev_pop(net), 0), 0) * sqrt(252)", 4)} AS sharpe FROM s GROUP BY ALL""")
+def five_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("probability")
+    rows = T.predictions(spark, sf).withColumns({"regime_probability": F.when(F.col("other") == 1, 0.5 + F.abs(p - 0.5) * 0.9).otherwise(0.5 - F.abs(p - 0.5) * 0.9), "regime_prediction": F.col("other")})
+    made = backtest.strategy_performance(backtest.five_strategies(rows, 0.2, 0.6))
+    return made.select("strategy", "symbol", "n_trades", *rounded({c: F.col(c) for c in ("total_return", "win_rate")}, 5), near("sharpe", 4).alias("sharpe"))
+
+
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 STATS = {"mean": "avg(x)", "std": "stddev_samp(x)", "p5": "quantile_cont(x, 0.05)", "p25": "quantile_cont(x, 0.25)", "p50": "quantile_cont(x, 0.5)", "p99": "quantile_cont(x, 0.99)", "skew": "skewness(x)", "kurtosis": "kurtosis(x)"}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hawkes, hmm, models, reduction, rolling
+from ..operators.lineage import materialised
 from ..streaming import flows
 from . import tables as T
 from .registry import query
@@ -36,6 +37,7 @@ def principal_components(spark: SparkSession, sf: str) -> DataFrame:
 def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.bars(spark, sf).withColumns({"range": F.col("high") - F.col("low"), "move": F.col("close") - F.col("open")})
     rows = rows.withColumn("label", (F.lead("close").over(rolling.Window.partitionBy("symbol").orderBy("ts")) > F.col("close")).cast("int")).dropna()
+    rows = materialised(rows)  # read by the cut, the class sizes, the fit and the scores
     early, late = models.temporal_split(rows)
     model = models.train(early, ["range", "move", "volume", "vwap"], "forest")
     return models.predict(model, late).select("symbol", "ts", "label", "prediction", "probability")
