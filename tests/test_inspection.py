@@ -122,3 +122,23 @@ def test_out_of_bag_score_agrees_with_a_holdout(spark):
     assert len(forest.models) == 12 and abs(((p > 0.5) == y[3000:]).mean() - forest.metrics["accuracy"]) < 0.02
     outside = forest.out_of_bag.agg(F.count("*").alias("n"), F.avg("n_trees").alias("t")).first()
     assert outside.n > 2900 and abs(outside.t / 12 - 0.368) < 0.02
+
+
+def test_models_side_by_side(spark, rows):
+    from ticklane.operators import evaluate
+
+    df = rows.select("id", "label", F.col("label").alias("p"), (F.col("a") > 0).cast("int").alias("q"))
+    got = evaluate.compared_models(df, {"perfect": "p", "sign": "q"}, ["id"], rounds=50).collect()
+    assert [r.model for r in got] == ["perfect", "sign"] and got[0].f1 == 1.0 and got[0].p_value is None and got[1].low > 0 and got[1].p_value == 0
+    table = models.importances_by_regime(spark, models.train_by_regime(rows.withColumn("regime", F.when(F.col("id") % 2 == 0, "x").otherwise("y")), ["a", "b", "c"], "tree", maxDepth=3))
+    assert {(r.regime, r["rank"]) for r in table.collect()} == {(r, k) for r in "xy" for k in (1, 2, 3)}
+
+
+def test_events_in_bursts(spark):
+    from ticklane.operators import hawkes
+
+    at = lambda rows, schema: spark.createDataFrame(rows, schema)
+    events = at([("a", t, t) for t in range(10)] + [("b", 3, 0)], "symbol string, t long, seq long").selectExpr("symbol", "timestamp_seconds(t) as ts", "seq")
+    windows = at([("a", 2, 4, True), ("a", 3, 6, True), ("a", 8, 9, False)], "symbol string, s long, e long, is_burst boolean").selectExpr("symbol", "timestamp_seconds(s) as start", "timestamp_seconds(e) as end", "is_burst")
+    got = {(r.symbol, r.seq): r.is_burst for r in hawkes.in_bursts(events, windows).collect()}
+    assert got == {("a", t): 2 <= t <= 6 for t in range(10)} | {("b", 0): False}

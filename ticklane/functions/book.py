@@ -130,6 +130,21 @@ def concentration(top: int, n: int, side: str = "both") -> Column:
     return depth(side, top) / (depth(side, n) + EPSILON)
 
 
+def concentrations(tops: tuple[int, ...], n: int, side: str = "both") -> dict[str, Column]:
+    """Shares of several numbers of first levels, as columns."""
+    return {f"concentration_{k}": concentration(k, n, side) for k in tops}
+
+
+def book_features(levels: int, depths: tuple[int, ...] = (5, 10)) -> dict[str, Column]:
+    """The features of a wide snapshot in one call: mid price, spreads, depth and imbalance at the best prices (null without volume), and the depth of the first levels of either side and of both, for the given numbers that there are levels for."""
+    b, a = F.col("bid_volume_1"), F.col("ask_volume_1")
+    out = {"mid_price": mid(), "quoted_spread": spread(), "relative_spread": relative_spread(), "depth_at_best": b + a, "depth_imbalance": divide((b - a).cast("double"), (b + a).cast("double"))}
+    for n in depths:
+        if n <= levels:
+            out |= {f"cumulative_bid_depth_{n}": depth("bid", n), f"cumulative_ask_depth_{n}": depth("ask", n), f"cumulative_depth_{n}": depth("bid", n) + depth("ask", n)}
+    return out
+
+
 def concentration_asymmetry(top: int, n: int) -> Column:
     return concentration(top, n, "bid") - concentration(top, n, "ask")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,14 @@ def compared(df: DataFrame, a: str, b: str, *by: str, label: str = "label") -> D
     one, two = side(a, "a"), side(b, "b").drop("n")
     both = one.join(two, list(by)) if by else one.join(two, F.lit(True))
     return both.withColumns({k: v for n in names for k, v in ((f"{n}_delta", F.col(f"{n}_b") - F.col(f"{n}_a")), (f"{n}_delta_percent", divide(100 * (F.col(f"{n}_b") - F.col(f"{n}_a")), F.col(f"{n}_a"))))})
+
+
+def compared_models(df: DataFrame, models: dict[str, str], keys: list[str], score: str = "f1", rounds: int = 1000, label: str = "label", seed: int = 42) -> DataFrame:
+    """One table of several models' predictions (name -> column): their metrics, and against the best by a score the difference, its bootstrap interval and p value (null for the best itself). keys identify a row."""
+    each = reduce(DataFrame.unionByName, [metrics(df, label=label, prediction=c).withColumn("model", F.lit(n)) for n, c in models.items()])
+    rows = {r["model"]: r[score] for r in each.select("model", score).collect()}
+    best = max(rows, key=lambda n: (rows[n], n))
+    against = [bootstrap_difference(df, models[best], c, keys, label, score, rounds, seed=seed).withColumn("model", F.lit(n)) for n, c in models.items() if n != best]
+    if not against:
+        return each.select("model", *[c for c in each.columns if c != "model"])
+    return each.join(reduce(DataFrame.unionByName, against), "model", "left").orderBy(F.desc(score), "model")

@@ -224,3 +224,12 @@ def bursts(times: float = 2.0, keys: Keys = KEYS) -> Column:
     """Windows whose base rate exceeds the symbol's mean by a multiple of the deviation."""
     whole = Window.partitionBy(keys.symbol)
     return F.col("mu") > F.avg("mu").over(whole) + times * F.stddev_pop("mu").over(whole)
+
+
+def in_bursts(events: DataFrame, windows: DataFrame, keys: Keys = KEYS) -> DataFrame:
+    """events with is_burst: whether they lie in a window (symbol, start, end, is_burst) that is one. A scan over the bounds and events in order counts the bursts that are open; no event meets every window."""
+    marks = windows.where("is_burst").select(keys.symbol, F.explode(F.array(F.struct(F.col("start").alias(keys.ts), F.lit(1).alias("_step"), F.lit(0).alias("_rank")), F.struct(F.col("end").alias(keys.ts), F.lit(-1).alias("_step"), F.lit(2).alias("_rank")))).alias("m")).select(keys.symbol, "m.*")
+    own = F.struct(*[F.col(c) for c in events.columns]).alias("_event")
+    both = events.select(keys.symbol, keys.ts, F.lit(0).alias("_step"), F.lit(1).alias("_rank"), own).unionByName(marks, allowMissingColumns=True)
+    counted = with_running(both, {"_open": Running("sum", "_step")}, keys=Keys(keys.symbol, keys.ts, "_rank"))
+    return counted.where(F.col("_event").isNotNull()).select("_event.*", (F.col("_open") > 0).alias("is_burst"))

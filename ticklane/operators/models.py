@@ -238,6 +238,12 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
 
+def importances_by_regime(spark: SparkSession, models: dict[str, PipelineModel]) -> DataFrame:
+    """(regime, feature, importance, rank) of every regime's model in one table."""
+    rows = [(r, f, v, k) for r, m in models.items() for k, (f, v) in enumerate(importances(m), 1)]
+    return spark.createDataFrame(rows, "regime string, feature string, importance double, rank int")
+
+
 def with_donors(df: DataFrame, seed: int = 42, shift: int | None = None) -> DataFrame:
     """(own, donor): each row as a struct with another one, every row donor exactly once, over the whole table.
 

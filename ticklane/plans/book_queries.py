@@ -47,3 +47,16 @@ def book_slope(spark: SparkSession, sf: str) -> DataFrame:
 def book_ordered_levels(spark: SparkSession, sf: str) -> DataFrame:
     crossed = T.book(spark, sf).withColumn("bid_price_2", F.col("bid_price_2") - F.col("bid_volume_2") / 1000 + 0.03)
     return filters.ordered_levels(crossed, 2).select("book", near("bid_price_2").alias("bid_price_2"))
+
+
+_FEATURES = {
+    "mid_price": "(bid_price_1 + ask_price_1) / 2", "quoted_spread": "ask_price_1 - bid_price_1", "relative_spread": "(ask_price_1 - bid_price_1) / ((bid_price_1 + ask_price_1) / 2)", "depth_at_best": "bid_volume_1 + ask_volume_1",
+    "depth_imbalance": "(bid_volume_1 - ask_volume_1) / nullif(bid_volume_1 + ask_volume_1, 0)", "cumulative_bid_depth_2": "bid_volume_1 + bid_volume_2", "cumulative_ask_depth_2": "ask_volume_1 + ask_volume_2",
+    "cumulative_depth_2": "bid_volume_1 + bid_volume_2 + ask_volume_1 + ask_volume_2", "concentration_1": "(bid_volume_1 / (bid_volume_1 + bid_volume_2 + bid_volume_3 + 1e-10::DOUBLE) + ask_volume_1 / (ask_volume_1 + ask_volume_2 + ask_volume_3 + 1e-10::DOUBLE)) / 2",
+}
+
+
+@query(f"WITH {T.BOOK} SELECT book, {rounded_sql(_FEATURES, 4)} FROM book")
+def book_features(spark: SparkSession, sf: str) -> DataFrame:
+    made = B.book_features(N, (2, 5)) | B.concentrations((1,), N)
+    return T.book(spark, sf).withColumns(made).select("book", *rounded({c: F.col(c) for c in _FEATURES}, 4))

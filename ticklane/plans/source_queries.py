@@ -141,6 +141,6 @@ g AS (SELECT f.symbol, f.n, CASE greatest(s0, s1, s2) WHEN s0 THEN 0 WHEN s1 THE
  UNION ALL SELECT f.symbol, f.n - 1, CASE g.state WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END FROM g JOIN f ON f.symbol = g.symbol AND f.n = g.n WHERE f.n > 1)
 SELECT g.symbol, o.ts, g.state::INTEGER AS state, ['Calm', 'Trending', 'Volatile'][g.state + 1] AS regime FROM g JOIN o ON o.symbol = g.symbol AND o.n = g.n""")
 def hidden_states(spark: SparkSession, sf: str) -> DataFrame:
-    """The most likely states of a fixed chain, worked out in segments of seven bars."""
+    """The most likely states of a fixed chain, worked out in segments of forty bars."""
     bars = T.ordered_bars(spark, sf).where("high > 0 and low > 0").withColumn("range", F.ln(F.col("high") / F.col("low")))
-    return hmm.decode(bars, CHAIN, 7).select("symbol", "ts", "state", "regime")
+    return hmm.decode(bars, CHAIN, 40).select("symbol", "ts", "state", "regime")

@@ -38,6 +38,6 @@ def depth_feed(spark: SparkSession, sf: str) -> DataFrame:
 )
 SELECT symbol::VARCHAR AS symbol, second, side, level::INTEGER AS level, price::DOUBLE AS price, size FROM ranked WHERE level <= 3""")
 def recovered_books(spark: SparkSession, sf: str) -> DataFrame:
-    made = books.recorded(depth_feed(spark, sf), 3, 20)
+    made = books.recorded(depth_feed(spark, sf), 3, 120)
     sides = [made.select("symbol", "second", F.lit(s).alias("side"), F.posexplode(s).alias("level", "x")) for s in books.SIDES]
     return sides[0].union(sides[1]).select("symbol", "second", "side", (F.col("level") + 1).alias("level"), F.get("x", F.lit(0)).alias("price"), F.get("x", F.lit(1)).alias("size"))
