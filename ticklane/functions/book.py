@@ -11,7 +11,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import EPSILON, col, divide
+from .scalar import EPSILON, col, divide, log_ratio, quotient
 
 
 def prices(side: str, n: int) -> list[Column]:
@@ -175,18 +175,18 @@ def nbbo(bid: str = "bid_price", ask: str = "ask_price", bid_size: str = "bid_si
 
 
 def bar_features() -> dict[str, Column]:
-    """Row features of bars open, high, low, close, vwap."""
+    """Row features of bars open, high, low, close, vwap; quotients by a price of 0 are infinite or NaN."""
     o, h, low, c, v = map(F.col, ("open", "high", "low", "close", "vwap"))
-    hl, co = F.ln(h / low), F.ln(c / o)
+    hl, co = log_ratio(h, low), log_ratio(c, o)
     variance = 0.5 * hl * hl - (2 * F.ln(F.lit(2.0)) - 1) * co * co
     return {
         "estimated_spread": h - low,
         "mid_price": (h + low) / 2,
-        "relative_spread": divide(h - low, (h + low) / 2),
+        "relative_spread": quotient(h - low, (h + low) / 2),
         "typical_price": (h + low + c) / 3,
-        "vwap_deviation": divide(c - v, v),
-        "price_range": divide(h - low, c),
-        "intrabar_momentum": divide(c - o, o),
+        "vwap_deviation": quotient(c - v, v),
+        "price_range": quotient(h - low, c),
+        "intrabar_momentum": quotient(c - o, o),
         "parkinson": F.sqrt(hl * hl / (4 * F.ln(F.lit(2.0)))),
         "garman_klass": F.when(variance >= 0, F.sqrt(variance)),
     }

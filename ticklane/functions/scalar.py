@@ -18,6 +18,12 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b in doubles where b may be 0: infinite by the sign of a, NaN for 0 / 0."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
 def seconds(ts: Column | str) -> Column:
     """Seconds since 1970 with microseconds, of a timestamp with or without zone."""
     return F.unix_micros(col(ts).cast("timestamp")) / F.lit(1e6)
@@ -43,7 +49,9 @@ def unbiased_kurtosis(n: Column, excess: Column) -> Column:
 
 
 def log_ratio(a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0), F.ln(a / b))
+    """ln(a / b): -inf or inf where one of them is 0, NaN where both are, null for negative numbers."""
+    r = quotient(a, b)
+    return F.when((a >= 0) & (b >= 0), F.when(r == 0, float("-inf")).otherwise(F.ln(r)))
 
 
 def correlation(x: Column | str, y: Column | str, frame: WindowSpec | None = None) -> Column:
