@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quotient
 from .asof import asof_join
 from .keys import KEYS, Keys
 
@@ -37,8 +38,8 @@ def signed_sizes(side: str = "side", size: str = "size") -> dict[str, Column]:
 def price_impact(price: str = "price", mid: str = "mid_price", size: str = "size", ahead: int = 5, keys: Keys = KEYS) -> dict[str, Column]:
     """Temporary impact against the mid price, permanent impact `ahead` trades later (looks ahead), and temporary impact by log size."""
     p, m = F.col(price), F.col(mid)
-    temporary = F.try_divide(p - m, m)
-    return {"temporary_impact": temporary, "permanent_impact": F.try_divide(F.lead(price, ahead).over(keys.ordered()) - p, p), "impact_per_share": F.try_divide(temporary, F.ln(1 + F.col(size)))}
+    temporary = quotient(p - m, m)
+    return {"temporary_impact": temporary, "permanent_impact": quotient(F.lead(price, ahead).over(keys.ordered()) - p, p), "impact_per_share": quotient(temporary, F.ln(1 + F.col(size)))}
 
 
 def next_move(mid: str = "mid_price", keys: Keys = KEYS) -> Column:
