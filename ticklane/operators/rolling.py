@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import book
-from ..functions.scalar import EPSILON, col, correlation, divide, log_ratio, seconds_between, unbiased_kurtosis, unbiased_skew
+from ..functions.scalar import EPSILON, col, correlation, divide, log_ratio, quotient, seconds_between, unbiased_kurtosis, unbiased_skew
 from .keys import KEYS, Keys
 from .scan import DAY, Running, with_running, with_totals
 
@@ -30,7 +30,7 @@ def log_return(price: Column | str, lag: int = 1, keys: Keys = KEYS) -> Column:
 
 
 def simple_return(price: Column | str, lag: int = 1, keys: Keys = KEYS) -> Column:
-    return divide(col(price), F.lag(col(price), lag).over(keys.ordered())) - 1
+    return quotient(col(price), F.lag(col(price), lag).over(keys.ordered())) - 1
 
 
 def change(x: Column | str, lag: int = 1, keys: Keys = KEYS) -> Column:
