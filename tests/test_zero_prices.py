@@ -27,7 +27,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["bar_features", "bar_rolling", "trade_impact", "rolling_volatility"])
+@pytest.mark.parametrize("name", ["bar_features", "bar_rolling", "trade_impact", "log_returns", "rolling_volatility"])
 def test_query_equals_sql_at_zero_prices(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet')")
