@@ -8,8 +8,8 @@ from ticklane.plans import catalogue
 
 from .test_queries import rows
 
-TRADES = {7: [0.0, 5.0, 4.0, 6.0, 5.5, 6.5, 7.0, 0.0, 0.0, 3.0, 2.0, 4.0, 5.0, 6.0], 8: [3.0, 4.0, 0.0, 2.0, 5.0, 5.0], 9: [0.0, 0.0, 1.0]}
-QUOTES = {7: [5.0, 0.0, 4.0], 8: [0.0, 3.0], 9: [0.0]}
+TRADES = {6: [3.0, 4.0, 5.0, 4.0, 3.0, 5.0, 6.0, 7.0, 6.0, 5.0, 4.0, 6.0, 5.0, 7.0], 7: [0.0, 5.0, 4.0, 6.0, 5.5, 6.5, 7.0, 0.0, 0.0, 3.0, 2.0, 4.0, 5.0, 6.0], 8: [3.0, 4.0, 0.0, 2.0, 5.0, 5.0], 9: [0.0, 0.0, 1.0]}
+QUOTES = {6: [4.0, 5.0], 7: [5.0, 0.0, 4.0], 8: [0.0, 3.0], 9: [0.0]}
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +32,8 @@ def test_query_equals_sql_at_zero_prices(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet')")
     assert rows(catalogue.QUERIES[name](spark, folder).toPandas()) == rows(con.execute(catalogue.ORACLE_SQL[name]).df())
+
+
+def test_bars_without_a_range_are_left_out_of_hidden_regimes(spark, folder):
+    got = catalogue.QUERIES["hidden_regimes"](spark, folder).collect()
+    assert {r.symbol for r in got} == {6} and all(r.regime for r in got)

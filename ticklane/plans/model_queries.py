@@ -23,7 +23,7 @@ def hawkes_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hidden_regimes(spark: SparkSession, sf: str) -> DataFrame:
-    bars = T.ordered_bars(spark, sf).withColumns({"range": F.ln(F.col("high") / F.col("low")), "ret": F.abs(rolling.log_return("close"))})
+    bars = T.ordered_bars(spark, sf).where("high > 0 and low > 0").withColumns({"range": F.ln(F.col("high") / F.col("low")), "ret": F.abs(rolling.log_return("close"))})
     return hmm.decode(bars, hmm.fit(bars, ["range", "ret"]))
 
 
