@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quotient
 from ..operators import hawkes, hmm, micro
 from ..operators.lineage import new_path
 from ..sources import readers
@@ -62,7 +63,7 @@ def stored_quotes_daily(spark: SparkSession, sf: str) -> DataFrame:
 def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.bars(spark, sf).withColumn("volume", F.col("volume").cast("double"))
     made = readers.bars(spark, _stored(rows), START, END)
-    return made.select("symbol", "ts", *rounded({"close": F.col("close"), "price_range": (F.col("high") - F.col("low")) / F.col("close"), "vwap_deviation": (F.col("close") - F.col("vwap")) / F.col("vwap")}, 5), "trades")
+    return made.select("symbol", "ts", *rounded({"close": F.col("close"), "price_range": quotient(F.col("high") - F.col("low"), F.col("close")), "vwap_deviation": quotient(F.col("close") - F.col("vwap"), F.col("vwap"))}, 5), "trades")
 
 
 _LEVELS = [f"{s}_{p}_{i}" for i in range(1, T.LEVELS + 1) for s in ("bid", "ask") for p in ("price", "volume")]

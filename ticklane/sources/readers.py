@@ -86,7 +86,7 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql("select explode(sequence(cast(:a as date), cast(:b as date))) as day", args={"a": start, "b": end})
 
 
-def write_days(rows: DataFrame, path: str, mode: str = "append", ts: str = "ts") -> None:
-    """Parquet partitioned by symbol and day, rows clustered so that each task writes few files; large partitions are split by Spark."""
+def write_days(rows: DataFrame, path: str, mode: str = "append", ts: str = "ts", symbol: str = "symbol") -> None:
+    """Parquet partitioned by day, each file sorted by symbol and time, so that statistics of its row groups tell which symbols are where: the number of files goes by days and bytes, not by symbols. Large days are split by Spark."""
     dated = rows.withColumn("day", F.to_date(ts))
-    dated.hint("rebalance", "symbol", "day").write.mode(mode).partitionBy("symbol", "day").parquet(path)
+    dated.hint("rebalance", "day").sortWithinPartitions("day", symbol, ts).write.mode(mode).partitionBy("day").parquet(path)
