@@ -313,20 +313,54 @@ def shap_interactions(tree: Tree | ShapleyPlan, x: np.ndarray) -> np.ndarray:
     return out
 
 
+class CellValues:
+    """Values by row of a forest that reads rows through its thresholds alone: rows between the same thresholds have the same values, which are worked out once for each such cell and kept up to a size; beyond it they are worked out again."""
+
+    def __init__(self, trees: list[Tree], weights: list[float], of: Callable[[ShapleyPlan, np.ndarray], np.ndarray], kept_bytes: int = 32_000_000):
+        self.of, self.weights, self.plans = of, weights, [*map(ShapleyPlan, trees)]
+        splits = {(s.feature, s.threshold) for t in trees for v in t.leaves for s in v.path}
+        self.cuts = [np.array(sorted(c for f, c in splits if f == k)) for k in range(len(trees[0].names))]
+        self.width = int(np.prod(of(self.plans[0], np.zeros((1, len(self.cuts)))).shape))
+        self.most = max(1, kept_bytes // (8 * self.width))
+        self.worked_out = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.at, self.kept = {}, np.zeros((0, self.width))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """(rows, values) of x; NaN is above all thresholds."""
+        if not len(x):
+            return np.zeros((0, self.width))
+        cells = np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)], 1).astype(np.int32)
+        place = np.zeros(len(x), np.int64)
+        for c, v in zip(self.cuts, cells.T):
+            first, place = np.unique(place * (len(c) + 1) + v, return_index=True, return_inverse=True)[1:]
+        if len(self.at) > self.most:
+            self.clear()
+        names = [c.tobytes() for c in cells[first]]
+        new = [k for k, c in enumerate(names) if c not in self.at]
+        if new:
+            self.at.update((names[k], len(self.kept) + i) for i, k in enumerate(new))
+            self.kept = np.concatenate([self.kept, *self.block(x[first[new]])])
+            self.worked_out += len(new)
+        return self.kept[np.array([self.at[c] for c in names])[place]]
+
+    def block(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            yield sum(w * self.of(t, part).reshape(len(part), self.width) for t, w in zip(self.plans, self.weights))
+
+
 def _values(df: DataFrame, trees: list[Tree], weights: list[float], of: Callable[[ShapleyPlan, np.ndarray], np.ndarray], name: str) -> DataFrame:
     names = trees[0].names
-    width = int(np.prod(of(ShapleyPlan(trees[0]), np.zeros((1, len(names)))).shape))
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        plans = [*map(ShapleyPlan, trees)]
+        values = CellValues(trees, weights, of)
         for b in batches:
             x = np.stack([b.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))], 1) if len(b) else np.zeros((0, len(names)))
-            made = [np.zeros((0, width))]
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                made.append(sum(w * of(t, part).reshape(len(part), width) for t, w in zip(plans, weights)))
-            flat = np.concatenate(made)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * width, pa.int32()), pa.array(flat.ravel()))
+            flat = values(x)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * values.width, pa.int32()), pa.array(flat.ravel()))
 
     inputs = F.struct(*[F.col(n).cast("double").alias(n) for n in names])
     whole = F.forall(F.array(*[F.col(n).isNotNull() for n in names]), lambda x: x)
