@@ -13,11 +13,15 @@ from collections.abc import Iterable, Iterator
 from heapq import nlargest, nsmallest
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.lineage import new_path
+
 SIDES = ("bids", "asks")
 EVENT = "symbol string, snapshot boolean, first_id long, last_id long, previous_id long, bids array<array<string>>, asks array<array<string>>, event_ms long"
 BOOKS = "symbol string, second long, resynced boolean, bids array<array<double>>, asks array<array<double>>"
@@ -190,17 +194,50 @@ def side_levels(side: str) -> Column:
     return F.transform(given, lambda x: F.struct(F.lit(side).alias("side"), x[0].cast("double").alias("price"), x[1].cast("double").alias("size")))
 
 
+class Shown:
+    """Rows of best levels by column: symbol, second, and of each side the number of levels and their prices and sizes in turn."""
+
+    def __init__(self, levels: int):
+        self.levels = levels
+        self.clear()
+
+    def clear(self) -> None:
+        self.symbols, self.seconds, self.counts, self.flat = [], [], ([], []), ([], [])
+
+    def add(self, symbol: str | None, second: int, books: tuple[dict[float, float], dict[float, float]]) -> None:
+        self.symbols.append(symbol)
+        self.seconds.append(second)
+        for book, pick, counts, flat in zip(books, (nlargest, nsmallest), self.counts, self.flat):
+            found = pick(self.levels, book)
+            counts.append(len(found))
+            for p in found:
+                flat += (p, book[p])
+
+    def taken(self) -> pa.RecordBatch:
+        sides = []
+        for counts, flat in zip(self.counts, self.flat):
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2), pa.int32()), pa.array(flat, pa.float64()))
+            sides.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pairs))
+        made = pa.record_batch([pa.array(self.symbols, pa.string()), pa.array(self.seconds, pa.int64()), *sides], ["symbol", "second", *SIDES])
+        self.clear()
+        return made
+
+
 def recorded(rows: DataFrame, levels: int = 10, bucket_seconds: int = 600) -> DataFrame:
     """Batch: books by second (BOOKS without resynced) of recorded EVENTs.
 
     Each price's changes are intervals of time; a bucket of seconds starts from the levels that stand at its beginning and is
-    replayed alone, so a symbol is spread over as many tasks as it has buckets. Ids that repeat count once.
+    replayed alone, so a symbol is spread over as many tasks as it has buckets. Ids that repeat count once. The events of living books
+    are written once, to the shared folder, and read by each step.
     """
     alive = lived(rows.dropDuplicates(["symbol", "snapshot", "last_id"])).withColumn("second", F.expr("event_ms div 1000"))
     epoch = Window.partitionBy("symbol", "epoch")
     told = F.when(~F.col("snapshot"), F.col("second"))
     reached = F.max(told).over(epoch.orderBy((~F.col("snapshot")).cast("int"), "last_id").rowsBetween(Window.unboundedPreceding, 0))
     placed = alive.withColumn("_reached", reached).withColumn("second", F.coalesce("_reached", F.min("_reached").over(epoch))).where("second is not null").drop("_reached").withColumn("bucket", F.expr(f"second div {bucket_seconds}"))
+    path = new_path(rows.sparkSession)
+    placed.write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
     sides = F.concat(*map(side_levels, SIDES))
     keys = ["symbol", "epoch", "bucket"]
     steps = placed.select(*keys, "snapshot", "last_id", "second", F.posexplode_outer(sides).alias("n", "level")).select(*keys, "snapshot", "last_id", "second", "n", "level.*")
@@ -214,28 +251,36 @@ def recorded(rows: DataFrame, levels: int = 10, bucket_seconds: int = 600) -> Da
     ordered = whole.repartition(*keys).sortWithinPartitions(*keys, (~F.col("snapshot")).cast("int"), "last_id", "n")
 
     def replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, second, book = None, None, {}
-        schema = pa.schema([("symbol", pa.string()), ("second", pa.int64()), *((s, pa.list_(pa.list_(pa.float64()))) for s in SIDES)])
+        now, second, books = None, None, ({}, {})
+        out = Shown(levels)
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                key = (r["symbol"], r["epoch"], r["bucket"])
-                moved = key != now
-                if second is not None and (moved or (not r["snapshot"] and r["second"] > second)):
-                    out.append(dict(zip(("symbol", "second", *SIDES), (now[0], second, *best(book, levels)))))
+            if not batch.num_rows:
+                continue
+            names = batch.column("symbol").dictionary_encode()
+            code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            symbols, epochs, buckets = names.to_pylist(), *(batch.column(c).to_pylist() for c in keys[1:])
+            moves = np.ones(batch.num_rows, bool)
+            moves[1:] = np.any([np.diff(v) != 0 for v in (code, *(batch.column(c).to_numpy() for c in keys[1:]))], 0)
+            moves[0] = (symbols[0], epochs[0], buckets[0]) != now
+            columns = [batch.column(c).to_pylist() for c in ("snapshot", "second", "price", "size")]
+            bids = pc.equal(batch.column("side"), "bids").to_pylist()
+            for k, (moved, snapshot, at, price, size, bid) in enumerate(zip(moves.tolist(), *columns, bids)):
+                if second is not None and (moved or (not snapshot and at > second)):
+                    out.add(now[0], second, books)
                     second = None
                 if moved:
-                    now, book = key, {}
-                if r["price"] is not None:
-                    if r["size"]:
-                        book[r["side"], r["price"]] = r["size"]
+                    now, books = (symbols[k], epochs[k], buckets[k]), ({}, {})
+                if price is not None:
+                    if size:
+                        books[0 if bid else 1][price] = size
                     else:
-                        book.pop((r["side"], r["price"]), None)
-                if not r["snapshot"]:
-                    second = r["second"]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                        books[0 if bid else 1].pop(price, None)
+                if not snapshot:
+                    second = at
+            if out.seconds:
+                yield out.taken()
         if second is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(("symbol", "second", *SIDES), (now[0], second, *best(book, levels))))], schema)
+            out.add(now[0], second, books)
+            yield out.taken()
 
     return ordered.mapInArrow(replay, "symbol string, second long, bids array<array<double>>, asks array<array<double>>")
