@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -153,3 +154,16 @@ def test_clashing_columns_and_repeated_rows(spark):
     both = docs.union(docs)
     rows = sorted((r.doc_id, r.held_out, r.n_tokens, r.score) for r in bloom_lm.score(both).collect())
     assert len(rows) == 8 and rows[::2] == rows[1::2] and [r[2] for r in rows[::2]] == [4, 4, 3, 1]
+
+
+def test_a_buckets_filter_is_built_and_probed_in_little_memory():
+    s, r = bloom_lm.Settings(), np.random.default_rng(4)
+    grams = np.unique(r.integers(0, 1 << 63, 400_000).astype(np.uint64))
+    level = np.minimum(r.geometric(0.6, len(grams)), 20)
+    tracemalloc.start()
+    part = bloom_lm.local_filter(grams, level, 32, 1, s)
+    found = part.found(np.concatenate([grams, grams + np.uint64(1)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    assert (found[: len(grams)] >= level).all() and (found[len(grams) :] == 0).mean() > 0.9

@@ -34,6 +34,7 @@ from .common import arrow_batches, bucket_of, remove, shuffles_dropped, texts_of
 from .textstats import numbered
 
 ADD = 0.1  # to every count of the base score
+AT_ONCE = 65_536  # n-grams whose places in the filter are held at a time
 
 
 @dataclass(frozen=True)
@@ -105,12 +106,14 @@ class LogFrequencyFilter:
 
     def found(self, at: np.ndarray) -> np.ndarray:
         """The level of each placed n-gram by repeated probes, 0 if it is absent."""
-        out = np.zeros(len(at), np.int64)
-        left, level = np.arange(len(at)), 1
-        while len(left) and level < 64:
-            left = left[self.holds(at[left], level)]
-            out[left] = level
-            level += 1
+        out = np.zeros(len(at), np.uint8)
+        for start in range(0, len(at), AT_ONCE):
+            part, own = at[start : start + AT_ONCE], out[start : start + AT_ONCE]
+            left, level = np.arange(len(part)), 1
+            while len(left) and level < 64:
+                left = left[self.holds(part[left], level)]
+                own[left] = level
+                level += 1
         return out
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
@@ -222,8 +225,9 @@ def local_filter(at: np.ndarray, level: np.ndarray, segments: int, buckets: int,
     """The segments of one bucket, from its placed n-grams."""
     part = LogFrequencyFilter(s, np.zeros((segments // buckets, 1 << (s.segment_bits - 3)), np.uint8), buckets.bit_length() - 1)
     flat = np.zeros((len(part.bits), 1 << s.segment_bits), bool)
-    at, keys = all_keys(at, level)
-    flat[part.segments(at)[:, None], positions(keys, s)] = True
+    for start in range(0, len(at), AT_ONCE):
+        own, keys = all_keys(at[start : start + AT_ONCE], level[start : start + AT_ONCE])
+        flat[part.segments(own)[:, None], positions(keys, s)] = True
     part.bits = np.packbits(flat, axis=1, bitorder="little")
     return part
 
@@ -297,10 +301,11 @@ def bucket_levels(packs: DataFrame, segments: int, buckets: int, s: Settings, pa
         hashes = np.zeros((sum(sizes), 8), np.uint8)
         hashes[:, :width] = np.frombuffer(b"".join(g["grams"]), np.uint8).reshape(-1, width)
         grams, at = np.unique(hashes.view(np.uint64).ravel() << np.uint64(shift) | np.uint64(g["bucket"].iloc[0]), return_inverse=True)
+        del hashes
         n = np.bincount(at, np.concatenate([np.frombuffer(x, f"u{len(x) // k}") for x, k in zip(g["n"], sizes)]))
         learned = n > 0
         model = local_filter(grams[learned], np.frexp(n[learned])[1].astype(np.int64), segments, buckets, s)
-        level = np.split(model.found(grams).astype(np.uint8)[at], np.cumsum(sizes)[:-1])
+        level = np.split(model.found(grams)[at], np.cumsum(sizes)[:-1])
         return pd.DataFrame({"unit": g["unit"], "bucket": g["bucket"], "levels": [x.tobytes() for x in level]})
 
     probes = packs.mapInArrow(asked, "unit long, bucket long, grams binary, n binary")
