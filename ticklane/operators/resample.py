@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import divide, seconds_between
+from ..functions.scalar import divide, quotient, seconds_between
 from .keys import KEYS, Keys
 
 
@@ -20,13 +20,13 @@ def bucket_start(ts: str, every: int) -> Column:
 
 
 def ohlc(trades: DataFrame, every: int, price: str = "price", size: str = "size", keys: Keys = KEYS) -> DataFrame:
-    """Bars (symbol, ts, open, high, low, close, volume, vwap, trades), one for each bucket with a trade."""
+    """Bars (symbol, ts, open, high, low, close, volume, vwap, trades), one for each bucket with a trade. The vwap of no volume is NaN."""
     order = F.struct(keys.ts, keys.seq)
     start = bucket_start(keys.ts, every)
     volume = F.sum(size)
     bars = trades.groupBy(keys.symbol, start.alias("_start")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
-        volume.alias("volume"), divide(F.sum(F.col(price) * F.col(size)), volume.cast("double")).alias("vwap"), F.count("*").alias("trades"),
+        volume.alias("volume"), quotient(F.sum(F.col(price) * F.col(size)), volume).alias("vwap"), F.count("*").alias("trades"),
     )
     return bars.withColumnRenamed("_start", keys.ts)
 

@@ -229,6 +229,6 @@ def book_dynamics(levels: int, window: int = 20, lag: int = 1, top: int = 1, win
 
 
 def relative_volume(volume: str = "volume", rows: int = 5, keys: Keys = KEYS) -> dict[str, Column]:
-    """volume_relative: by the symbol's mean over all rows (it looks ahead); volume_concentration: by the mean of the last rows, null until there are so many."""
+    """volume_relative: by the symbol's mean over all rows (it looks ahead); volume_concentration: by the mean of the last rows, null until there are so many. NaN where all these volumes are 0."""
     v = F.col(volume).cast("double")
-    return {"volume_relative": divide(v, F.avg(v).over(keys.whole())), "volume_concentration": divide(v, full_window(F.avg, v, rows, keys))}
+    return {"volume_relative": quotient(v, F.avg(v).over(keys.whole())), "volume_concentration": quotient(v, full_window(F.avg, v, rows, keys))}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import book as B
+from ..functions.scalar import quotient
 from ..functions.session import session_features, time_features
 from ..operators import filters, micro, quality, resample, rolling
 from ..operators.asof import asof_join, asof_join_all, interpolated_join
@@ -196,7 +197,7 @@ def bar_ewma(spark: SparkSession, sf: str) -> DataFrame:
 def bar_rolling(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.ordered_bars(spark, sf).withColumns({"p": B.bar_features()["parkinson"], "s": F.col("high") - F.col("low")})
     volume = F.col("volume").cast("double")
-    return rows.select("symbol", "ts", *rounded({"parkinson_5": rolling.rolling_mean("p", 5, least=1), "spread_std_5": rolling.rolling_std("s", 5, least=1), "volume_relative": volume / F.avg("volume").over(rolling.KEYS.whole()), "volume_concentration": volume / F.avg("volume").over(rolling.KEYS.last(5))}))
+    return rows.select("symbol", "ts", *rounded({"parkinson_5": rolling.rolling_mean("p", 5, least=1), "spread_std_5": rolling.rolling_std("s", 5, least=1), "volume_relative": quotient(volume, F.avg("volume").over(rolling.KEYS.whole())), "volume_concentration": quotient(volume, F.avg("volume").over(rolling.KEYS.last(5)))}))
 
 
 @query(f"""WITH s AS (SELECT event_id, ts, (hour(ts) * 3600 + minute(ts) * 60 + second(ts) - 34200) / 60.0::DOUBLE AS m FROM events)
