@@ -313,13 +313,31 @@ def shap_interactions(tree: Tree | ShapleyPlan, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def cuts_of(trees: list[Tree]) -> list[np.ndarray]:
+    """The thresholds of each feature in order."""
+    splits = {(s.feature, s.threshold) for t in trees for v in t.leaves for s in v.path}
+    return [np.array(sorted(c for f, c in splits if f == k)) for k in range(len(trees[0].names))]
+
+
+def cells_of(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """(rows, features): between which thresholds the rows of x lie; NaN is above all of them."""
+    return np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)], 1).astype(np.int32)
+
+
+def distinct_cells(cuts: list[np.ndarray], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different cell is first, and each row's place among them."""
+    first, place = np.zeros(0, np.int64), np.zeros(len(cells), np.int64)
+    for c, v in zip(cuts, cells.T):
+        first, place = np.unique(place * (len(c) + 1) + v, return_index=True, return_inverse=True)[1:]
+    return first, place
+
+
 class CellValues:
     """Values by row of a forest that reads rows through its thresholds alone: rows between the same thresholds have the same values, which are worked out once for each such cell and kept up to a size; beyond it they are worked out again."""
 
     def __init__(self, trees: list[Tree], weights: list[float], of: Callable[[ShapleyPlan, np.ndarray], np.ndarray], kept_bytes: int = 32_000_000):
         self.of, self.weights, self.plans = of, weights, [*map(ShapleyPlan, trees)]
-        splits = {(s.feature, s.threshold) for t in trees for v in t.leaves for s in v.path}
-        self.cuts = [np.array(sorted(c for f, c in splits if f == k)) for k in range(len(trees[0].names))]
+        self.cuts = cuts_of(trees)
         self.width = int(np.prod(of(self.plans[0], np.zeros((1, len(self.cuts)))).shape))
         self.most = max(1, kept_bytes // (8 * self.width))
         self.worked_out = 0
@@ -332,10 +350,8 @@ class CellValues:
         """(rows, values) of x; NaN is above all thresholds."""
         if not len(x):
             return np.zeros((0, self.width))
-        cells = np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)], 1).astype(np.int32)
-        place = np.zeros(len(x), np.int64)
-        for c, v in zip(self.cuts, cells.T):
-            first, place = np.unique(place * (len(c) + 1) + v, return_index=True, return_inverse=True)[1:]
+        cells = cells_of(self.cuts, x)
+        first, place = distinct_cells(self.cuts, cells)
         if len(self.at) > self.most:
             self.clear()
         names = [c.tobytes() for c in cells[first]]
@@ -378,16 +394,59 @@ def with_interactions(df: DataFrame, trees: list[Tree], weights: list[float] | N
     return _values(df, trees, weights or [1 / len(trees)] * len(trees), shap_interactions, "shap_interactions")
 
 
-def shap_importance(valued: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, importance): the mean absolute Shapley value."""
-    one = valued.agg(*[F.avg(F.abs(F.get("shap", F.lit(k)))).alias(f"_{k}") for k in range(len(names))])
+def cell_counts(df: DataFrame, trees: list[Tree], rows: str = "rows", kept_bytes: int = 16_000_000) -> DataFrame:
+    """(features..., rows): how many complete rows of df lie in each cell between the thresholds, which the cell's upper ends stand for (infinity above all).
+
+    What a forest makes of a row depends on its cell alone, so means over rows are worked out once a cell, however many rows and tasks there are. A task
+    counts its own cells, up to kept_bytes of them at a time, before they are added up; cells are dealt out evenly afterwards, however few they are.
+    """
+    names, cuts = trees[0].names, cuts_of(trees)
+    most, sizes = max(1, kept_bytes // (4 * len(names))), [len(c) + 1 for c in cuts]
+    few = 8 * math.prod(sizes) <= kept_bytes
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(cells: np.ndarray) -> pa.RecordBatch:
+            if few:  # a count for every cell there can be, without sorting
+                n = np.bincount(np.ravel_multi_index(tuple(cells.T), sizes))
+                at = np.flatnonzero(n)
+                cells, n = np.stack(np.unravel_index(at, sizes), 1), n[at]
+            else:
+                first, place = distinct_cells(cuts, cells)
+                cells, n = cells[first], np.bincount(place)
+            ends = [pa.array(np.append(c, np.inf)[v]) for c, v in zip(cuts, cells.T)]
+            return pa.record_batch([*ends, pa.array(n)], [*names, rows])
+
+        parts, held = [], 0
+        for b in batches:
+            if b.num_rows:
+                parts.append(cells_of(cuts, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)))
+                held += b.num_rows
+            if held >= most:
+                yield counted(np.concatenate(parts))
+                parts, held = [], 0
+        if held:
+            yield counted(np.concatenate(parts))
+
+    whole = F.forall(F.array(*[F.col(n).isNotNull() for n in names]), lambda x: x)
+    inputs = df.where(whole).select(*[F.col(n).cast("double").alias(n) for n in names])
+    counts = inputs.mapInArrow(scan, ", ".join([*(f"`{n}` double" for n in names), f"`{rows}` long"]))
+    return counts.groupBy(*names).agg(F.sum(rows).alias(rows)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _mean(x: Column, rows: str | None) -> Column:
+    return F.avg(x) if rows is None else F.try_divide(F.sum(x * F.col(rows)), F.sum(rows))
+
+
+def shap_importance(valued: DataFrame, names: list[str], rows: str | None = None) -> DataFrame:
+    """(feature, importance): the mean absolute Shapley value. rows: a column that says how many rows each stands for (see cell_counts)."""
+    one = valued.agg(*[_mean(F.abs(F.get("shap", F.lit(k))), rows).alias(f"_{k}") for k in range(len(names))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_{k}").alias("importance")) for k, n in enumerate(names)])).alias("r")).select("r.*")
 
 
-def interaction_strength(valued: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, strength): the mean absolute interaction of each pair of features."""
+def interaction_strength(valued: DataFrame, names: list[str], rows: str | None = None) -> DataFrame:
+    """(a, b, strength): the mean absolute interaction of each pair of features. rows: a column that says how many rows each stands for (see cell_counts)."""
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    one = valued.agg(*[F.avg(F.abs(F.get("shap_interactions", F.lit(i * len(names) + j)))).alias(f"_{i}_{j}") for i, j in pairs])
+    one = valued.agg(*[_mean(F.abs(F.get("shap_interactions", F.lit(i * len(names) + j))), rows).alias(f"_{i}_{j}") for i, j in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"_{i}_{j}").alias("strength")) for i, j in pairs])).alias("r")).select("r.*")
 
 

@@ -209,13 +209,14 @@ def tree_shap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LINES}, {_SETS}, a AS (SELECT avg(abs(((vq - v0) + (value - vd)) / 2)) AS l_quantity, avg(abs(((vd - v0) + (value - vq)) / 2)) AS l_discount, 0.0::DOUBLE AS l_tax FROM s) SELECT feature, {near_sql('importance')} AS importance FROM (UNPIVOT a ON l_quantity, l_discount, l_tax INTO NAME feature VALUE importance)")
 def tree_shap_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.shap_importance(trees.with_shap(T.read(spark, sf, "lineitem"), [TREE]), TREE.names).select("feature", near("importance").alias("importance"))
+    valued = trees.with_shap(trees.cell_counts(T.read(spark, sf, "lineitem"), [TREE]), [TREE])
+    return trees.shap_importance(valued, TREE.names, "rows").select("feature", near("importance").alias("importance"))
 
 
 @query(f"WITH {_LINES}, {_SETS} SELECT 'l_quantity' AS a, 'l_discount' AS b, {near_sql('avg(abs((value - vq - vd + v0) / 2))')} AS strength FROM s UNION ALL SELECT 'l_quantity', 'l_tax', {near_sql('0.0')} UNION ALL SELECT 'l_discount', 'l_tax', {near_sql('0.0')}")
 def tree_interactions(spark: SparkSession, sf: str) -> DataFrame:
-    valued = trees.with_interactions(T.read(spark, sf, "lineitem"), [TREE])
-    return trees.interaction_strength(valued, TREE.names).select("a", "b", near("strength").alias("strength"))
+    valued = trees.with_interactions(trees.cell_counts(T.read(spark, sf, "lineitem"), [TREE]), [TREE])
+    return trees.interaction_strength(valued, TREE.names, "rows").select("a", "b", near("strength").alias("strength"))
 
 
 _UPDATES = "u AS (SELECT l_suppkey AS symbol, l_orderkey AS last_id, l_orderkey - 1 - l_linenumber % 2 AS first_id FROM lineitem), b AS (SELECT DISTINCT symbol, CAST(100 + symbol % 50 AS BIGINT) AS base FROM u)"

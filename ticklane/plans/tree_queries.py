@@ -75,8 +75,8 @@ _PAIRS = [(i, j) for i in range(3) for j in range(i + 1, 3)]
 
 @query(f"WITH {_VALUES} " + " UNION ALL ".join(f"SELECT '{NAMES[i]}' AS a, '{NAMES[j]}' AS b, {near_sql(f'avg(abs({_pair_sql(i, j)}))')} AS strength FROM w" for i, j in _PAIRS))
 def forest_interactions(spark: SparkSession, sf: str) -> DataFrame:
-    valued = trees.with_interactions(T.read(spark, sf, "lineitem").select(*NAMES), FOREST)
-    return trees.interaction_strength(valued, NAMES).select("a", "b", near("strength").alias("strength"))
+    valued = trees.with_interactions(trees.cell_counts(T.read(spark, sf, "lineitem"), FOREST), FOREST)
+    return trees.interaction_strength(valued, NAMES, "rows").select("a", "b", near("strength").alias("strength"))
 
 
 #: Points of the dependence queries, off the thresholds.
